@@ -1,0 +1 @@
+"""No streaming operators: every report of this library is batch work over date-partitioned Parquet."""
