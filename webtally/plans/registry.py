@@ -24,7 +24,7 @@ def _utc(spark: SparkSession) -> SparkSession:
 
 
 def on_events(report: Callable, *args, stagger: bool = False, **options) -> Query:
-    return lambda spark, folder: report(testdata.events(_utc(spark), folder, stagger), *args, **options)
+    return lambda spark, folder: report(testdata.stored_events(_utc(spark), folder, stagger), *args, **options)
 
 
 def on_search(report: Callable) -> Query:
@@ -36,12 +36,12 @@ def _clv_correlation(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _promo_funnel(spark: SparkSession, folder: str) -> DataFrame:
-    events, pages = testdata.events(_utc(spark), folder), testdata.search(spark, folder)
+    events, pages = testdata.stored_events(_utc(spark), folder), testdata.search(spark, folder)
     return promo.promo_funnel(events, pages, *SEARCH_YEAR, as_of=AS_OF)
 
 
 def _organic_query_value(spark: SparkSession, folder: str) -> DataFrame:
-    events, pages = testdata.events(_utc(spark), folder), testdata.search(spark, folder)
+    events, pages = testdata.stored_events(_utc(spark), folder), testdata.search(spark, folder)
     # The two derived tables cover different years; the search rows of 1996 stand for those of the event year.
     shifted = pages.withColumn("data_date", F.add_months("data_date", 12 * 28))
     return campaigns.organic_query_value(events, shifted, *YEAR)
@@ -54,7 +54,7 @@ def _sales_customers(spark: SparkSession, folder: str) -> DataFrame:
 
 def _time_decay(spark: SparkSession, folder: str) -> DataFrame:
     """Ten significant digits: powers and sums of doubles differ between engines beyond that."""
-    report = attribution.attribution_time_decay(testdata.events(_utc(spark), folder), *YEAR)
+    report = attribution.attribution_time_decay(testdata.stored_events(_utc(spark), folder), *YEAR)
     value = F.col("total_attributed_value")
     unit = F.pow(F.lit(10.0), F.floor(F.log10(value)) - 9)
     return report.withColumn("total_attributed_value", F.round(value / unit) * unit)

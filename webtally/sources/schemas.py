@@ -5,11 +5,10 @@ from __future__ import annotations
 from webtally.functions.fixed import APPEARANCE_FLAGS, ITEM_LIST_FIELDS, ITEM_NUMBER_FIELDS, ITEM_TEXT_FIELDS
 
 _SLOTS = "string_value: string, int_value: bigint, float_value: double, double_value: double"
-_ITEM = ", ".join(
-    [f"{name}: string" for name in ITEM_TEXT_FIELDS]
-    + [f"{name}: {kind}" for name, kind in ITEM_NUMBER_FIELDS]
-    + [f"{name}: string" for name in ITEM_LIST_FIELDS]
-)
+ITEM_FIELDS = {
+    **dict.fromkeys(ITEM_TEXT_FIELDS, "string"), **dict(ITEM_NUMBER_FIELDS), **dict.fromkeys(ITEM_LIST_FIELDS, "string"),
+}
+_ITEM = ", ".join(f"{name}: {kind}" for name, kind in ITEM_FIELDS.items())
 
 EVENT_FIELDS = {
     "event_date": "string",

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import uuid
 
-from webtally.functions.dates import DAY_MICROS, floor_div
+from pyspark.sql import DataFrame, SparkSession
+
+from webtally.functions.dates import DAY_MICROS
 from webtally.functions.fixed import APPEARANCE_FLAGS
-from webtally.sources.schemas import EVENT_FIELDS
+from webtally.sources.readers import read_events
+from webtally.sources.schemas import EVENT_FIELDS, ITEM_FIELDS
+from webtally.sources.writers import shared_folder, write_by_date
 
 HOST = "https://www.shop.example.com/"
 # Fixed values of the derivation.
@@ -26,206 +30,195 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _pick(values: list[str | None], index: Column) -> Column:
-    return F.get(F.array(*[F.lit(v).cast("string") for v in values]), index.cast("int"))
+def _pick(values: list[str | None], index: str) -> str:
+    """SQL for the entry of a constant list at a 0-based index."""
+    texts = ", ".join("CAST(NULL AS STRING)" if v is None else f"'{v}'" for v in values)
+    return f"get(array({texts}), CAST({index} AS INT))"
 
 
-def _entry(key: str, text=None, whole=None, double=None) -> Column:
-    """Parameter struct, NULL when it has no value."""
-    slots = [(text, "string"), (whole, "bigint"), (None, "double"), (double, "double")]
-    columns = [(F.lit(None) if v is None else v).cast(kind) for v, kind in slots]
-    filled = [c.isNotNull() for (v, _), c in zip(slots, columns) if v is not None]
-    present = filled[0] if len(filled) == 1 else filled[0] | filled[1]
-    names = ("string_value", "int_value", "float_value", "double_value")
-    value = F.struct(*[c.alias(n) for c, n in zip(columns, names)])
-    return F.when(present, F.struct(F.lit(key).alias("key"), value.alias("value")))
+def _slots(text: str = "NULL", whole: str = "NULL", double: str = "NULL", extra: str = "") -> str:
+    return (
+        f"named_struct('string_value', CAST({text} AS STRING), 'int_value', CAST({whole} AS BIGINT), "
+        f"'float_value', CAST(NULL AS DOUBLE), 'double_value', CAST({double} AS DOUBLE){extra})"
+    )
 
 
-def _micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
+def _param(key: str, text: str = "NULL", whole: str = "NULL", double: str = "NULL") -> str:
+    """SQL for a parameter, NULL when it has no value."""
+    present = " OR ".join(f"({v}) IS NOT NULL" for v in (text, whole, double) if v != "NULL")
+    return f"CASE WHEN {present} THEN named_struct('key', '{key}', 'value', {_slots(text, whole, double)}) END"
 
 
 def event_rows(spark: SparkSession, folder: str, stagger: bool = False) -> DataFrame:
     """Driver events as plain columns. ``stagger`` moves a user's events on by 0 to 3 weeks, by user id, so that
     users first appear in different weeks."""
-    raw = table(spark, folder, "events")
-    micros = _micros(F.col("ts"))
-    if stagger:
-        micros = micros + (F.col("user_id") % 4) * (7 * DAY_MICROS)
-    return raw.select(
-        F.col("event_id").alias("e"), F.col("user_id").alias("uid"), F.col("value").alias("v"), "event_type",
-        micros.alias("us"), F.get_json_object("props", "$.k").cast("bigint").alias("k"),
+    moved = f" + user_id % 4 * {7 * DAY_MICROS}" if stagger else ""
+    return table(spark, folder, "events").selectExpr(
+        "event_id AS e", "user_id AS uid", "value AS v", "event_type",
+        f"unix_micros(CAST(ts AS TIMESTAMP)){moved} AS us", "CAST(get_json_object(props, '$.k') AS BIGINT) AS k",
     )
 
 
 def events(spark: SparkSession, folder: str, stagger: bool = False) -> DataFrame:
     """Nested event table."""
-    e, k, v, us, uid = (F.col(c) for c in ("e", "k", "v", "us", "uid"))
-    kind = F.col("event_type")
     name = (
-        F.when(kind == "view", "page_view").when(kind == "purchase", "purchase")
-        .when(kind == "click", _pick(["click", "view_item", "add_to_cart", "page_view"], e % 4))
-        .when(kind == "error", _pick(["session_start", "session_start", "loyalty_tier_update"], e % 3))
-        .when(kind == "signup", _pick(["signup", "page_view"], e % 2))
+        "CASE event_type WHEN 'view' THEN 'page_view' WHEN 'purchase' THEN 'purchase' "
+        f"WHEN 'click' THEN {_pick(['click', 'view_item', 'add_to_cart', 'page_view'], 'e % 4')} "
+        f"WHEN 'error' THEN {_pick(['session_start', 'session_start', 'loyalty_tier_update'], 'e % 3')} "
+        f"WHEN 'signup' THEN {_pick(['signup', 'page_view'], 'e % 2')} END"
     )
-    source, medium = (_pick([pair[i] for pair in CHANNELS], e % 20) for i in (0, 1))
-    rows = event_rows(spark, folder, stagger).select(
-        "*", name.alias("event_name"), source.alias("src"), medium.alias("med"),
-        F.when(k % 10 != 9, F.concat(F.lit("camp"), (k % 5).cast("string"))).alias("camp"),
-        F.when(e % 11 == 0, F.concat(F.lit("g"), e.cast("string"))).alias("gclid"),
+    source, medium = (_pick([pair[i] for pair in CHANNELS], "e % 20") for i in (0, 1))
+    rows = event_rows(spark, folder, stagger).selectExpr(
+        "*", f"{name} AS event_name", f"{source} AS src", f"{medium} AS med",
+        "CASE WHEN k % 10 <> 9 THEN concat('camp', k % 5) END AS camp",
+        "CASE WHEN e % 11 = 0 THEN concat('g', e) END AS gclid",
+        f"us DIV {2 * DAY_MICROS} AS sid",
+        "CASE WHEN event_type = 'purchase' THEN v END AS revenue",
     )
-    event_name, gclid, src, med, camp = (F.col(c) for c in ("event_name", "gclid", "src", "med", "camp"))
-    bought = event_name == "purchase"
-    session = floor_div(us, 2 * DAY_MICROS)
-    page = F.concat(F.lit(HOST), _pick(PAGES, k % 8), _pick(EVENT_SUFFIXES, e % 3))
-    referrer = F.concat(F.lit(HOST), _pick(PAGES, (k + 3) % 8))
-    viewed = event_name == "page_view"
-    params = F.array_compact(F.array(
-        _entry("ga_session_id", whole=session),
-        _entry("ga_session_number", whole=session - 9860),
-        _entry("page_location", text=F.when(e % 37 != 0, page)),
-        _entry("page_referrer", text=F.when(e % 5 != 0, referrer)),
-        _entry("engagement_time_msec", whole=k * 1000 + e % 1000),
-        _entry("session_engaged", text=(k % 2).cast("string"), whole=k % 2),
-        _entry("entrances", whole=(viewed & (k % 3 == 0)).cast("bigint")),
-        _entry("bounce", whole=(k % 6 == 0).cast("bigint")),
-        _entry("source", text=src), _entry("medium", text=med), _entry("campaign", text=camp),
-        _entry("utm_source", text=src), _entry("utm_medium", text=med), _entry("utm_campaign", text=camp),
-        _entry("traffic_source", text=src),
-        _entry("value", whole=F.when(bought & (e % 4 == 0), F.floor(v)), double=F.when(bought & (e % 4 != 0), v)),
-        _entry("purchase_revenue", double=F.when(bought, v)),
-        _entry("loyalty_tier",
-               text=F.when(event_name == "loyalty_tier_update", _pick(["bronze", "silver", "gold"], k % 3))),
-    ))
-    none = F.lit(None)
-
-    def item(j: Column) -> Column:
-        number = j.cast("bigint") + e * 7
-        fields = {
-            "item_id": F.concat(F.lit("i"), (number % 40).cast("string")),
-            "item_name": F.concat(F.lit("name"), (number % 40).cast("string")),
-            "item_brand": F.lit("acme"),
-            "item_category": F.when((e + j) % 17 != 0, F.concat(F.lit("cat"), (number % 5).cast("string"))),
-            "quantity": (k + j) % 3 + 1,
-            "item_revenue": F.when(j == 0, v).otherwise(k.cast("double")),
-            "affiliation": F.lit("shop"),
-        }
-        kinds = [part.split(": ") for part in EVENT_FIELDS["items"][len("array<struct<"):-2].split(", ")]
-        return F.struct(*[fields.get(n, none).cast(kind).alias(n) for n, kind in kinds])
-
-    with_items = event_name.isin("view_item", "add_to_cart", "purchase") & (e % 9 != 0)
-    items = F.when(with_items, F.transform(F.sequence(F.lit(0), (e % 2).cast("int")), item)).otherwise(
-        F.array().cast(EVENT_FIELDS["items"])
-    )
-
-    def user_property(key: str, text: Column, whole: Column) -> Column:
-        value = F.struct(
-            text.cast("string").alias("string_value"), whole.cast("bigint").alias("int_value"),
-            none.cast("double").alias("float_value"), none.cast("double").alias("double_value"),
-            (us - 1).alias("set_timestamp_micros"),
-        )
-        return F.struct(F.lit(key).alias("key"), value.alias("value"))
-
-    properties = F.when(e % 8 != 0, F.array(
-        user_property("plan", _pick(["free", "pro"], uid % 2), none), user_property("visits", none, uid),
-    )).otherwise(F.array().cast(EVENT_FIELDS["user_properties"]))
-    revenue = F.when(bought, v)
-    transaction = F.when(bought, F.concat(F.lit("t"), e.cast("string"), _pick(["-live", "-test"], e % 2)))
-    manual_campaign = F.when(k % 20 == 0, "Cross-Network promo").otherwise(F.concat(F.lit("camp"), (k % 5).cast("string")))
-    ads = F.struct(
-        F.when(gclid.isNotNull(), F.concat(F.lit("acct"), (k % 2).cast("string"))).alias("account_name"),
-        F.when(gclid.isNotNull(), F.concat(F.lit("ads"), (k % 4).cast("string"))).alias("campaign_name"),
+    page = f"concat('{HOST}', {_pick(PAGES, 'k % 8')}, {_pick(EVENT_SUFFIXES, 'e % 3')})"
+    referrer = f"concat('{HOST}', {_pick(PAGES, '(k + 3) % 8')})"
+    tier = _pick(["bronze", "silver", "gold"], "k % 3")
+    params = [
+        _param("ga_session_id", whole="sid"),
+        _param("ga_session_number", whole="sid - 9860"),
+        _param("page_location", text=f"CASE WHEN e % 37 <> 0 THEN {page} END"),
+        _param("page_referrer", text=f"CASE WHEN e % 5 <> 0 THEN {referrer} END"),
+        _param("engagement_time_msec", whole="k * 1000 + e % 1000"),
+        _param("session_engaged", text="k % 2", whole="k % 2"),
+        _param("entrances", whole="CAST(event_name = 'page_view' AND k % 3 = 0 AS BIGINT)"),
+        _param("bounce", whole="CAST(k % 6 = 0 AS BIGINT)"),
+        *[_param(key, text="src") for key in ("source", "utm_source", "traffic_source")],
+        *[_param(key, text="med") for key in ("medium", "utm_medium")],
+        *[_param(key, text="camp") for key in ("campaign", "utm_campaign")],
+        _param("value", whole="CASE WHEN e % 4 = 0 THEN floor(revenue) END", double="CASE WHEN e % 4 <> 0 THEN revenue END"),
+        _param("purchase_revenue", double="revenue"),
+        _param("loyalty_tier", text=f"CASE WHEN event_name = 'loyalty_tier_update' THEN {tier} END"),
+    ]
+    number = "(e * 7 + j)"
+    filled = {
+        "item_id": f"concat('i', {number} % 40)",
+        "item_name": f"concat('name', {number} % 40)",
+        "item_brand": "'acme'",
+        "item_category": f"CASE WHEN (e + j) % 17 <> 0 THEN concat('cat', {number} % 5) END",
+        "quantity": "1 + (k + j) % 3",
+        "item_revenue": "CASE WHEN j = 0 THEN v ELSE k END",
+        "affiliation": "'shop'",
+    }
+    item = ", ".join(f"'{n}', CAST({filled.get(n, 'NULL')} AS {kind})" for n, kind in ITEM_FIELDS.items())
+    items = (
+        "CASE WHEN event_name IN ('view_item', 'add_to_cart', 'purchase') AND e % 9 <> 0 "
+        f"THEN transform(sequence(0, CAST(e % 2 AS INT)), j -> named_struct({item})) "
+        f"ELSE from_json('[]', '{EVENT_FIELDS['items']}') END"
     )
-    channel = F.struct(_pick(["Paid Search", "Display"], k % 2).alias("primary_channel_group"))
-    return rows.select(
-        F.date_format(F.date_from_unix_date(floor_div(us, DAY_MICROS).cast("int")), "yyyyMMdd").alias("event_date"),
-        us.alias("event_timestamp"),
-        "event_name",
-        F.when(e % 50 != 0, F.concat(F.lit("u"), uid.cast("string"))).alias("user_pseudo_id"),
-        revenue.alias("event_value_in_usd"),
-        e.alias("event_bundle_sequence_id"),
-        params.alias("event_params"),
-        properties.alias("user_properties"),
-        items.alias("items"),
-        F.struct(src.alias("source"), med.alias("medium")).alias("traffic_source"),
-        F.struct(src.alias("manual_source"), med.alias("manual_medium"),
-                 manual_campaign.alias("manual_campaign_name"), gclid.alias("gclid")).alias("collected_traffic_source"),
-        F.struct(ads.alias("google_ads_campaign"), channel.alias("cross_channel_campaign"))
-        .alias("session_traffic_source_last_click"),
-        F.struct(revenue.alias("purchase_revenue"), revenue.alias("purchase_revenue_in_usd"),
-                 transaction.alias("transaction_id")).alias("ecommerce"),
-        F.struct(_pick(["desktop", "mobile", "tablet"], floor_div(e, 4) % 3).alias("category"),
-                 F.when(e % 13 != 0, "en").alias("language"),
-                 F.when(e % 13 != 0, F.concat(F.lit("os"), (k % 3).cast("string"))).alias("operating_system"))
-        .alias("device"),
-        F.struct(F.concat(F.lit("NATION_"), (uid % 25).cast("string")).alias("country")).alias("geo"),
-        F.struct(F.when(e % 5 == 0, "No").otherwise("Yes").alias("analytics_storage"),
-                 F.when(e % 10 == 0, "No").otherwise("Yes").alias("ads_storage")).alias("privacy_info"),
+    stamp = ", 'set_timestamp_micros', us - 1"
+    plan = _pick(["free", "pro"], "uid % 2")
+    properties = (
+        "CASE WHEN e % 8 <> 0 THEN array("
+        f"named_struct('key', 'plan', 'value', {_slots(text=plan, extra=stamp)}), "
+        f"named_struct('key', 'visits', 'value', {_slots(whole='uid', extra=stamp)})) "
+        f"ELSE from_json('[]', '{EVENT_FIELDS['user_properties']}') END"
     )
+    columns = {
+        "event_date": f"date_format(date_from_unix_date(CAST(us DIV {DAY_MICROS} AS INT)), 'yyyyMMdd')",
+        "event_timestamp": "us",
+        "event_name": "event_name",
+        "user_pseudo_id": "CASE WHEN e % 50 <> 0 THEN concat('u', uid) END",
+        "event_value_in_usd": "revenue",
+        "event_bundle_sequence_id": "e",
+        "event_params": f"array_compact(array({', '.join(params)}))",
+        "user_properties": properties,
+        "items": items,
+        "traffic_source": "named_struct('source', src, 'medium', med)",
+        "collected_traffic_source":
+            "named_struct('manual_source', src, 'manual_medium', med, 'manual_campaign_name', "
+            "CASE WHEN k % 20 = 0 THEN 'Cross-Network promo' ELSE concat('camp', k % 5) END, 'gclid', gclid)",
+        "session_traffic_source_last_click":
+            "named_struct('google_ads_campaign', named_struct("
+            "'account_name', CASE WHEN gclid IS NOT NULL THEN concat('acct', k % 2) END, "
+            "'campaign_name', CASE WHEN gclid IS NOT NULL THEN concat('ads', k % 4) END), "
+            "'cross_channel_campaign', named_struct('primary_channel_group', "
+            f"{_pick(['Paid Search', 'Display'], 'k % 2')}))",
+        "ecommerce":
+            "named_struct('purchase_revenue', revenue, 'purchase_revenue_in_usd', revenue, 'transaction_id', "
+            f"CASE WHEN event_type = 'purchase' THEN concat('t', e, {_pick(['-live', '-test'], 'e % 2')}) END)",
+        "device":
+            f"named_struct('category', {_pick(['desktop', 'mobile', 'tablet'], '(e DIV 4) % 3')}, "
+            "'language', CASE WHEN e % 13 <> 0 THEN 'en' END, "
+            "'operating_system', CASE WHEN e % 13 <> 0 THEN concat('os', k % 3) END)",
+        "geo": "named_struct('country', concat('NATION_', uid % 25))",
+        "privacy_info":
+            "named_struct('analytics_storage', CASE WHEN e % 5 = 0 THEN 'No' ELSE 'Yes' END, "
+            "'ads_storage', CASE WHEN e % 10 = 0 THEN 'No' ELSE 'Yes' END)",
+    }
+    return rows.selectExpr(*[f"{text} AS {name}" for name, text in columns.items()])
+
+
+_written: dict[tuple[str, str, bool], str] = {}
+
+
+def stored_events(spark: SparkSession, folder: str, stagger: bool = False) -> DataFrame:
+    """The nested event table, written once per application as Parquet partitioned by day in the shared folder
+    and read back, as the reports meet it in practice."""
+    key = (spark.sparkContext.applicationId, folder, stagger)
+    if key not in _written:
+        path = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+        write_by_date(events(spark, folder, stagger), path)
+        _written[key] = path
+    return read_events(spark, _written[key])
 
 
 def search(spark: SparkSession, folder: str) -> DataFrame:
     """Search table with the columns of both the site grain and the URL grain."""
     lines, parts = table(spark, folder, "lineitem"), table(spark, folder, "part")
-    name = F.when(F.col("l_orderkey") % 29 != 0, F.col("p_name"))
-    shown = F.col("l_linenumber") != 7
-    device = _pick(["DESKTOP", "MOBILE", "TABLET"], F.col("l_suppkey") % 3)
-    flags = [
-        F.when(F.col("l_orderkey") % (n + 3) != 0, F.col("l_partkey") % (n + 2) == 0).alias(flag)
-        for n, flag in enumerate(APPEARANCE_FLAGS)
-    ]
-    return lines.join(parts, lines["l_partkey"] == parts["p_partkey"]).select(
-        F.col("l_shipdate").cast("date").alias("data_date"),
-        name.alias("query"),
-        F.when(F.col("l_partkey") % 6 == 0, F.concat(name, F.lit(" sale"))).otherwise(name).alias("search_query"),
-        F.concat(F.lit(HOST), _pick(PAGES, F.col("l_partkey") % 8), _pick(SEARCH_SUFFIXES, F.col("l_suppkey") % 3))
-        .alias("url"),
-        device.alias("device"),
-        device.alias("device_category"),
-        F.concat(F.lit("NATION_"), (F.col("l_suppkey") % 25).cast("string")).alias("country"),
-        _pick(["web", "image", "news"], F.col("l_linenumber") % 3).alias("traffic_source"),
-        F.when(shown, F.col("l_quantity")).otherwise(0).cast("bigint").alias("impressions"),
-        F.when(shown, F.floor(F.col("l_quantity") * F.col("l_discount"))).otherwise(0).cast("bigint").alias("clicks"),
-        (F.col("l_linenumber") * (F.col("l_suppkey") % 5)).cast("double").alias("sum_top_position"),
-        *flags,
-    )
+    name = "CASE WHEN l_orderkey % 29 <> 0 THEN p_name END"
+    device = _pick(["DESKTOP", "MOBILE", "TABLET"], "l_suppkey % 3")
+    columns = {
+        "data_date": "CAST(l_shipdate AS DATE)",
+        "query": name,
+        "search_query": f"CASE WHEN l_partkey % 6 = 0 THEN concat({name}, ' sale') ELSE {name} END",
+        "url": f"concat('{HOST}', {_pick(PAGES, 'l_partkey % 8')}, {_pick(SEARCH_SUFFIXES, 'l_suppkey % 3')})",
+        "device": device,
+        "device_category": device,
+        "country": "concat('NATION_', l_suppkey % 25)",
+        "traffic_source": _pick(["web", "image", "news"], "l_linenumber % 3"),
+        "impressions": "CASE WHEN l_linenumber = 7 THEN 0 ELSE CAST(l_quantity AS BIGINT) END",
+        "clicks": "CASE WHEN l_linenumber = 7 THEN 0 ELSE floor(l_quantity * l_discount) END",
+        "sum_top_position": "CAST(l_linenumber * (l_suppkey % 5) AS DOUBLE)",
+    }
+    for n, flag in enumerate(APPEARANCE_FLAGS):
+        columns[flag] = f"CASE WHEN l_orderkey % {n + 3} <> 0 THEN l_partkey % {n + 2} = 0 END"
+    joined = lines.join(parts, lines["l_partkey"] == parts["p_partkey"])
+    return joined.selectExpr(*[f"{text} AS {name}" for name, text in columns.items()])
 
 
 def users(spark: SparkSession, folder: str) -> DataFrame:
     """Daily user snapshot."""
     buyers, orders = table(spark, folder, "customer"), table(spark, folder, "orders")
-    counts = orders.groupBy("o_custkey").agg(F.count("*").alias("n"))
-    return buyers.join(counts, buyers["c_custkey"] == counts["o_custkey"], "left").select(
-        F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("pseudo_user_id"),
-        F.struct(F.col("c_acctbal").alias("revenue_in_usd"), F.coalesce("n", F.lit(0)).cast("bigint").alias("sessions"))
-        .alias("user_ltv"),
-        F.lit("2024-01-15").cast("date").alias("snapshot_date"),
+    counts = orders.groupBy("o_custkey").count()
+    return buyers.join(counts, buyers["c_custkey"] == counts["o_custkey"], "left").selectExpr(
+        "concat('u', c_custkey) AS pseudo_user_id",
+        "named_struct('revenue_in_usd', c_acctbal, 'sessions', coalesce(count, 0)) AS user_ltv",
+        "DATE'2024-01-15' AS snapshot_date",
     )
 
 
 def sales(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("sale_id"), F.col("o_custkey").alias("customer_id"),
-        F.col("o_orderdate").cast("date").alias("sale_date"), F.col("o_totalprice").alias("sale_amount"),
-        (F.col("o_orderkey") % 2000).alias("product_id"),
+    return table(spark, folder, "orders").selectExpr(
+        "o_orderkey AS sale_id", "o_custkey AS customer_id", "CAST(o_orderdate AS DATE) AS sale_date",
+        "o_totalprice AS sale_amount", "o_orderkey % 2000 AS product_id",
     )
 
 
 def customers(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "customer").select(
-        F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("customer_name"),
-        F.concat(F.lower("c_name"), F.lit("@example.com")).alias("customer_email"),
-        F.date_add(F.lit("1995-01-01").cast("date"), (F.col("c_custkey") % 2000).cast("int"))
-        .alias("membership_start_date"),
+    return table(spark, folder, "customer").selectExpr(
+        "c_custkey AS customer_id", "c_name AS customer_name", "concat(lower(c_name), '@example.com') AS customer_email",
+        "date_add(DATE'1995-01-01', CAST(c_custkey % 2000 AS INT)) AS membership_start_date",
     )
 
 
 def monthly_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of the monthly tables."""
-    us = F.col("us")
-    return event_rows(spark, folder).select(
-        F.col("uid").alias("user_id"), floor_div(us, 2 * DAY_MICROS).cast("string").alias("session_id"),
-        F.col("event_type").alias("event_name"),
-        F.date_from_unix_date(floor_div(us, DAY_MICROS).cast("int")).alias("event_date"),
-        F.timestamp_micros(us).alias("event_timestamp"),
+    return event_rows(spark, folder).selectExpr(
+        "uid AS user_id", f"CAST(us DIV {2 * DAY_MICROS} AS STRING) AS session_id", "event_type AS event_name",
+        f"date_from_unix_date(CAST(us DIV {DAY_MICROS} AS INT)) AS event_date", "timestamp_micros(us) AS event_timestamp",
     )
