@@ -56,8 +56,10 @@ def _time_decay(spark: SparkSession, folder: str) -> DataFrame:
     """Ten significant digits: powers and sums of doubles differ between engines beyond that."""
     report = attribution.attribution_time_decay(testdata.stored_events(_utc(spark), folder), *YEAR)
     value = F.col("total_attributed_value")
-    unit = F.pow(F.lit(10.0), F.floor(F.log10(value)) - 9)
-    return report.withColumn("total_attributed_value", F.round(value / unit) * unit)
+    digits = F.floor(F.log10(value)) - 9
+    large, small = F.pow(F.lit(10.0), digits), F.pow(F.lit(10.0), -digits)
+    rounded = F.when(digits >= 0, F.round(value / large) * large).otherwise(F.round(value * small) / small)
+    return report.withColumn("total_attributed_value", rounded)
 
 
 def _monthly_sink(spark: SparkSession, folder: str) -> DataFrame:
