@@ -136,22 +136,22 @@ PROMO_VIEWS = f"""
 pp AS (SELECT usr, page, src, med, device, country, t, seq FROM ev
        WHERE event_name = 'page_view' AND {IS_PROMO} AND {RECENT}),
 engagement AS (
-  SELECT usr, count(DISTINCT session_id) AS sessions, count(*) AS views, count_if(event_name = 'purchase') AS purchases,
+  SELECT usr, count(DISTINCT session_id) AS sessions, count(*) AS views, count(CASE WHEN event_name = 'purchase' THEN 1 END) AS purchases,
          {money('rev')} AS revenue
   FROM ev WHERE usr IN (SELECT usr FROM pp WHERE usr IS NOT NULL) GROUP BY usr
 ),
 touches AS (
   SELECT usr, min(CASE WHEN {IS_PROMO} THEN t END) AS first_touch, max(CASE WHEN {IS_PROMO} THEN t END) AS last_touch,
-         {div(f'count_if({IS_PROMO})', 'count(*)')} AS score
+         {div(f'count(CASE WHEN {IS_PROMO} THEN 1 END)', 'count(*)')} AS score
   FROM ev GROUP BY usr
 ),
 clicks AS (
-  SELECT usr, count_if(event_name = 'click' AND {IS_PROMO}) AS promo_clicks,
-         count_if(event_name = 'page_view' AND {IS_PROMO}) AS promo_views
+  SELECT usr, count(CASE WHEN event_name = 'click' AND {IS_PROMO} THEN 1 END) AS promo_clicks,
+         count(CASE WHEN event_name = 'page_view' AND {IS_PROMO} THEN 1 END) AS promo_views
   FROM ev GROUP BY usr
 ),
 bounces AS (
-  SELECT usr, count_if(engaged = 0) AS bounced, count(DISTINCT session_id) AS sessions
+  SELECT usr, count(CASE WHEN engaged = 0 THEN 1 END) AS bounced, count(DISTINCT session_id) AS sessions
   FROM ev WHERE usr IN (SELECT usr FROM pp WHERE usr IS NOT NULL) GROUP BY usr
 ),
 clv AS (
@@ -298,8 +298,8 @@ SELECT day AS event_date, {rnd(div('sum(us) / 1000000.0', 'count(DISTINCT skey)'
 FROM s GROUP BY day"""),
     "session_metrics_by_source": on_events(f""",
 s AS (
-  SELECT usr, skey, {SOURCE} AS source, max(engaged) AS engaged, sum(msec) / 1000 AS sec, count_if(event_name = 'page_view') AS pv,
-    count_if(event_name = 'purchase') AS buys, count_if(event_name = 'signup') AS signups, {money('rev')} AS rev
+  SELECT usr, skey, {SOURCE} AS source, max(engaged) AS engaged, sum(msec) / 1000 AS sec, count(CASE WHEN event_name = 'page_view' THEN 1 END) AS pv,
+    count(CASE WHEN event_name = 'purchase' THEN 1 END) AS buys, count(CASE WHEN event_name = 'signup' THEN 1 END) AS signups, {money('rev')} AS rev
   FROM ev GROUP BY 1, 2, 3
 )
 SELECT coalesce(source, 'direct') AS traffic_source, count(DISTINCT usr) AS total_users, count(DISTINCT skey) AS total_sessions,
@@ -325,8 +325,8 @@ SELECT a.day AS event_date, a.page AS page_location, a.n AS total_sessions, coal
 FROM a LEFT JOIN b ON a.day = b.day AND a.page = b.page"""),
     "page_engagement": on_events(f"""
 SELECT page AS page_location, sum(msec) / CAST(1000 AS DOUBLE) AS total_engagement_time_seconds,
-  count_if(event_name = 'page_view') AS total_page_views,
-  {div('sum(msec) / CAST(1000 AS DOUBLE)', "count_if(event_name = 'page_view')")} AS average_engagement_time_per_page
+  count(CASE WHEN event_name = 'page_view' THEN 1 END) AS total_page_views,
+  {div('sum(msec) / CAST(1000 AS DOUBLE)', "count(CASE WHEN event_name = 'page_view' THEN 1 END)")} AS average_engagement_time_per_page
 FROM ev GROUP BY page"""),
     "hourly_event_funnel": on_events(""",
 h AS (SELECT *, lpad(CAST((t // 3600000000) % 24 AS VARCHAR), 2, '0') AS hour FROM ev),
@@ -459,7 +459,7 @@ SELECT src AS traffic_source, count(DISTINCT usr) AS total_users, count(DISTINCT
 FROM ev WHERE {IS_PROMO} GROUP BY src"""),
     "promo_vs_non_promo": on_events(f"""
 SELECT {IS_PROMO} AS is_promo_visit, count(DISTINCT usr) AS total_users, count(DISTINCT session_id) AS total_sessions,
-  count_if(event_name = 'purchase') AS total_purchases, {money('rev')} AS total_revenue FROM ev GROUP BY 1"""),
+  count(CASE WHEN event_name = 'purchase' THEN 1 END) AS total_purchases, {money('rev')} AS total_revenue FROM ev GROUP BY 1"""),
     "promo_user_journey": on_events(f"""
 SELECT usr AS user_pseudo_id, min(CASE WHEN {IS_PROMO} THEN t END) AS first_promo_visit,
   min(CASE WHEN event_name = 'purchase' THEN t END) AS first_purchase FROM ev GROUP BY usr"""),
@@ -501,7 +501,7 @@ SELECT ads AS google_ads_campaign, channel_group AS primary_channel, count(DISTI
 FROM ev WHERE ads IS NOT NULL AND rev IS NOT NULL GROUP BY ads, channel_group"""),
     "ads_campaign_sessions": on_events(f""",
 s AS (SELECT acct, ads, device, count(DISTINCT skey) AS n FROM ev WHERE acct IS NOT NULL AND ads IS NOT NULL GROUP BY 1, 2, 3),
-c AS (SELECT acct, ads, device, count_if(event_name = 'purchase') AS buys, {money('rev')} AS rev FROM ev
+c AS (SELECT acct, ads, device, count(CASE WHEN event_name = 'purchase' THEN 1 END) AS buys, {money('rev')} AS rev FROM ev
       WHERE acct IS NOT NULL AND ads IS NOT NULL GROUP BY 1, 2, 3)
 SELECT s.acct AS google_ads_account_name, s.ads AS google_ads_campaign_name, s.device AS device_type, s.n AS session_count,
   coalesce(c.buys, 0) AS total_purchases, coalesce(c.rev, 0) AS total_revenue
@@ -527,7 +527,7 @@ SELECT query AS search_query, {rnd('sum(CAST(credit AS DECIMAL(24,6)))', 2)} AS
 s AS (SELECT usr, sid, day, max(t) - min(t) AS us FROM ev GROUP BY usr, sid, day),
 sa AS (SELECT day, count(DISTINCT usr || sid) AS sessions, {div('sum(us)', 'count(*)')} / 1000000 AS seconds FROM s GROUP BY day),
 ea AS (
-  SELECT day, count(DISTINCT usr) AS users, count_if(event_name = 'page_view') AS pv, count_if(event_name = 'purchase') AS buys,
+  SELECT day, count(DISTINCT usr) AS users, count(CASE WHEN event_name = 'page_view' THEN 1 END) AS pv, count(CASE WHEN event_name = 'purchase' THEN 1 END) AS buys,
     {money('rev')} AS rev, count(DISTINCT CASE WHEN snum = 1 THEN usr END) AS fresh,
     count(DISTINCT CASE WHEN engaged = 1 THEN usr || sid END) AS engaged, count(DISTINCT usr || sid) AS visits, count(*) AS n
   FROM ev GROUP BY day
@@ -569,11 +569,11 @@ FROM g"""),
 SELECT day AS date_formatted, country, count(*) AS total_events FROM ev WHERE astore = 'No' AND adstore = 'No' GROUP BY 1, 2"""),
     "measurement_protocol_ratio": on_events(f"""
 SELECT day AS event_date,
-  {rnd(div("count_if(lang IS NULL AND os IS NULL AND device = 'desktop')", 'count(*)'), 4)} AS measurement_protocol_event_ratio
+  {rnd(div("count(CASE WHEN lang IS NULL AND os IS NULL AND device = 'desktop' THEN 1 END)", 'count(*)'), 4)} AS measurement_protocol_event_ratio
 FROM ev GROUP BY day"""),
     "event_pivot": on_events(
         " SELECT usr AS user_pseudo_id, "
-        + ", ".join(f"count_if(event_name = '{n}') AS {n}" for n in fixed.PIVOT_EVENTS) + " FROM ev GROUP BY usr"),
+        + ", ".join(f"count(CASE WHEN event_name = '{n}' THEN 1 END) AS {n}" for n in fixed.PIVOT_EVENTS) + " FROM ev GROUP BY usr"),
     "flat_event_params": on_events(f"{FLATS} SELECT * FROM par"),
     "flat_user_properties": on_events(f"{FLATS} SELECT * FROM prop"),
     "flat_items": on_events(f"{FLATS} SELECT * FROM it"),
