@@ -12,7 +12,7 @@ from webtally.functions.dates import HOUR_MICROS, floor_div, local_second
 from webtally.functions.numbers import money, ratio, share_of_total
 from webtally.functions.params import flatten, in_days, named
 from webtally.functions.urls import without_query
-from webtally.operators.skew import event_order, running
+from webtally.operators.skew import event_order, running, with_span
 
 # Microseconds of one span of the in-hour offset: a hot user's running total is cut into 360 pieces.
 OFFSET_SPAN = 10_000_000
@@ -125,22 +125,25 @@ def attribution_time_decay(events: DataFrame, start, end, half_life_hours: float
         "level", F.explode(F.sequence(F.lit(0), F.lit(max(digits - 1, 0))))
     ).withColumn("digit", F.pmod(floor_by(F.col("hour"), size), F.lit(2).cast("bigint")))
     block = floor_by(F.col("hour"), size * 2)
-    edge = block * size * 2 + size
     later = F.col("bought") == (F.col("digit") == 1)
-    to_edge = F.when(F.col("bought"), F.col("hour") - edge).otherwise(edge - F.col("hour"))
-    weighted = copies.select(
-        "user_pseudo_id", "level", block.alias("block"), later.alias("later"), "bought", "utm",
-        F.when(later, F.col("offset")).otherwise(HOUR_MICROS - F.col("offset")).alias("position"),
-        decay(to_edge).alias("weight"),
-        F.when(F.col("bought"), F.col("amount") * decay(to_edge)).alias("purchase_weight"),
-    )
-    step = decay(F.when(F.col("later"), F.lit(-1)).otherwise(F.lit(1))) - 1
+    group = ["user_pseudo_id", "level", "block", "later"]
+    spread = with_span(
+        copies.select(
+            "user_pseudo_id", "level", block.alias("block"), later.alias("later"), "bought", "utm", "hour", "amount",
+            F.when(later, F.col("offset")).otherwise(HOUR_MICROS - F.col("offset")).alias("position"),
+        ),
+        "position", OFFSET_SPAN,
+    ).repartition(*group, "_span")
+    edge = F.col("block") * size * 2 + size
+    purchase_weight = F.when(F.col("bought"), F.col("amount") * decay(F.col("hour") - edge))
+    weighted = spread.withColumn("purchase_weight", purchase_weight).drop("amount")
     corrections = running(
-        weighted, ["user_pseudo_id", "level", "block", "later"], "position", {"purchase_weight": "earlier"},
-        size=OFFSET_SPAN,
+        weighted, group, "position", {"purchase_weight": "earlier"}, span="_span"
     ).filter(~F.col("bought") & F.col("earlier").isNotNull())
+    step = decay(F.when(F.col("later"), F.lit(-1)).otherwise(F.lit(1))) - 1
+    corrected = F.col("earlier") * decay(edge - F.col("hour")) * step
     parts = base.select("utm", (F.col("purchase_weight") * F.col("touch_weight")).alias("part")).unionByName(
-        corrections.select("utm", (F.col("earlier") * F.col("weight") * step).alias("part"))
+        corrections.select("utm", corrected.alias("part"))
     )
     return (
         parts.groupBy(*[F.col(f"utm.{c}").alias(c) for c in UTM])
@@ -158,34 +161,30 @@ def page_revenue_attribution(events: DataFrame, start, end) -> DataFrame:
 
     Each purchase counts the views before it and each view adds up the shares of the purchases after it:
     two running totals per session instead of a row for every view and purchase."""
-    hits = (
-        flatten(events.filter(in_days(start, end)))
-        .filter(named("page_view") | (named("purchase") & F.col("event_value_in_usd").isNotNull()))
-        .select(
-            "session_key", "event_timestamp", "event_name", without_query(F.col("page_location")).alias("page"),
-            "event_value_in_usd",
-        )
+    hits = flatten(events.filter(in_days(start, end))).select(
+        "session_key", "event_timestamp",
+        F.when(named("page_view"), without_query(F.col("page_location"))).alias("page"),
+        F.when(named("purchase"), money(F.col("event_value_in_usd"))).alias("amount"),
     )
-    views = hits.filter(named("page_view") & F.col("page").isNotNull())
-    moments = (
-        hits.filter(F.col("session_key").isNotNull() & (named("purchase") | F.col("page").isNotNull()))
-        .groupBy("session_key", "event_timestamp", F.when(named("page_view"), F.col("page")).alias("page"))
-        .agg(
-            F.count_if(named("page_view")).alias("views"),
-            F.sum(F.when(named("purchase"), money(F.col("event_value_in_usd")))).alias("amount"),
-        )
+    # One shuffle, by session and hour, serves everything up to the totals per session and page.
+    spread = with_span(
+        hits.filter(F.col("session_key").isNotNull() & (F.col("page").isNotNull() | F.col("amount").isNotNull()))
+    ).repartition("session_key", "_span")
+    moments = spread.groupBy("session_key", "_span", "event_timestamp", "page").agg(
+        F.count("page").alias("views"), F.sum("amount").alias("amount")
     )
-    is_purchase = F.col("amount").isNotNull()
-    counted = running(moments, ["session_key"], "event_timestamp", {"views": "views_before"})
+    counted = running(moments, ["session_key"], "event_timestamp", {"views": "views_before"}, span="_span")
+    shared = F.col("amount").isNotNull() & (F.col("views_before") > 0)
     share = F.round(ratio(F.col("amount"), F.col("views_before")), 2).cast("decimal(24,2)")
-    shared = counted.select(
-        "session_key", "page", "views", "event_timestamp", (-F.col("event_timestamp")).alias("countdown"),
-        F.when(is_purchase & (F.col("views_before") > 0), share).alias("share"),
-        F.when(is_purchase & (F.col("views_before") > 0), F.lit(1)).alias("purchase"),
+    shares = counted.select(
+        "session_key", "_span", "event_timestamp", "page", "views",
+        F.when(shared, share).alias("share"), F.when(shared, F.lit(1)).alias("purchase"),
     )
     credited = running(
-        shared, ["session_key"], "countdown", {"share": "shares_after", "purchase": "purchases_after"}
+        shares, ["session_key"], "event_timestamp", {"share": "shares_after", "purchase": "purchases_after"},
+        backwards=True, span="_span",
     ).filter(F.col("page").isNotNull() & F.col("shares_after").isNotNull())
+    views = hits.filter(F.col("page").isNotNull())
     per_session = credited.groupBy("session_key", "page").agg(
         F.max("purchases_after").alias("purchases"),
         F.sum(F.col("shares_after") * F.col("views")).alias("revenue"),

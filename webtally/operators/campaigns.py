@@ -89,8 +89,8 @@ def organic_query_value(events: DataFrame, search: DataFrame, start, end) -> Dat
         .filter(F.col("query").isNotNull() & F.col("url").isNotNull())
         .groupBy("query", transform_url(F.col("url"), "all").alias("url")).agg(F.sum("clicks").alias("clicks"))
     )
-    all_clicks = queries.groupBy("url").agg(F.sum("clicks").alias("url_clicks"))
-    shared = join_to_unique(queries, all_clicks.join(landings, "url"), "url", ["query"], how="inner")
+    all_clicks = queries.groupBy("url").agg(F.sum("clicks").alias("url_clicks"), F.count("*").alias("url_queries"))
+    shared = join_to_unique(queries, all_clicks.join(landings, "url"), "url", "url_queries", ["query"], how="inner")
     credit = F.round(ratio(F.col("sessions") * F.col("clicks"), F.col("url_clicks")), 2)
     return (
         shared.select(F.col("query").alias("search_query"), credit.alias("credit"), "amount")

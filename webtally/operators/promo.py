@@ -159,15 +159,15 @@ def promo_funnel(
         ratio(F.col("promo_clicks"), F.col("promo_views")).alias("promo_ctr"),
         ratio(F.col("not_engaged"), F.col("sessions")).alias("bounce_rate"),
         _clv().alias("estimated_clv"), _retention_days().alias("retention_days"),
-        F.col("sessions").alias("session_count"),
+        F.col("sessions").alias("session_count"), "recent_promo_views",
     )
     appearance = search_appearance_totals(search, start, end).select(
         F.struct(*[F.col(flag).alias(name) for flag, name in SEARCH_COLUMNS.items()]).alias("totals")
     )
     views = _recent_views(events, pattern, as_of, days)
-    joined = join_to_unique(views, users, "user_pseudo_id", ["event_timestamp", "sequence"])
+    joined = join_to_unique(views, users, "user_pseudo_id", "recent_promo_views", ["event_timestamp", "sequence"])
     tie_break = [F.desc("revenue_generated"), "user_pseudo_id", "event_timestamp", "sequence"]
-    output = [c for c in views.columns if c not in ("event_timestamp", "sequence")] + users.columns[1:]
+    output = [c for c in views.columns if c not in ("event_timestamp", "sequence")] + users.columns[1:-1]
     return (
         joined.withColumn("appearance", appearance.scalar()).orderBy(*tie_break)
         .select(*output, *[F.col(f"appearance.{name}").alias(name) for name in SEARCH_COLUMNS.values()])
@@ -179,12 +179,12 @@ def promo_users(events: DataFrame, pattern: str = PROMO_PATTERN, as_of=None, day
     users = _promo_users(events, pattern, as_of, days).select(
         "user_pseudo_id", F.col("sessions").alias("promo_sessions"), F.col("events").alias("promo_page_views"),
         F.col("purchases").alias("total_purchases"), F.col("revenue").cast("double").alias("total_revenue"),
-        F.round(ratio(F.col("purchases"), F.col("sessions")) * 100, 2).alias("conversion_rate"),
+        F.round(ratio(F.col("purchases"), F.col("sessions")) * 100, 2).alias("conversion_rate"), "recent_promo_views",
     )
     views = _recent_views(events, pattern, as_of, days).withColumnsRenamed(
         {"source": "traffic_source", "medium": "traffic_medium"}
     )
-    joined = join_to_unique(views, users, "user_pseudo_id", ["event_timestamp", "sequence"])
+    joined = join_to_unique(views, users, "user_pseudo_id", "recent_promo_views", ["event_timestamp", "sequence"])
     return joined.orderBy(F.desc("total_revenue"), "user_pseudo_id", "event_timestamp", "sequence").drop(
         "event_timestamp", "sequence"
     )

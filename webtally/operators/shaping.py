@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from webtally.functions.fixed import ITEM_LIST_FIELDS, ITEM_NUMBER_FIELDS, ITEM_TEXT_FIELDS, PIVOT_EVENTS
 from webtally.functions.params import in_days
@@ -59,33 +59,30 @@ def flat_items(events: DataFrame, start, end) -> DataFrame:
 def flat_events(events: DataFrame, start, end) -> DataFrame:
     """Every combination of an event's parameters, user properties and items, one row each.
 
-    Events are matched to their parts by (user, time, name). Where that names one event, the parts are those
-    of the row itself and no join is needed; only events that share the triple go through joins. An event
-    without a user, time or name matches nothing and keeps one row without parts."""
+    Events are matched to their parts by (user, time, name), so events that share all three get each other's
+    parts too: a window over the triple brings the parts together and three explodes multiply them, with one
+    shuffle and no join. (A triple has few events; its rows in the result are the product of all its parts.)
+    An event without a user, time or name matches nothing and keeps one row without parts."""
     rows = events.filter(in_days(start, end))
-    shared = rows.groupBy(*EVENT).count().filter(F.col("count") > 1).dropna(subset=EVENT).select(*EVENT)
-    named_fully = F.lit(True)
+    incomplete = F.lit(False)
     for column in EVENT:
-        named_fully = named_fully & F.col(column).isNotNull()
+        incomplete = incomplete | F.col(column).isNull()
+    same = W.partitionBy(*EVENT)
 
     def parts(column: str) -> Column:
-        return F.explode_outer(F.when(named_fully, F.col(column)))
-
-    alone = (
-        rows.join(shared, EVENT, "left_anti")
-        .select(*EVENT, parts("event_params").alias("p"), "user_properties", "items")
-        .select(*EVENT, *_param_columns("p"), parts("user_properties").alias("u"), "items")
-        .select(*EVENT, *_value_names("param"), *_property_columns("u"), parts("items").alias("i"))
+        return F.flatten(F.collect_list(column).over(same)).alias(column)
+
+    matched = (
+        rows.filter(~incomplete)
+        .select(*EVENT, parts("event_params"), parts("user_properties"), parts("items"))
+        .select(*EVENT, F.explode_outer("event_params").alias("p"), "user_properties", "items")
+        .select(*EVENT, *_param_columns("p"), F.explode_outer("user_properties").alias("u"), "items")
+        .select(*EVENT, *_value_names("param"), *_property_columns("u"), F.explode_outer("items").alias("i"))
         .select(*EVENT, *_value_names("param"), *_value_names("user_property"), *_item_columns("i"))
     )
-    several = rows.join(shared, EVENT, "left_semi")
-    together = (
-        several.select(*EVENT)
-        .join(flat_event_params(several, start, end), EVENT, "left")
-        .join(flat_user_properties(several, start, end), EVENT, "left")
-        .join(flat_items(several, start, end), EVENT, "left")
+    return matched.unionByName(rows.filter(incomplete).select(*EVENT), allowMissingColumns=True).orderBy(
+        "user_pseudo_id", "event_timestamp", "event_name", "param_key", "user_property_key", "item_id"
     )
-    return alone.unionByName(together).orderBy("user_pseudo_id", "event_timestamp", "event_name", "param_key", "item_id")
 
 
 def _value_names(kind: str) -> list[str]:

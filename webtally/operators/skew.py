@@ -51,37 +51,65 @@ def neighbours(df: DataFrame, keys: list[str], value: str, span: str | None = No
 
 
 def running(
-    df: DataFrame, keys: list[str], order: str, outputs: dict[str, str], how: str = "sum", size: int = HOUR_MICROS,
-    strict: bool = True,
+    df: DataFrame, keys: list[str], order: str, outputs: dict[str, str], how: str = "sum", strict: bool = True,
+    backwards: bool = False, size: int = HOUR_MICROS, span: str | None = None,
 ) -> DataFrame:
     """Add running totals within ``keys``: ``outputs`` maps a value column to the name of its total.
 
-    The total of a row covers the rows with a smaller ``order`` (a whole number), or with an equal one too
-    when ``strict`` is false; ``how`` is ``sum`` or ``max``. Each span with something before it gets one
-    carry row that brings in the total of all earlier spans of its key; most keys fit one span and get none."""
+    The total of a row covers the rows with a smaller ``order`` (a whole number), or a greater one when
+    ``backwards``; rows with an equal one count when not ``strict``. ``how`` is ``sum`` or ``max``. A span with
+    something before it gets one carry row that brings in the total of all earlier spans of its key; most keys
+    fit one span and get none.
+
+    Rows are shuffled once, by (keys, span); give ``span`` when ``df`` is already spread by that column. The
+    span totals group by the other columns too, so that they read the same columns and share the shuffle."""
     combine = {"sum": F.sum, "max": F.max}[how]
-    real = with_span(df, order, size).withColumn("_real", F.lit(True))
-    totals = real.groupBy(*keys, "_span").agg(
-        F.min(order).alias("_first"), *[combine(v).alias(v) for v in outputs]
-    )
-    earlier = W.partitionBy(*keys).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
+    columns = df.columns
+    real = df if span else with_span(df, order, size).repartition(*keys, "_span")
+    span = span or "_span"
+    edge, step, direction = (F.max, 1, F.desc) if backwards else (F.min, -1, F.asc)
+    others = [c for c in columns if c not in {*keys, span, order, *outputs}]
+
+    def add_up(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.groupBy(*keys, span, *by).agg(edge(order).alias(order), *[combine(v).alias(v) for v in outputs])
+
+    totals = add_up(add_up(real, *others))
+    earlier = W.partitionBy(*keys).orderBy(direction(span)).rowsBetween(W.unboundedPreceding, -1)
     carried = totals.select(
-        *keys, "_span", (F.col("_first") - 1).alias(order), *[combine(v).over(earlier).alias(v) for v in outputs]
-    ).filter(" OR ".join(f"{v} IS NOT NULL" for v in outputs))
-    upto = W.partitionBy(*keys, "_span").orderBy(order).rangeBetween(W.unboundedPreceding, -1 if strict else 0)
-    everything = real.unionByName(carried.withColumn("_real", F.lit(False)), allowMissingColumns=True)
+        *keys, span, (F.col(order) + step).alias(order), *[combine(v).over(earlier).alias(v) for v in outputs]
+    ).filter(" OR ".join(f"{v} IS NOT NULL" for v in outputs)).repartition(*keys, span)
+    upto = W.partitionBy(*keys, span).orderBy(direction(order)).rangeBetween(W.unboundedPreceding, -1 if strict else 0)
+    everything = real.withColumn("_real", F.lit(True)).unionByName(
+        carried.withColumn("_real", F.lit(False)), allowMissingColumns=True
+    )
     return everything.select(
-        *df.columns, "_real", *[combine(v).over(upto).alias(name) for v, name in outputs.items()]
+        *columns, "_real", *[combine(v).over(upto).alias(name) for v, name in outputs.items()]
     ).filter("_real").drop("_real")
 
 
-def join_to_unique(many: DataFrame, unique: DataFrame, key: str, spread: list[str], how: str = "left", salts: int = 32) -> DataFrame:
-    """Join rows to a table with one row per ``key``, splitting every key of ``many`` over ``salts`` tasks.
+# Rows of a key that one task takes without trouble, and how many of the most frequent keys beyond that are dealt
+# out. Every key after those has less than one row in HOT_KEYS, so the list need not grow with the data.
+HOT_ROWS = 100_000
+HOT_KEYS = 1000
+HOT_TASKS = 256
+
 
-    ``spread`` names columns of ``many`` that differ between rows of a key. ``unique`` is repeated once per
-    salt, so it should be the small side (one row per user or page that matters)."""
-    salt = F.pmod(F.xxhash64(*spread), F.lit(salts).cast("bigint"))
-    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
-    left = many.withColumn("_salt", salt)
-    right = unique.withColumn("_salt", copies)
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+def join_to_unique(
+    many: DataFrame, unique: DataFrame, key: str, size: str, spread: list[str], how: str = "left", hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Join rows to a table with one row per ``key``, dealing the rows of hot keys out over many tasks.
+
+    Column ``size`` of ``unique`` holds the number of rows of ``many`` with that key. The hot keys, one short array
+    from a scalar subquery, get a number from the ``spread`` columns (which differ between rows of a key) on one
+    side, and one copy per number on the other. Rows without a key match nothing and are dealt out too. All
+    other rows join as usual."""
+    hot_keys = (
+        unique.select(key, size).filter(F.col(size) > hot_rows).orderBy(F.desc(size), key).limit(HOT_KEYS)
+        .agg(F.collect_list(key)).scalar()
+    )
+    hot = F.array_contains(hot_keys, F.col(key))
+    number = F.pmod(F.xxhash64(*spread), F.lit(HOT_TASKS).cast("bigint"))
+    copies = F.sequence(F.lit(0).cast("bigint"), F.when(hot, F.lit(HOT_TASKS - 1)).otherwise(0).cast("bigint"))
+    left = many.withColumn("_deal", F.when(F.col(key).isNull() | hot, number).otherwise(0))
+    right = unique.drop(size).withColumn("_deal", F.explode(copies))
+    return left.join(right, [key, "_deal"], how).drop("_deal")

@@ -591,8 +591,8 @@ SELECT o_orderkey AS sale_id, o_custkey AS customer_id, c_name AS customer_name,
   o_orderkey % 2000 AS product_id, o_totalprice AS sale_amount
 FROM orders LEFT JOIN c ON o_custkey = c_custkey AND CAST(o_orderdate AS DATE) >= since
 WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'""",
-    "monthly_partitioned_sink": """
-SELECT 'web_analytics_' || strftime(ts, '%Y%m') AS table_name, CAST(ts AS DATE) AS event_date, count(*) AS row_count,
-  count(DISTINCT user_id) AS users, count(DISTINCT epoch_us(ts) // 172800000000) AS sessions, max(epoch_us(ts)) AS last_event
-FROM events WHERE ts >= TIMESTAMP '2023-02-01' AND ts < TIMESTAMP '2024-02-01' GROUP BY 1, 2""",
+    "monthly_partitioned_sink": on_events("""
+SELECT 'web_analytics_' || strftime(day, '%Y%m') AS table_name, day AS event_date, count(*) AS row_count,
+  count(DISTINCT CASE WHEN usr IS NOT NULL THEN uid END) AS users, count(DISTINCT session_id) AS sessions, max(t) AS last_event
+FROM ev WHERE day >= DATE '2023-02-01' AND day < DATE '2024-02-01' GROUP BY 1, 2"""),
 }

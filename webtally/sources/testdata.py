@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from webtally.functions.dates import DAY_MICROS
 from webtally.functions.fixed import APPEARANCE_FLAGS
+from webtally.functions.params import flatten
 from webtally.sources.readers import read_events
 from webtally.sources.schemas import EVENT_FIELDS, ITEM_FIELDS
 from webtally.sources.writers import shared_folder, write_by_date
@@ -217,8 +218,8 @@ def customers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def monthly_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of the monthly tables."""
-    return event_rows(spark, folder).selectExpr(
-        "uid AS user_id", f"CAST(us DIV {2 * DAY_MICROS} AS STRING) AS session_id", "event_type AS event_name",
-        f"date_from_unix_date(CAST(us DIV {DAY_MICROS} AS INT)) AS event_date", "timestamp_micros(us) AS event_timestamp",
+    """Rows of the monthly tables, taken from the stored events so that each month reads only its own days."""
+    return flatten(stored_events(spark, folder)).selectExpr(
+        "CAST(substr(user_pseudo_id, 2) AS BIGINT) AS user_id", "session_id", "event_name", "event_day AS event_date",
+        "timestamp_micros(event_timestamp) AS event_timestamp",
     )
