@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import datetime
 import decimal
-import math
 import pathlib
+from collections import Counter
 
 import duckdb
 
@@ -27,11 +27,11 @@ def _cell(value):
 
 def rows_of(columns: list[str], rows) -> list[tuple]:
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    cells = [tuple(_cell(row[i]) for i in order) for row in rows]
-    return sorted(cells, key=lambda row: tuple((v is None, str(type(v)), str(v)) for v in row))
+    return [tuple(_cell(row[i]) for i in order) for row in rows]
 
 
-def differences(spark_df, connection, sql: str, exact: bool = True) -> list[str]:
+def differences(spark_df, connection, sql: str) -> list[str]:
+    """Rows of one side that the other lacks, as multisets; every value must be equal and of the same type."""
     got = rows_of(spark_df.columns, spark_df.collect())
     cursor = connection.execute(sql)
     names = [d[0] for d in cursor.description]
@@ -40,11 +40,7 @@ def differences(spark_df, connection, sql: str, exact: bool = True) -> list[str]
         return [f"columns {sorted(spark_df.columns)} != {sorted(names)}"]
     if len(got) != len(want):
         return [f"{len(got)} rows != {len(want)}"]
-
-    def equal(a, b) -> bool:
-        if isinstance(a, float) and isinstance(b, (float, int)) and not exact:
-            return math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)
-        return type(a) is type(b) and a == b
-
-    bad = [(g, w) for g, w in zip(got, want) if not all(equal(a, b) for a, b in zip(g, w))]
-    return [f"{len(bad)} of {len(got)} rows differ, {sorted(names)}: {g} != {w}" for g, w in bad[:3]]
+    typed = [Counter((row, tuple(type(v) for v in row)) for row in side) for side in (got, want)]
+    spare = [list((typed[i] - typed[1 - i]).elements()) for i in (0, 1)]
+    spare = [sorted((row for row, _ in side), key=str) for side in spare]
+    return [f"{len(spare[0])} of {len(got)} rows differ, {sorted(names)}: {g} != {w}" for g, w in list(zip(*spare))[:3]]

@@ -37,30 +37,20 @@ def traffic_category(source: Column) -> Column:
 def channel_grouping(source: Column, medium: Column, campaign: Column, gclid: Column) -> Column:
     """Marketing channel of a session: paid variants of a site family come before its organic variant."""
     site, way = F.lower(source), F.lower(medium)
-    paid = way.rlike(fixed.PAID_MEDIUMS)
-    shop, search, social, video = (
-        site.rlike(sites)
-        for sites in (fixed.SHOPPING_SITES, fixed.SEARCH_SITES, fixed.SOCIAL_SITES, fixed.VIDEO_SITES)
-    )
-    return first_match(
-        [
-            ("Direct", source.isNull() | medium.isNull()),
-            ("Cross-network", F.lower(campaign).contains("cross-network")),
-            ("Paid Shopping", shop & paid),
-            ("Paid Search", gclid.isNotNull() | (search & paid)),
-            ("Paid Social", social & paid),
-            ("Paid Video", video & paid),
-            ("Display", way.isin(fixed.DISPLAY_MEDIUMS)),
-            ("Organic Shopping", shop),
-            ("Organic Social", social | way.isin(fixed.SOCIAL_MEDIUMS)),
-            ("Organic Video", video | way.contains("video")),
-            ("Organic Search", search | (way == "organic")),
-            ("Email", site.rlike(fixed.EMAIL_NAMES) | way.rlike(fixed.EMAIL_NAMES)),
-            ("Affiliates", way == "affiliate"),
-            ("Referral", way == "referral"),
-            ("Audio", way == "audio"),
-            ("SMS", way == "sms"),
-            ("Push Notifications", way.contains("push") | way.rlike(fixed.PUSH_MEDIUMS)),
-        ],
-        "Unassigned",
-    )
+    families = {name: site.rlike(pattern) for name, pattern in fixed.SITES.items()}
+    paid = {name: family & way.rlike(fixed.PAID_MEDIUMS) for name, family in families.items()}
+    paid["Search"] = gclid.isNotNull() | paid["Search"]
+    organic = {
+        "Shopping": families["Shopping"],
+        "Social": families["Social"] | way.isin(fixed.SOCIAL_MEDIUMS),
+        "Video": families["Video"] | way.contains("video"),
+        "Search": families["Search"] | (way == "organic"),
+    }
+    rules = [("Direct", source.isNull() | medium.isNull()), ("Cross-network", F.lower(campaign).contains("cross-network"))]
+    rules += [(f"Paid {name}", paid[name]) for name in fixed.PAID_ORDER]
+    rules += [("Display", way.isin(fixed.DISPLAY_MEDIUMS))]
+    rules += [(f"Organic {name}", organic[name]) for name in fixed.ORGANIC_ORDER]
+    rules += [("Email", site.rlike(fixed.EMAIL_NAMES) | way.rlike(fixed.EMAIL_NAMES))]
+    rules += [(channel, way == name) for name, channel in fixed.MEDIUM_CHANNELS.items()]
+    rules += [("Push Notifications", way.contains("push") | way.rlike(fixed.PUSH_MEDIUMS))]
+    return first_match(rules, "Unassigned")

@@ -8,12 +8,19 @@ SEARCH_SOURCES = ["google", "bing", "yahoo"]
 SOCIAL_SOURCES = ["facebook", "instagram", "twitter"]
 
 # Channel rules: patterns are searched anywhere in the lower-cased text.
-SHOPPING_SITES = r"(alibaba|amazon|google shopping|shopify|etsy|ebay|stripe|walmart)"
-SEARCH_SITES = r"(baidu|bing|duckduckgo|ecosia|google|yahoo|yandex)"
-SOCIAL_SITES = r"(badoo|facebook|fb|instagram|linkedin|pinterest|tiktok|twitter|whatsapp)"
-VIDEO_SITES = r"(dailymotion|disneyplus|netflix|youtube|vimeo|twitch)"
+SITES = {
+    "Shopping": r"(alibaba|amazon|google shopping|shopify|etsy|ebay|stripe|walmart)",
+    "Search": r"(baidu|bing|duckduckgo|ecosia|google|yahoo|yandex)",
+    "Social": r"(badoo|facebook|fb|instagram|linkedin|pinterest|tiktok|twitter|whatsapp)",
+    "Video": r"(dailymotion|disneyplus|netflix|youtube|vimeo|twitch)",
+}
+# Order in which site families are tried, paid and organic.
+PAID_ORDER = ["Shopping", "Search", "Social", "Video"]
+ORGANIC_ORDER = ["Shopping", "Social", "Video", "Search"]
 PAID_MEDIUMS = r"(cp.*|ppc|paid.*)"
 EMAIL_NAMES = r"(email|e-mail|e_mail|e mail)"
+# Channel of a medium that names it outright.
+MEDIUM_CHANNELS = {"affiliate": "Affiliates", "referral": "Referral", "audio": "Audio", "sms": "SMS"}
 PUSH_MEDIUMS = r"(mobile|notification)"
 DISPLAY_MEDIUMS = ["display", "banner", "expandable", "interstitial", "cpm"]
 SOCIAL_MEDIUMS = ["social", "social-network", "social-media", "sm", "social network", "social media"]

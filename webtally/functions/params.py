@@ -32,7 +32,8 @@ _ADS = "session_traffic_source_last_click.google_ads_campaign"
 FLAT_COLUMNS = {
     "event_date": "event_date",
     "event_day": "to_date(event_date, 'yyyyMMdd')",
-    "event_timestamp": "event_timestamp",
+    # Renamed, as a passed-through column is aliased on one side of a self-union only, which defeats exchange reuse.
+    "event_micros": "event_timestamp",
     "sequence": "event_bundle_sequence_id",
     "event_name": "event_name",
     "user_pseudo_id": "user_pseudo_id",

@@ -94,8 +94,8 @@ def attribution_time_decay(events: DataFrame, start, end, half_life_hours: float
     hours = 24 * ((datetime.date.fromisoformat(str(end)) - first).days + 1)
     digits = (hours - 1).bit_length()
     origin = (first - datetime.date(1970, 1, 1)).days * 24
-    hour = floor_div(F.col("event_timestamp"), HOUR_MICROS) - origin
-    offset = F.pmod("event_timestamp", F.lit(HOUR_MICROS).cast("bigint"))
+    hour = floor_div(F.col("event_micros"), HOUR_MICROS) - origin
+    offset = F.pmod("event_micros", F.lit(HOUR_MICROS).cast("bigint"))
 
     def decay(hours_between: Column) -> Column:
         return F.pow(F.lit(0.5), hours_between / half_life_hours)
@@ -105,31 +105,31 @@ def attribution_time_decay(events: DataFrame, start, end, half_life_hours: float
         .filter(F.col("user_pseudo_id").isNotNull())
         .filter(named(*fixed.TOUCH_EVENTS) | (named("purchase") & (F.col("summed_value") > 0)))
         .select(
-            "user_pseudo_id", F.struct(*UTM).alias("utm"), named("purchase").alias("bought"),
+            F.col("user_pseudo_id").alias("user"), F.struct(*UTM).alias("utm"), named("purchase").alias("bought"),
             F.col("summed_value").alias("amount"), hour.alias("hour"), offset.alias("offset"),
         )
     )
     middle = hours // 2
-    per_touch = hits.groupBy("user_pseudo_id", F.when(~F.col("bought"), F.col("utm")).alias("utm")).agg(
+    per_touch = hits.groupBy("user", F.when(~F.col("bought"), F.col("utm")).alias("utm")).agg(
         F.sum(F.when(F.col("bought"), F.col("amount") * decay(F.col("hour") - middle))).alias("purchase_weight"),
         F.sum(F.when(~F.col("bought"), decay(middle - F.col("hour")))).alias("touch_weight"),
     )
-    in_user = W.partitionBy("user_pseudo_id")
+    in_user = W.partitionBy("user")
     base = per_touch.withColumn("purchase_weight", F.max("purchase_weight").over(in_user)).filter(
         F.col("utm").isNotNull() & F.col("purchase_weight").isNotNull()
     )
     # One copy of a row per binary digit of its hour; ``digit`` is the value there, ``edge`` the first hour
     # of the upper half, and ``later`` says whether the pairs have the purchase in the later hour.
     size = F.pow(F.lit(2), F.col("level")).cast("bigint")
-    copies = hits.join(base, "user_pseudo_id", "left_semi").withColumn(
+    copies = hits.join(base, "user", "left_semi").withColumn(
         "level", F.explode(F.sequence(F.lit(0), F.lit(max(digits - 1, 0))))
     ).withColumn("digit", F.pmod(floor_by(F.col("hour"), size), F.lit(2).cast("bigint")))
     block = floor_by(F.col("hour"), size * 2)
     later = F.col("bought") == (F.col("digit") == 1)
-    group = ["user_pseudo_id", "level", "block", "later"]
+    group = ["user", "level", "block", "later"]
     spread = with_span(
         copies.select(
-            "user_pseudo_id", "level", block.alias("block"), later.alias("later"), "bought", "utm", "hour", "amount",
+            "user", "level", block.alias("block"), later.alias("later"), "bought", "utm", "hour", "amount",
             F.when(later, F.col("offset")).otherwise(HOUR_MICROS - F.col("offset")).alias("position"),
         ),
         "position", OFFSET_SPAN,
@@ -162,7 +162,7 @@ def page_revenue_attribution(events: DataFrame, start, end) -> DataFrame:
     Each purchase counts the views before it and each view adds up the shares of the purchases after it:
     two running totals per session instead of a row for every view and purchase."""
     hits = flatten(events.filter(in_days(start, end))).select(
-        "session_key", "event_timestamp",
+        "session_key", "event_micros",
         F.when(named("page_view"), without_query(F.col("page_location"))).alias("page"),
         F.when(named("purchase"), money(F.col("event_value_in_usd"))).alias("amount"),
     )
@@ -170,18 +170,18 @@ def page_revenue_attribution(events: DataFrame, start, end) -> DataFrame:
     spread = with_span(
         hits.filter(F.col("session_key").isNotNull() & (F.col("page").isNotNull() | F.col("amount").isNotNull()))
     ).repartition("session_key", "_span")
-    moments = spread.groupBy("session_key", "_span", "event_timestamp", "page").agg(
+    moments = spread.groupBy("session_key", "_span", "event_micros", "page").agg(
         F.count("page").alias("views"), F.sum("amount").alias("amount")
     )
-    counted = running(moments, ["session_key"], "event_timestamp", {"views": "views_before"}, span="_span")
+    counted = running(moments, ["session_key"], "event_micros", {"views": "views_before"}, span="_span")
     shared = F.col("amount").isNotNull() & (F.col("views_before") > 0)
     share = F.round(ratio(F.col("amount"), F.col("views_before")), 2).cast("decimal(24,2)")
     shares = counted.select(
-        "session_key", "_span", "event_timestamp", "page", "views",
+        "session_key", "_span", "event_micros", "page", "views",
         F.when(shared, share).alias("share"), F.when(shared, F.lit(1)).alias("purchase"),
     )
     credited = running(
-        shares, ["session_key"], "event_timestamp", {"share": "shares_after", "purchase": "purchases_after"},
+        shares, ["session_key"], "event_micros", {"share": "shares_after", "purchase": "purchases_after"},
         backwards=True, span="_span",
     ).filter(F.col("page").isNotNull() & F.col("shares_after").isNotNull())
     views = hits.filter(F.col("page").isNotNull())
@@ -206,26 +206,29 @@ def source_product_revenue(events: DataFrame, start, end, zone: str = "America/N
     A session takes source and user of its first event, by wall-clock second in ``zone``; a session without a
     source takes the user's last one. Products come from purchases whose transaction id contains ``live``, on
     any date."""
-    second = local_second(F.col("event_timestamp"), zone)
+    second = local_second(F.col("event_micros"), zone)
     source = source_medium(F.col("manual_source"), F.col("manual_medium"), F.col("gclid"))
     starts = (
         flatten(events.filter(in_days(start, end)))
-        .select("session_key", "user_pseudo_id", "event_timestamp", "sequence", second.alias("second"), source.alias("source"))
+        .select("session_key", "user_pseudo_id", "event_micros", "sequence", second.alias("second"), source.alias("source"))
         .groupBy("session_key")
-        .agg(F.min_by(F.struct("user_pseudo_id", "source"), F.struct("second", "event_timestamp", "sequence")).alias("first"),
+        .agg(F.min_by(F.struct("user_pseudo_id", "source"), F.struct("second", "event_micros", "sequence")).alias("first"),
              F.min("second").alias("started"))
         .select("session_key", "first.user_pseudo_id", "started",
                 F.when(F.col("first.source").isNotNull(), F.struct("started", "first.source")).alias("known"))
     )
     carried = running(starts, ["user_pseudo_id"], "started", {"known": "last_known"}, how="max", size=86_400, strict=False)
     product = ["item_category", "item_name"]
-    sold = (
+    items = (
         flatten(events).filter(named("purchase") & F.col("transaction_id").contains("live"))
         .select("session_key", F.explode("items").alias("item"))
-        .groupBy("session_key", *[F.col(f"item.{c}").alias(c) for c in product])
-        .agg(F.sum(money(F.col("item.item_revenue"))).alias("price"), F.sum("item.quantity").alias("quantity"))
+        .select("session_key", *[F.col(f"item.{c}").alias(c) for c in product],
+                money(F.col("item.item_revenue")).alias("price"), F.col("item.quantity").alias("quantity"))
     )
-    totals = sold.groupBy(*product).agg(
+    sold = items.filter(F.col("session_key").isNotNull()).groupBy("session_key", *product).agg(
+        F.sum("price").alias("price"), F.sum("quantity").alias("quantity")
+    )
+    totals = items.groupBy(*product).agg(
         F.sum("quantity").alias("total_products_purchased"),
         F.round(F.sum("price").cast("double"), 2).alias("total_category_revenue"),
     )

@@ -11,7 +11,7 @@ from webtally.functions.params import flatten, in_days, named
 def daily_metrics(events: DataFrame, start, end) -> DataFrame:
     """Sessions, their mean length, users, new users, purchases, revenue, views and engagement per day."""
     sessions = flatten(events.filter(in_days(start, end))).groupBy("event_day", "user_pseudo_id", "ga_session_id").agg(
-        (F.max("event_timestamp") - F.min("event_timestamp")).alias("micros"),
+        (F.max("event_micros") - F.min("event_micros")).alias("micros"),
         F.count("*").alias("events"),
         F.count_if(named("page_view")).alias("views"),
         F.count_if(named("purchase")).alias("purchases"),

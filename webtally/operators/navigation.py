@@ -57,7 +57,7 @@ def navigation_steps(events: DataFrame, start, end) -> DataFrame:
         )
     )
     # Attributes in force: those of the last event at or before this time (events at one time are peers).
-    at_or_before = W.partitionBy("session_key", "_span").orderBy("event_timestamp")
+    at_or_before = W.partitionBy("session_key", "_span").orderBy("event_micros")
     in_force = F.max_by(F.struct("user_pseudo_id", *attributes), event_order()).over(at_or_before)
     state = F.struct(F.col("user_pseudo_id"), *[F.col(f"_state.{a}").alias(a) for a in attributes])
     dressed = with_span(hits).withColumn("_state", in_force).select(

@@ -30,7 +30,7 @@ def _recent(as_of, days: int) -> Column:
 
 def _user_totals(events: DataFrame, pattern: str, as_of, days: int) -> DataFrame:
     promo = F.coalesce(is_promo(F.col("page_location"), pattern), F.lit(False))
-    time = F.col("event_timestamp")
+    time = F.col("event_micros")
     sessions = flatten(events).groupBy("user_pseudo_id", "session_id").agg(
         F.count("*").alias("events"),
         F.count_if(named("purchase")).alias("purchases"),
@@ -71,7 +71,7 @@ def _recent_views(events: DataFrame, pattern: str, as_of, days: int) -> DataFram
     ).select(
         "user_pseudo_id", "page_location", F.col("first_source").alias("source"), F.col("first_medium").alias("medium"),
         F.col("device_category").alias("device_type"), F.col("country").alias("user_country"),
-        "event_timestamp", "sequence",
+        "event_micros", "sequence",
     )
 
 
@@ -165,9 +165,9 @@ def promo_funnel(
         F.struct(*[F.col(flag).alias(name) for flag, name in SEARCH_COLUMNS.items()]).alias("totals")
     )
     views = _recent_views(events, pattern, as_of, days)
-    joined = join_to_unique(views, users, "user_pseudo_id", "recent_promo_views", ["event_timestamp", "sequence"])
-    tie_break = [F.desc("revenue_generated"), "user_pseudo_id", "event_timestamp", "sequence"]
-    output = [c for c in views.columns if c not in ("event_timestamp", "sequence")] + users.columns[1:-1]
+    joined = join_to_unique(views, users, "user_pseudo_id", "recent_promo_views", ["event_micros", "sequence"])
+    tie_break = [F.desc("revenue_generated"), "user_pseudo_id", "event_micros", "sequence"]
+    output = [c for c in views.columns if c not in ("event_micros", "sequence")] + users.columns[1:-1]
     return (
         joined.withColumn("appearance", appearance.scalar()).orderBy(*tie_break)
         .select(*output, *[F.col(f"appearance.{name}").alias(name) for name in SEARCH_COLUMNS.values()])
@@ -184,9 +184,9 @@ def promo_users(events: DataFrame, pattern: str = PROMO_PATTERN, as_of=None, day
     views = _recent_views(events, pattern, as_of, days).withColumnsRenamed(
         {"source": "traffic_source", "medium": "traffic_medium"}
     )
-    joined = join_to_unique(views, users, "user_pseudo_id", "recent_promo_views", ["event_timestamp", "sequence"])
-    return joined.orderBy(F.desc("total_revenue"), "user_pseudo_id", "event_timestamp", "sequence").drop(
-        "event_timestamp", "sequence"
+    joined = join_to_unique(views, users, "user_pseudo_id", "recent_promo_views", ["event_micros", "sequence"])
+    return joined.orderBy(F.desc("total_revenue"), "user_pseudo_id", "event_micros", "sequence").drop(
+        "event_micros", "sequence"
     )
 
 

@@ -13,7 +13,7 @@ from webtally.functions.params import flatten, in_days, named
 def average_session_duration(events: DataFrame, start, end) -> DataFrame:
     """Mean seconds between first and last event of a session, per day; midnight splits a session."""
     per_day = flatten(events.filter(in_days(start, end))).groupBy("event_day", "session_key").agg(
-        (F.max("event_timestamp") - F.min("event_timestamp")).alias("micros")
+        (F.max("event_micros") - F.min("event_micros")).alias("micros")
     )
     seconds = F.sum("micros") / 1_000_000
     return (
@@ -121,8 +121,8 @@ def hourly_event_funnel(events: DataFrame, start, end) -> DataFrame:
     )
     slots = (
         flatten(events.filter(in_days(start, end))).filter(counted)
-        .groupBy("event_day", utc_hour(F.col("event_timestamp")).alias("hour"), "event_name", "ga_session_id")
-        .agg(F.count("event_timestamp").alias("hits"))
+        .groupBy("event_day", utc_hour(F.col("event_micros")).alias("hour"), "event_name", "ga_session_id")
+        .agg(F.count("event_micros").alias("hits"))
     )
 
     def sessions_of(name: str):

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from webtally.functions.dates import HOUR_MICROS, floor_div
 
-EVENT_ORDER = ("event_timestamp", "sequence")
+EVENT_ORDER = ("event_micros", "sequence")
 
 
 def event_order() -> Column:
@@ -19,7 +19,7 @@ def event_order() -> Column:
     return F.struct(*EVENT_ORDER)
 
 
-def with_span(df: DataFrame, order: str = "event_timestamp", size: int = HOUR_MICROS, name: str = "_span") -> DataFrame:
+def with_span(df: DataFrame, order: str = "event_micros", size: int = HOUR_MICROS, name: str = "_span") -> DataFrame:
     return df.withColumn(name, floor_div(F.col(order), size))
 
 

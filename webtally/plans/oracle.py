@@ -187,28 +187,30 @@ c AS (SELECT d, CASE WHEN isnan(corr(ctr, pos)) THEN NULL ELSE corr(ctr, pos) EN
 TRANSFORM = "regexp_replace(regexp_replace(regexp_replace({0}, '\\?.*$|#.*', '', 'g'), '^(https?://|ftp://)', ''), '^[^/]+/', '/')"
 
 
-def sites(pattern: str) -> str:
-    return f"regexp_matches(lower(src), '{pattern}')"
-
-
-PAID = f"regexp_matches(lower(med), '{fixed.PAID_MEDIUMS}')"
-CHANNEL = f"""CASE
-  WHEN src IS NULL OR med IS NULL THEN 'Direct'
-  WHEN lower(mcamp) LIKE '%cross-network%' THEN 'Cross-network'
-  WHEN {sites(fixed.SHOPPING_SITES)} AND {PAID} THEN 'Paid Shopping'
-  WHEN gclid IS NOT NULL OR ({sites(fixed.SEARCH_SITES)} AND {PAID}) THEN 'Paid Search'
-  WHEN {sites(fixed.SOCIAL_SITES)} AND {PAID} THEN 'Paid Social'
-  WHEN {sites(fixed.VIDEO_SITES)} AND {PAID} THEN 'Paid Video'
-  WHEN lower(med) IN ({', '.join(repr(m) for m in fixed.DISPLAY_MEDIUMS)}) THEN 'Display'
-  WHEN {sites(fixed.SHOPPING_SITES)} THEN 'Organic Shopping'
-  WHEN {sites(fixed.SOCIAL_SITES)} OR lower(med) IN ({', '.join(repr(m) for m in fixed.SOCIAL_MEDIUMS)}) THEN 'Organic Social'
-  WHEN {sites(fixed.VIDEO_SITES)} OR lower(med) LIKE '%video%' THEN 'Organic Video'
-  WHEN {sites(fixed.SEARCH_SITES)} OR lower(med) = 'organic' THEN 'Organic Search'
-  WHEN {sites(fixed.EMAIL_NAMES)} OR regexp_matches(lower(med), '{fixed.EMAIL_NAMES}') THEN 'Email'
-  WHEN lower(med) = 'affiliate' THEN 'Affiliates' WHEN lower(med) = 'referral' THEN 'Referral'
-  WHEN lower(med) = 'audio' THEN 'Audio' WHEN lower(med) = 'sms' THEN 'SMS'
-  WHEN lower(med) LIKE '%push%' OR regexp_matches(lower(med), '{fixed.PUSH_MEDIUMS}') THEN 'Push Notifications'
-  ELSE 'Unassigned' END"""
+def found(column: str, pattern: str) -> str:
+    return f"regexp_matches(lower({column}), '{pattern}')"
+
+
+def listed(column: str, names: list[str]) -> str:
+    return f"lower({column}) IN ({', '.join(repr(n) for n in names)})"
+
+
+def channel_case() -> str:
+    """First channel whose condition holds."""
+    also = {"Social": listed("med", fixed.SOCIAL_MEDIUMS), "Video": "lower(med) LIKE '%video%'", "Search": "lower(med) = 'organic'"}
+    conditions = {"Direct": "src IS NULL OR med IS NULL", "Cross-network": "lower(mcamp) LIKE '%cross-network%'"}
+    for name in fixed.PAID_ORDER:
+        clicked = "gclid IS NOT NULL" if name == "Search" else "false"
+        conditions[f"Paid {name}"] = f"{clicked} OR ({found('src', fixed.SITES[name])} AND {found('med', fixed.PAID_MEDIUMS)})"
+    conditions["Display"] = listed("med", fixed.DISPLAY_MEDIUMS)
+    for name in fixed.ORGANIC_ORDER:
+        conditions[f"Organic {name}"] = f"{found('src', fixed.SITES[name])} OR {also.get(name, 'false')}"
+    conditions["Email"] = f"{found('src', fixed.EMAIL_NAMES)} OR {found('med', fixed.EMAIL_NAMES)}"
+    for name, channel in fixed.MEDIUM_CHANNELS.items():
+        conditions[channel] = listed("med", [name])
+    conditions["Push Notifications"] = f"lower(med) LIKE '%push%' OR {found('med', fixed.PUSH_MEDIUMS)}"
+    return "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, c in conditions.items()) + " ELSE 'Unassigned' END"
+
 
 EVENT_KEYS = "usr AS user_pseudo_id, t AS event_timestamp, event_name"
 PARAM_ROWS = ", ".join(
@@ -389,7 +391,7 @@ SELECT coalesce(l.source, 'direct') AS traffic_source, g.item_category, g.item_n
 FROM l LEFT JOIN g ON l.skey = g.skey LEFT JOIN ct ON g.item_category = ct.item_category AND g.item_name = ct.item_name
 GROUP BY coalesce(l.source, 'direct'), g.item_category, g.item_name, ct.q, ct.r"""),
     "marketing_channels": on_events(f""",
-c AS (SELECT {CHANNEL} AS channel, count(DISTINCT skey) AS n FROM ev GROUP BY 1)
+c AS (SELECT {channel_case()} AS channel, count(DISTINCT skey) AS n FROM ev GROUP BY 1)
 SELECT channel AS channel_grouping, n AS session_count, {rnd(div('100 * n', 'sum(n) OVER ()'), 2)} AS session_percentage FROM c"""),
     "traffic_category": on_events("""
 SELECT usr AS user_pseudo_id, src AS source, CASE WHEN src IN ('google', 'bing', 'yahoo') THEN 'Search'

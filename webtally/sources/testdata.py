@@ -221,5 +221,5 @@ def monthly_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of the monthly tables, taken from the stored events so that each month reads only its own days."""
     return flatten(stored_events(spark, folder)).selectExpr(
         "CAST(substr(user_pseudo_id, 2) AS BIGINT) AS user_id", "session_id", "event_name", "event_day AS event_date",
-        "timestamp_micros(event_timestamp) AS event_timestamp",
+        "timestamp_micros(event_micros) AS event_timestamp",
     )
