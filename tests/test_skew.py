@@ -102,10 +102,10 @@ def random_session(seed: int, users: int, n: int) -> list[dict]:
     return out
 
 
-@pytest.mark.parametrize("half_life", [24, 5])
-def test_time_decay_equals_all_pairs(spark, half_life):
+@pytest.mark.parametrize("half_life, few", [(24, 32), (5, 32), (24, 0), (5, 10), (24, 1000)])
+def test_time_decay_equals_all_pairs(spark, half_life, few):
     data = random_session(1, 3, 220)
-    got = {r["utm_source"]: r["total_attributed_value"] for r in attribution_time_decay(events(spark, data), *DAY, half_life).collect()}
+    got = {r["utm_source"]: r["total_attributed_value"] for r in attribution_time_decay(events(spark, data), *DAY, half_life, few).collect()}
 
     def param(row, key, slot):
         return next((p["value"][slot] for p in row["event_params"] if p["key"] == key), None)

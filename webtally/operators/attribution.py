@@ -12,7 +12,7 @@ from webtally.functions.dates import HOUR_MICROS, floor_div, local_second
 from webtally.functions.numbers import money, ratio, share_of_total
 from webtally.functions.params import flatten, in_days, named
 from webtally.functions.urls import without_query
-from webtally.operators.skew import event_order, running, with_span
+from webtally.operators.skew import event_order, join_to_unique, running, with_span
 
 # Microseconds of one span of the in-hour offset: a hot user's running total is cut into 360 pieces.
 OFFSET_SPAN = 10_000_000
@@ -74,82 +74,112 @@ def attribution_linear(events: DataFrame, start, end) -> DataFrame:
     )
 
 
-def attribution_time_decay(events: DataFrame, start, end, half_life_hours: float = 24) -> DataFrame:
+def attribution_time_decay(events: DataFrame, start, end, half_life_hours: float = 24, few: int = 32) -> DataFrame:
     """Purchase value times 0.5 ^ (whole hours from interaction to purchase / half life), summed over every
     interaction and every purchase of a user, per UTM values. An interaction after the purchase counts too,
     with a weight above one.
 
-    The sum over all pairs is computed without making pairs. With times written as hour and offset in the
-    hour, the whole hours between purchase (a, p) and interaction (b, q) are a - b, less one when a > b and
-    p < q, plus one when a < b and p > q. So the sum is
+    No row is made for a pair. A buyer with at most ``few`` purchases carries them as one short array, which
+    each of the user's interactions folds into its credit. For more frequent buyers see ``_frequent_buyers``."""
+    moment = ["event_micros", "sequence"]
+    hits = (
+        flatten(events.filter(in_days(start, end)))
+        .filter(F.col("user_pseudo_id").isNotNull())
+        .filter(named(*fixed.TOUCH_EVENTS) | (named("purchase") & (F.col("summed_value") > 0)))
+        .select(
+            F.col("user_pseudo_id").alias("user"), F.struct(*UTM).alias("utm"), named("purchase").alias("bought"),
+            F.col("summed_value").cast("double").alias("amount"), *moment,
+        )
+    )
+    touches = hits.filter(~F.col("bought")).select("user", "utm", *moment)
+    purchases = hits.filter("bought").select("user", "amount", *moment)
+    nth = F.row_number().over(W.partitionBy("user").orderBy(*moment))
+    first_purchases = purchases.withColumn("nth", nth).filter(F.col("nth") <= few + 1).groupBy("user").agg(
+        F.collect_list(F.struct("event_micros", "amount")).alias("purchases")
+    )
+    counts = hits.groupBy("user").agg(
+        F.count_if(~F.col("bought")).alias("touch_count"), F.count_if("bought").alias("purchase_count")
+    )
+    buyers = first_purchases.join(counts.filter("touch_count > 0"), "user")
+    frequent = F.size("purchases") > few
+    matched = join_to_unique(touches, buyers, "user", "touch_count", moment, "inner", sizes=counts)
+    credit = F.expr(
+        "aggregate(purchases, 0D, (total, p) -> total + p.amount * power(0.5D, "
+        f"((p.event_micros - event_micros) DIV {HOUR_MICROS}) / {float(half_life_hours)}D))"
+    )
+    # Both sides of frequent buyers.
+    theirs = matched.filter(frequent).select("user", "utm", F.lit(None).cast("double").alias("amount"), "event_micros")
+    spenders = buyers.filter(frequent).select("user", "purchase_count")
+    spent = join_to_unique(purchases, spenders, "user", "purchase_count", moment, "inner", sizes=counts).select(
+        "user", F.lit(None).cast(touches.schema["utm"].dataType).alias("utm"), "amount", "event_micros"
+    )
+    parts = matched.filter(~frequent).select("utm", credit.alias("part")).unionByName(
+        _frequent_buyers(theirs.unionByName(spent), start, end, half_life_hours)
+    )
+    return (
+        parts.groupBy(*[F.col(f"utm.{c}").alias(c) for c in UTM])
+        .agg(F.sum("part").alias("total_attributed_value"))
+        .orderBy(F.desc("total_attributed_value"), *UTM)
+    )
+
+
+def _frequent_buyers(hits: DataFrame, start, end, half_life_hours: float) -> DataFrame:
+    """Time-decay credit (``utm``, ``part``) of users with many purchases; rows with an ``amount`` are purchases.
+
+    With times written as hour and offset in the hour, the whole hours between purchase (a, p) and interaction
+    (b, q) are a - b, less one when a > b and p < q, plus one when a < b and p > q. So the sum over all pairs is
 
     * a product of two per-user sums (weights 0.5^a and 2^b), plus
     * a correction for the pairs with a > b and p < q, and one for those with a < b and p > q.
 
     Two hours differ first at one binary digit, which splits the pairs of a correction by that digit: among
     rows of a user with equal higher digits, purchases with one value of the digit meet interactions with the
-    other, and the offset condition is a running total. Rows are copied once per digit (14 for a year), and
-    only users with both kinds of event get this far."""
+    other, and the offset condition is a running total. Rows are copied once per digit (14 for a year)."""
     first = datetime.date.fromisoformat(str(start))
     hours = 24 * ((datetime.date.fromisoformat(str(end)) - first).days + 1)
-    digits = (hours - 1).bit_length()
+    digits = max((hours - 1).bit_length(), 1)
     origin = (first - datetime.date(1970, 1, 1)).days * 24
-    hour = floor_div(F.col("event_micros"), HOUR_MICROS) - origin
-    offset = F.pmod("event_micros", F.lit(HOUR_MICROS).cast("bigint"))
+    middle = hours // 2
+    group = ["user", "level", "block", "later"]
+    bought = F.col("amount").isNotNull()
 
     def decay(hours_between: Column) -> Column:
         return F.pow(F.lit(0.5), hours_between / half_life_hours)
 
-    hits = (
-        flatten(events.filter(in_days(start, end)))
-        .filter(F.col("user_pseudo_id").isNotNull())
-        .filter(named(*fixed.TOUCH_EVENTS) | (named("purchase") & (F.col("summed_value") > 0)))
-        .select(
-            F.col("user_pseudo_id").alias("user"), F.struct(*UTM).alias("utm"), named("purchase").alias("bought"),
-            F.col("summed_value").alias("amount"), hour.alias("hour"), offset.alias("offset"),
-        )
+    timed = hits.select(
+        "user", "utm", "amount", (floor_div(F.col("event_micros"), HOUR_MICROS) - origin).alias("hour"),
+        F.pmod("event_micros", F.lit(HOUR_MICROS).cast("bigint")).alias("offset"),
     )
-    middle = hours // 2
-    per_touch = hits.groupBy("user", F.when(~F.col("bought"), F.col("utm")).alias("utm")).agg(
-        F.sum(F.when(F.col("bought"), F.col("amount") * decay(F.col("hour") - middle))).alias("purchase_weight"),
-        F.sum(F.when(~F.col("bought"), decay(middle - F.col("hour")))).alias("touch_weight"),
+    sums = timed.groupBy("user", "utm").agg(
+        F.sum(F.col("amount") * decay(F.col("hour") - middle)).alias("purchase_weight"),
+        F.sum(F.when(~bought, decay(middle - F.col("hour")))).alias("touch_weight"),
     )
-    in_user = W.partitionBy("user")
-    base = per_touch.withColumn("purchase_weight", F.max("purchase_weight").over(in_user)).filter(
-        F.col("utm").isNotNull() & F.col("purchase_weight").isNotNull()
+    purchase_weight = F.max("purchase_weight").over(W.partitionBy("user"))
+    base = sums.withColumn("purchase_weight", purchase_weight).filter(F.col("utm").isNotNull()).select(
+        "utm", (F.col("purchase_weight") * F.col("touch_weight")).alias("part")
     )
-    # One copy of a row per binary digit of its hour; ``digit`` is the value there, ``edge`` the first hour
-    # of the upper half, and ``later`` says whether the pairs have the purchase in the later hour.
+    # ``digit`` is the binary digit of the hour at ``level``, ``block`` the digits above it, ``edge`` the first hour
+    # of the block's upper half, and ``later`` says whether the pairs have the purchase in that half.
     size = F.pow(F.lit(2), F.col("level")).cast("bigint")
-    copies = hits.join(base, "user", "left_semi").withColumn(
-        "level", F.explode(F.sequence(F.lit(0), F.lit(max(digits - 1, 0))))
-    ).withColumn("digit", F.pmod(floor_by(F.col("hour"), size), F.lit(2).cast("bigint")))
-    block = floor_by(F.col("hour"), size * 2)
-    later = F.col("bought") == (F.col("digit") == 1)
-    group = ["user", "level", "block", "later"]
+    copies = timed.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(digits - 1)))).withColumn(
+        "digit", F.pmod(floor_by(F.col("hour"), size), F.lit(2).cast("bigint"))
+    )
+    later = bought == (F.col("digit") == 1)
     spread = with_span(
         copies.select(
-            "user", "level", block.alias("block"), later.alias("later"), "bought", "utm", "hour", "amount",
+            "user", "level", floor_by(F.col("hour"), size * 2).alias("block"), later.alias("later"), "utm", "hour", "amount",
             F.when(later, F.col("offset")).otherwise(HOUR_MICROS - F.col("offset")).alias("position"),
         ),
         "position", OFFSET_SPAN,
     ).repartition(*group, "_span")
     edge = F.col("block") * size * 2 + size
-    purchase_weight = F.when(F.col("bought"), F.col("amount") * decay(F.col("hour") - edge))
-    weighted = spread.withColumn("purchase_weight", purchase_weight).drop("amount")
-    corrections = running(
-        weighted, group, "position", {"purchase_weight": "earlier"}, span="_span"
-    ).filter(~F.col("bought") & F.col("earlier").isNotNull())
-    step = decay(F.when(F.col("later"), F.lit(-1)).otherwise(F.lit(1))) - 1
-    corrected = F.col("earlier") * decay(edge - F.col("hour")) * step
-    parts = base.select("utm", (F.col("purchase_weight") * F.col("touch_weight")).alias("part")).unionByName(
-        corrections.select("utm", corrected.alias("part"))
-    )
-    return (
-        parts.groupBy(*[F.col(f"utm.{c}").alias(c) for c in UTM])
-        .agg(F.sum("part").alias("total_attributed_value"))
-        .orderBy(F.desc("total_attributed_value"), *UTM)
+    weighted = spread.withColumn("purchase_weight", F.col("amount") * decay(F.col("hour") - edge)).drop("amount")
+    touched = running(weighted, group, "position", {"purchase_weight": "earlier"}, span="_span").filter(
+        F.col("purchase_weight").isNull() & F.col("earlier").isNotNull()
     )
+    step = decay(F.when(F.col("later"), F.lit(-1)).otherwise(F.lit(1))) - 1
+    corrections = touched.select("utm", (F.col("earlier") * decay(edge - F.col("hour")) * step).alias("part"))
+    return base.unionByName(corrections)
 
 
 def floor_by(number: Column, size: Column) -> Column:

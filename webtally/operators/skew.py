@@ -95,16 +95,18 @@ HOT_TASKS = 256
 
 
 def join_to_unique(
-    many: DataFrame, unique: DataFrame, key: str, size: str, spread: list[str], how: str = "left", hot_rows: int = HOT_ROWS
+    many: DataFrame, unique: DataFrame, key: str, size: str, spread: list[str], how: str = "left",
+    hot_rows: int = HOT_ROWS, sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Join rows to a table with one row per ``key``, dealing the rows of hot keys out over many tasks.
 
-    Column ``size`` of ``unique`` holds the number of rows of ``many`` with that key. The hot keys, one short array
+    Column ``size`` of ``unique`` (or of ``sizes``, where that is cheaper to compute) holds the number of rows of
+    ``many`` with that key. The hot keys, one short array
     from a scalar subquery, get a number from the ``spread`` columns (which differ between rows of a key) on one
     side, and one copy per number on the other. Rows without a key match nothing and are dealt out too. All
     other rows join as usual."""
     hot_keys = (
-        unique.select(key, size).filter(F.col(size) > hot_rows).orderBy(F.desc(size), key).limit(HOT_KEYS)
+        (unique if sizes is None else sizes).select(key, size).filter(F.col(size) > hot_rows).orderBy(F.desc(size), key).limit(HOT_KEYS)
         .agg(F.collect_list(key)).scalar()
     )
     hot = F.array_contains(hot_keys, F.col(key))
