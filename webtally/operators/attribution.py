@@ -82,23 +82,19 @@ def attribution_time_decay(events: DataFrame, start, end, half_life_hours: float
     No row is made for a pair. A buyer with at most ``few`` purchases carries them as one short array, which
     each of the user's interactions folds into its credit. For more frequent buyers see ``_frequent_buyers``."""
     moment = ["event_micros", "sequence"]
-    hits = (
-        flatten(events.filter(in_days(start, end)))
-        .filter(F.col("user_pseudo_id").isNotNull())
-        .filter(named(*fixed.TOUCH_EVENTS) | (named("purchase") & (F.col("summed_value") > 0)))
-        .select(
-            F.col("user_pseudo_id").alias("user"), F.struct(*UTM).alias("utm"), named("purchase").alias("bought"),
-            F.col("summed_value").cast("double").alias("amount"), *moment,
-        )
+    known = flatten(events.filter(in_days(start, end))).filter(F.col("user_pseudo_id").isNotNull()).select(
+        F.col("user_pseudo_id").alias("user"), F.struct(*UTM).alias("utm"), "event_name",
+        F.when(named("purchase"), F.col("summed_value").cast("double")).alias("amount"), *moment,
     )
-    touches = hits.filter(~F.col("bought")).select("user", "utm", *moment)
-    purchases = hits.filter("bought").select("user", "amount", *moment)
+    bought = F.col("amount") > 0
+    touches = known.filter(named(*fixed.TOUCH_EVENTS)).select("user", "utm", *moment)
+    purchases = known.filter(named("purchase") & bought).select("user", "amount", *moment)
     nth = F.row_number().over(W.partitionBy("user").orderBy(*moment))
     first_purchases = purchases.withColumn("nth", nth).filter(F.col("nth") <= few + 1).groupBy("user").agg(
         F.collect_list(F.struct("event_micros", "amount")).alias("purchases")
     )
-    counts = hits.groupBy("user").agg(
-        F.count_if(~F.col("bought")).alias("touch_count"), F.count_if("bought").alias("purchase_count")
+    counts = known.filter(named(*fixed.TOUCH_EVENTS, "purchase")).groupBy("user").agg(
+        F.count_if(named(*fixed.TOUCH_EVENTS)).alias("touch_count"), F.count_if(bought).alias("purchase_count")
     )
     buyers = first_purchases.join(counts.filter("touch_count > 0"), "user")
     frequent = F.size("purchases") > few
@@ -191,7 +187,7 @@ def page_revenue_attribution(events: DataFrame, start, end) -> DataFrame:
 
     Each purchase counts the views before it and each view adds up the shares of the purchases after it:
     two running totals per session instead of a row for every view and purchase."""
-    hits = flatten(events.filter(in_days(start, end))).select(
+    hits = flatten(events.filter(in_days(start, end))).filter(named("page_view", "purchase")).select(
         "session_key", "event_micros",
         F.when(named("page_view"), without_query(F.col("page_location"))).alias("page"),
         F.when(named("purchase"), money(F.col("event_value_in_usd"))).alias("amount"),
@@ -247,13 +243,16 @@ def source_product_revenue(events: DataFrame, start, end, zone: str = "America/N
         .select("session_key", "first.user_pseudo_id", "started",
                 F.when(F.col("first.source").isNotNull(), F.struct("started", "first.source")).alias("known"))
     )
-    carried = running(starts, ["user_pseudo_id"], "started", {"known": "last_known"}, how="max", size=86_400, strict=False)
+    carried = running(starts, ["user_pseudo_id"], "started", {"known": "last_known"}, how="max", size=3600, strict=False)
     product = ["item_category", "item_name"]
     items = (
         flatten(events).filter(named("purchase") & F.col("transaction_id").contains("live"))
-        .select("session_key", F.explode("items").alias("item"))
-        .select("session_key", *[F.col(f"item.{c}").alias(c) for c in product],
-                money(F.col("item.item_revenue")).alias("price"), F.col("item.quantity").alias("quantity"))
+        .selectExpr(
+            "session_key",
+            "inline(arrays_zip(items.item_category, items.item_name, items.item_revenue, items.quantity)) "
+            "AS (item_category, item_name, revenue, quantity)",
+        )
+        .select("session_key", *product, money(F.col("revenue")).alias("price"), "quantity")
     )
     sold = items.filter(F.col("session_key").isNotNull()).groupBy("session_key", *product).agg(
         F.sum("price").alias("price"), F.sum("quantity").alias("quantity")

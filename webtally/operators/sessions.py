@@ -117,10 +117,11 @@ def hourly_event_funnel(events: DataFrame, start, end) -> DataFrame:
     counted = (
         named("page_view")
         | (named("session_start") & with_session)
-        | (named(*steps) & with_session & (F.size("items") > 0))
+        | (named(*steps) & with_session & (F.size("items.item_id") > 0))
     )
     slots = (
-        flatten(events.filter(in_days(start, end))).filter(counted)
+        flatten(events.filter(in_days(start, end)))
+        .filter(named("page_view", "session_start", *steps)).filter(counted)
         .groupBy("event_day", utc_hour(F.col("event_micros")).alias("hour"), "event_name", "ga_session_id")
         .agg(F.count("event_micros").alias("hits"))
     )

@@ -154,6 +154,11 @@ def events(spark: SparkSession, folder: str, stagger: bool = False) -> DataFrame
     return rows.selectExpr(*[f"{text} AS {name}" for name, text in columns.items()])
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 _written: dict[tuple[str, str, bool], str] = {}
 
 
@@ -161,7 +166,7 @@ def stored_events(spark: SparkSession, folder: str, stagger: bool = False) -> Da
     """The nested event table, written once per application as Parquet partitioned by day in the shared folder
     and read back, as the reports meet it in practice."""
     key = (spark.sparkContext.applicationId, folder, stagger)
-    if key not in _written:
+    if key not in _written or not _exists(spark, _written[key]):
         path = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
         write_by_date(events(spark, folder, stagger), path)
         _written[key] = path
