@@ -12,8 +12,8 @@ WEEK_MICROS = 7 * 86_400_000_000
 
 
 def rnd(x: str, places: int) -> str:
-    """Rounding of decimal text, half away from zero."""
-    return f"CAST(round(CAST({x} AS DECIMAL(38,10)), {places}) AS DOUBLE)"
+    """Rounding of the double as it reads in decimal, half away from zero (as Spark's ``round`` does)."""
+    return f"CAST(round(CAST(CAST(CAST({x} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,18)), {places}) AS DOUBLE)"
 
 
 def money(x: str) -> str:
@@ -164,11 +164,8 @@ stay AS (
   FROM ev WHERE usr IN (SELECT usr FROM pp WHERE usr IS NOT NULL) GROUP BY usr
 )"""
 
-SEARCH_TOTALS = (
-    "round(CAST(100 * sum(clicks) / nullif(CAST(sum(impressions) AS DOUBLE), 0) AS DECIMAL(38,10)), 2)"
-)
 SEARCH_SUMS = f"""{big('sum(impressions)')} AS total_impressions, {big('sum(clicks)')} AS total_clicks,
-  CAST({SEARCH_TOTALS} AS DOUBLE) AS ctr"""
+  {rnd(div('sum(clicks)', 'sum(impressions)') + ' * 100', 2)} AS ctr"""
 
 
 def report_part(name: str, category: str, segment: str = "CAST(NULL AS VARCHAR)", where: str = "true") -> str:
