@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from webtally.llm import bpe
+from webtally.llm import bpe, packing
 
 QUERIES = {
+    "op3_best_fit_packing": packing.op3,
     "op10_byte_bpe": bpe.op10,
 }
 
