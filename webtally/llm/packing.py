@@ -9,7 +9,6 @@ their length in parallel and looked up in the plan."""
 
 from __future__ import annotations
 
-import functools
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -17,32 +16,15 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame, Window, functions as F
 
-from webtally.llm.bpe import codec, read_ranks
+from webtally.llm.bpe import codec
 from webtally.llm.common import steps, stored, table
 
 #: Rows numbered together by one task, about.
 NUMBERED = 50_000
 
 
-class Ranked:
-    """The same interface as ``bpe.Codec.encode`` by the faster library, for vocabularies given as ranks."""
-
-    def __init__(self, path: str):
-        self.own = tiktoken.Encoding(
-            "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [self.own.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes() for t in texts]
-
-
-@functools.lru_cache(2)
-def encoder(path: str):
-    return Ranked(path) if path.endswith(".tiktoken") else codec(path)
-
-
 def pieces(df: DataFrame, path: str, capacity: int, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """Every text of ``df`` as pieces of at most ``capacity`` tokens, ``end_id`` after its last token: doc_id, piece,
     start, length, ids_crc32 and, if asked for, ids (packed). Of a longer document the first piece takes the odd rest.
@@ -52,7 +34,7 @@ def pieces(df: DataFrame, path: str, capacity: int, end_id: int = 0, with_ids: b
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = codec(path)
         for part, texts in steps(batches, "text"):
             rows = []
             for doc, ids in zip(part.column("doc_id").to_pylist(), own.encode(texts), strict=True):
@@ -195,6 +177,6 @@ def pack(df: DataFrame, capacity: int) -> DataFrame:
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    """Contract query. The rank file holds the same vocabulary as the JSON file and gives the same ids (tested)."""
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    """Contract query: all documents in sequences of 2048 tokens."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
     return pack(pieces(table(spark, sf_dir, "documents"), path, 2048), 2048)

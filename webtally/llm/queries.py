@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from webtally.llm import bpe, packing
+from webtally.llm import bpe, packing, quality
 
 QUERIES = {
     "op3_best_fit_packing": packing.op3,
+    "op4_quality_classifier": quality.op4,
     "op10_byte_bpe": bpe.op10,
 }
 
