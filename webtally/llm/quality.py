@@ -25,7 +25,7 @@ SIZE = BUCKETS + 2
 NGRAMS = (3, 4, 5)
 #: Rows of each class that training takes at most: those whose ids have the smallest hashes.
 CLASS_ROWS = 1000
-DIMENSIONS, EPOCHS, RATE, SEED = 16, 6, 0.1, 7
+DIMENSIONS, EPOCHS, RATE, SEED = 16, 10, 0.1, 7
 
 _MIX = np.uint32(0x9E3779B1)
 _WORD = np.uint64(0x9E3779B97F4A7C15)
@@ -132,18 +132,16 @@ def held_out(doc_id: Column, modulus: int = 4, rest: int = 2) -> Column:
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """Model of ``label`` (0 or 1) from the labelled rows that are not held out.
 
-    At most ``CLASS_ROWS`` rows of each class are taken, those with the smallest hash of the id; the share of the classes
-    among all labelled rows then enters the bias. An id with several labels counts with the smallest, one with several
-    texts with the smallest text; null labels and ids are left out. Without rows of both classes every score is the share
-    of class 1, or a half if there are none at all. Features are extracted in parallel; what the training task receives is
+    At most ``CLASS_ROWS`` rows of each class are taken, those with the smallest hash of the id, so where labels abound
+    both classes weigh the same. An id with several labels counts with the smallest, one with several
+    texts with the smallest text; null labels and ids are left out. Without rows of both classes every score is nearly
+    0 or 1, or a half if there are none at all. Features are extracted in parallel; what the training task receives is
     bounded by ``2 * CLASS_ROWS * BUCKETS`` numbers."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
-    found = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    negative, positive = found.get(0, 0), found.get(1, 0)
-    if not negative or not positive:
-        odds = 0.0 if not found else (12.0 if positive else -12.0)
-        return Model(np.zeros(SIZE, np.float32), odds)
+    found = {r["label"] for r in known.select("label").distinct().collect()}
+    if len(found) < 2:
+        return Model(np.zeros(SIZE, np.float32), {frozenset([0]): -12.0, frozenset([1]): 12.0}.get(frozenset(found), 0.0))
     chosen = [
         known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CLASS_ROWS) for k in (0, 1)
     ]
@@ -165,18 +163,16 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality") -> Mode
             for i, s, k in zip(frame["ids"], frame["shares"], frame["label"], strict=True)
         ]
         vectors, layer, bias = train(rows)
-        used = np.bincount(frame["label"], minlength=2)
         return pd.DataFrame({
             "logits": [(vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32).tobytes()],
-            "bias": [float(bias[1] - bias[0])], "negative": [int(used[0])], "positive": [int(used[1])],
+            "bias": [float(bias[1] - bias[0])],
         })
 
     extracted = sample.mapInArrow(extract, "doc_id long, label int, ids binary, shares binary")
-    model = extracted.groupBy().applyInPandas(learn, "logits binary, bias double, negative long, positive long").collect()
+    model = extracted.groupBy().applyInPandas(learn, "logits binary, bias double").collect()
     if not model:  # no labelled row has a document
-        return Model(np.zeros(SIZE, np.float32), float(np.log(positive / negative)))
-    taken = max(1, model[0]["positive"]) / max(1, model[0]["negative"])
-    return Model(np.frombuffer(model[0]["logits"], np.float32), model[0]["bias"] + float(np.log(positive / negative / taken)))
+        return Model(np.zeros(SIZE, np.float32), 0.0)
+    return Model(np.frombuffer(model[0]["logits"], np.float32), model[0]["bias"])
 
 
 def score(documents: DataFrame, model: Model, column: str = "text", name: str = "score") -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from webtally.llm import bpe, packing, quality
+from webtally.llm import bpe, kdtree, onebit, packing, quality
 
 QUERIES = {
+    "op1_exact_top_k": kdtree.op1,
     "op3_best_fit_packing": packing.op3,
     "op4_quality_classifier": quality.op4,
+    "op5_one_bit_neighbours": onebit.op5,
     "op10_byte_bpe": bpe.op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_exact_top_k": kdtree.OP1_SQL,
+}
