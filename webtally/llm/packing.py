@@ -22,7 +22,7 @@ from webtally.llm.bpe import codec
 from webtally.llm.common import steps, stored, table
 
 #: Rows numbered together by one task, about.
-NUMBERED = 50_000
+NUMBERED = 2_000
 
 
 def pieces(df: DataFrame, path: str, capacity: int, end_id: int = 0, with_ids: bool = False) -> DataFrame:

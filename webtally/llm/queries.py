@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from webtally.llm import bpe, kdtree, onebit, packing, quality
+from webtally.llm import bpe, kdtree, lines, onebit, packing, quality
 
 QUERIES = {
     "op1_exact_top_k": kdtree.op1,
     "op3_best_fit_packing": packing.op3,
     "op4_quality_classifier": quality.op4,
     "op5_one_bit_neighbours": onebit.op5,
+    "op7_line_dedup": lines.op7,
     "op10_byte_bpe": bpe.op10,
 }
 
