@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from webtally.llm import bpe, kdtree, lines, onebit, packing, quality
+from webtally.llm import bpe, jaccard, kdtree, lines, onebit, packing, quality
 
 QUERIES = {
     "op1_exact_top_k": kdtree.op1,
+    "op2_ngram_jaccard_join": jaccard.op2,
     "op3_best_fit_packing": packing.op3,
     "op4_quality_classifier": quality.op4,
     "op5_one_bit_neighbours": onebit.op5,
