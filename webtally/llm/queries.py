@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from webtally.llm import bpe, jaccard, kdtree, lines, onebit, packing, quality
+from webtally.llm import bpe, jaccard, kdtree, lines, onebit, packing, quality, warc
 
 QUERIES = {
     "op1_exact_top_k": kdtree.op1,
@@ -11,9 +11,11 @@ QUERIES = {
     "op4_quality_classifier": quality.op4,
     "op5_one_bit_neighbours": onebit.op5,
     "op7_line_dedup": lines.op7,
+    "op8_warc": warc.op8,
     "op10_byte_bpe": bpe.op10,
 }
 
 ORACLES = {
     "op1_exact_top_k": kdtree.OP1_SQL,
+    "op8_warc": warc.OP8_SQL,
 }
