@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from webtally.llm import bpe, jaccard, kdtree, lines, onebit, packing, quality, warc
+from webtally.llm import bpe, html, jaccard, kdtree, lines, onebit, packing, quality, warc
 
 QUERIES = {
     "op1_exact_top_k": kdtree.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_best_fit_packing": packing.op3,
     "op4_quality_classifier": quality.op4,
     "op5_one_bit_neighbours": onebit.op5,
+    "op6_html_extraction": html.op6,
     "op7_line_dedup": lines.op7,
     "op8_warc": warc.op8,
     "op10_byte_bpe": bpe.op10,
