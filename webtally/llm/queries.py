@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from webtally.llm import bpe, html, jaccard, kdtree, lines, onebit, packing, quality, warc
+from webtally.llm import bpe, html, jaccard, katz, kdtree, lines, onebit, packing, quality, warc
 
 QUERIES = {
     "op1_exact_top_k": kdtree.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_html_extraction": html.op6,
     "op7_line_dedup": lines.op7,
     "op8_warc": warc.op8,
+    "op9_katz_language_model": katz.op9,
     "op10_byte_bpe": bpe.op10,
 }
 
