@@ -146,15 +146,15 @@ def occurrences(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host and its classes: an array of (token, number of the class, whether every page has it once), classes by falling
-    number of pages and tokens in page order. It holds at most 1 / ``MIN_SHARE`` times the tokens of a page."""
+    """host and its classes: an array of tokens by class, the class that every page has once first (partly is false), the
+    others by falling number of pages, and tokens in page order within a class. It holds at most 1 / ``MIN_SHARE`` times the tokens of a page."""
     page = F.lit(xxhash.xxh3_64_intdigest("") - 2**63)
     found = stored(occurrences(pages).where((F.col("pages") >= MIN_PAGES) | (F.col("token") == page)), "tokens")
     sizes = found.where(F.col("token") == page).select(
         "host", F.col("pages").alias("all"), F.col("first").alias("first_all"), F.col("second").alias("second_all"))
     frequent = found.where(F.col("token") != page).where(F.col("pages") >= MIN_PAGES).join(sizes, "host").where(F.col("pages") >= F.col("all") * MIN_SHARE)
     every = (F.col("first") == F.col("first_all")) & (F.col("second") == F.col("second_all"))
-    ordered = F.sort_array(F.collect_list(F.struct((-F.col("pages")).alias("pages"), "first", "second", "place", "token", every.alias("every"))))
+    ordered = F.sort_array(F.collect_list(F.struct((~every).alias("partly"), (-F.col("pages")).alias("pages"), "first", "second", "place", "token")))
     return frequent.groupBy("host").agg(ordered.alias("tokens"))
 
 
@@ -224,7 +224,7 @@ def extract(pages: DataFrame) -> DataFrame:
                     rows = tokens.as_py() or []
                     for row in rows:
                         classes.setdefault((row["pages"], row["first"], row["second"]), []).append(row["token"])
-                    known[host] = list(classes.values()), frozenset(r["token"] for r in rows if r["every"])
+                    known[host] = list(classes.values()), frozenset(r["token"] for r in rows if not r["partly"])
                 out.append(main_text(page, *known[host]))
             yield pa.RecordBatch.from_arrays([part.column(f.name) for f in fields] + [pa.array(out, pa.string())], names=schema.names)
 

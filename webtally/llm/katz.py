@@ -228,7 +228,7 @@ def pair_sums(batches: DataFrame, answers: DataFrame, parts: int, training_texts
             to, pair, use = to[order], pair[order], use[order]
             train = ~np.array(row.held, bool)[doc[use]]
             cuts = np.flatnonzero(np.diff(to, prepend=-1))
-            for a, b in zip(cuts, [*cuts[1:], len(to)], strict=True):
+            for a, b in zip(cuts, np.append(cuts[1:], len(to)), strict=False):
                 first = np.flatnonzero(np.diff(pair[a:b], prepend=pair[a] + np.uint64(1)))
                 runs = np.diff(first, append=b - a)
                 own = use[a:b][first]

@@ -47,7 +47,7 @@ def features(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
     for n in range(2, max(NGRAMS) + 1):
         h = h[:-1] * np.uint32(0x01000193) + single[n - 1 :]
         if n in NGRAMS:
-            yield _bucket(h + np.uint32(n)), starts, np.maximum(ends - n + 1, starts)
+            yield _bucket(h + np.uint32(n)), np.minimum(starts, len(h)), np.minimum(np.maximum(ends - n + 1, starts), len(h))
     space = (data == 32) | ((data >= 9) & (data <= 13))
     begins = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
     if not len(begins):
