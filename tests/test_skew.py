@@ -5,7 +5,7 @@ import random
 import pytest
 
 from webtally.operators.attribution import attribution_time_decay, page_revenue_attribution
-from webtally.operators.skew import join_to_unique, neighbours, running
+from webtally.operators.skew import neighbours, running
 from tests.build import DAY, event, events, rows, view
 
 HOUR = 3_600_000_000
@@ -61,31 +61,6 @@ def test_running(spark, how, strict, backwards):
     assert got == want
 
 
-def test_join_to_unique_deals_out_hot_keys_without_changing_the_result(spark):
-    data = skewed(3)
-    many = spark.createDataFrame(data, SCHEMA)
-    unique = many.filter("k IS NOT NULL").groupBy("k").agg({"*": "count", "v": "sum"}).toDF("k", "n", "total")
-    plain = sorted(rows(many.join(unique.drop("n"), "k", "left")), key=str)
-    for limit in (0, 50, 10_000):
-        dealt = join_to_unique(many, unique, "k", "n", ["event_micros", "sequence"], hot_rows=limit)
-        assert sorted(rows(dealt.select("k", "event_micros", "sequence", "v", "total")), key=str) == plain
-
-
-def test_hot_rows_are_spread(spark):
-    data = [("hot", i, i, 1) for i in range(2000)]
-    many = spark.createDataFrame(data, SCHEMA)
-    unique = many.groupBy("k").agg({"*": "count"}).toDF("k", "n")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        joined = join_to_unique(many, unique, "k", "n", ["sequence"], hot_rows=100)
-        sizes = joined.selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert len(sizes) == 8 and max(r["count"] for r in sizes) < 600
-
-
 def random_session(seed: int, users: int, n: int) -> list[dict]:
     pick = random.Random(seed)
     start = 1_704_067_200_000_000
@@ -102,10 +77,13 @@ def random_session(seed: int, users: int, n: int) -> list[dict]:
     return out
 
 
-@pytest.mark.parametrize("half_life, few", [(24, 32), (5, 32), (24, 0), (5, 10), (24, 1000)])
-def test_time_decay_equals_all_pairs(spark, half_life, few):
+@pytest.mark.parametrize("only_before", [False, True])
+@pytest.mark.parametrize("half_life, few", [(24, 32), (5, 32), (24, 0), (5, 10), (24, 1000), (0.5, 0), (1, 0), (4, 0), (168, 0)])
+def test_time_decay_equals_all_pairs(spark, half_life, few, only_before):
     data = random_session(1, 3, 220)
-    got = {r["utm_source"]: r["total_attributed_value"] for r in attribution_time_decay(events(spark, data), *DAY, half_life, few).collect()}
+    span = ("2018-01-01", "2024-12-31") if half_life < 24 else DAY
+    report = attribution_time_decay(events(spark, data), *span, half_life, only_before, few)
+    got = {r["utm_source"]: r["total_attributed_value"] for r in report.collect()}
 
     def param(row, key, slot):
         return next((p["value"][slot] for p in row["event_params"] if p["key"] == key), None)
@@ -113,12 +91,27 @@ def test_time_decay_equals_all_pairs(spark, half_life, few):
     want: dict = {}
     for touch in (r for r in data if r["event_name"] == "page_view"):
         for buy in (r for r in data if r["event_name"] == "purchase" and r["user_pseudo_id"] == touch["user_pseudo_id"]):
+            if only_before and buy["event_timestamp"] < touch["event_timestamp"]:
+                continue
             hours = int((buy["event_timestamp"] - touch["event_timestamp"]) / HOUR)
             source = param(touch, "utm_source", "string_value")
             want[source] = want.get(source, 0) + param(buy, "value", "double_value") * 0.5 ** (hours / half_life)
     assert got.keys() == want.keys()
     for source, value in want.items():
-        assert got[source] == pytest.approx(value, rel=1e-12)
+        assert got[source] == pytest.approx(value, rel=1e-9)
+
+
+@pytest.mark.parametrize("purchases", [0, 31, 32, 33, 1000])
+@pytest.mark.parametrize("half_life", [4, 24])
+def test_time_decay_of_any_number_of_purchases(spark, purchases, half_life):
+    """One user with 20 views around equal purchases, over seven years."""
+    start = 1_733_000_000_000_000
+    buys = [start + i * 137_000_000 for i in range(purchases)]
+    views = [start - 2 * HOUR + i * HOUR // 2 for i in range(20)]
+    data = [event("u", t, "purchase", 1, {"value": 1.5}) for t in buys] + [view("u", t, "https://x.y/a") for t in views]
+    got = attribution_time_decay(events(spark, data), "2018-01-01", "2024-12-31", half_life).collect()
+    want = sum(1.5 * 0.5 ** (int((b - v) / HOUR) / half_life) for b in buys for v in views)
+    assert [r["total_attributed_value"] for r in got] == ([pytest.approx(want, rel=1e-9)] if purchases else [])
 
 
 def test_page_revenue_equals_all_pairs(spark):

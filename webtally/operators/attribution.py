@@ -12,7 +12,7 @@ from webtally.functions.dates import HOUR_MICROS, floor_div, local_second
 from webtally.functions.numbers import money, ratio, share_of_total
 from webtally.functions.params import flatten, in_days, named
 from webtally.functions.urls import without_query
-from webtally.operators.skew import event_order, join_to_unique, running, with_span
+from webtally.operators.skew import event_order, running, with_span
 
 # Microseconds of one span of the in-hour offset: a hot user's running total is cut into 360 pieces.
 OFFSET_SPAN = 10_000_000
@@ -74,43 +74,42 @@ def attribution_linear(events: DataFrame, start, end) -> DataFrame:
     )
 
 
-def attribution_time_decay(events: DataFrame, start, end, half_life_hours: float = 24, few: int = 32) -> DataFrame:
+def attribution_time_decay(
+    events: DataFrame, start, end, half_life_hours: float = 24, only_before: bool = False, few: int = 32,
+) -> DataFrame:
     """Purchase value times 0.5 ^ (whole hours from interaction to purchase / half life), summed over every
     interaction and every purchase of a user, per UTM values. An interaction after the purchase counts too,
-    with a weight above one.
+    with a weight above one, unless ``only_before`` is set; one at the same time counts in both cases.
 
     No row is made for a pair. A buyer with at most ``few`` purchases carries them as one short array, which
-    each of the user's interactions folds into its credit. For more frequent buyers see ``_frequent_buyers``."""
+    each of the user's interactions folds into its credit; ``_frequent_buyers`` gives the same for more frequent
+    buyers from running totals (``few`` chooses the plan, never the result)."""
     moment = ["event_micros", "sequence"]
     known = flatten(events.filter(in_days(start, end))).filter(F.col("user_pseudo_id").isNotNull()).select(
         F.col("user_pseudo_id").alias("user"), F.struct(*UTM).alias("utm"), "event_name",
         F.when(named("purchase"), F.col("summed_value").cast("double")).alias("amount"), *moment,
     )
     bought = F.col("amount") > 0
-    touches = known.filter(named(*fixed.TOUCH_EVENTS)).select("user", "utm", *moment)
+    touches = known.filter(named(*fixed.TOUCH_EVENTS)).select("user", "utm", "event_micros")
     purchases = known.filter(named("purchase") & bought).select("user", "amount", *moment)
     nth = F.row_number().over(W.partitionBy("user").orderBy(*moment))
-    first_purchases = purchases.withColumn("nth", nth).filter(F.col("nth") <= few + 1).groupBy("user").agg(
+    buyers = purchases.withColumn("nth", nth).filter(F.col("nth") <= few + 1).groupBy("user").agg(
         F.collect_list(F.struct("event_micros", "amount")).alias("purchases")
     )
-    counts = known.filter(named(*fixed.TOUCH_EVENTS, "purchase")).groupBy("user").agg(
-        F.count_if(named(*fixed.TOUCH_EVENTS)).alias("touch_count"), F.count_if(bought).alias("purchase_count")
-    )
-    buyers = first_purchases.join(counts.filter("touch_count > 0"), "user")
     frequent = F.size("purchases") > few
-    matched = join_to_unique(touches, buyers, "user", "touch_count", moment, "inner", sizes=counts)
+    matched = touches.join(buyers, "user")
+    late = "WHEN p.event_micros < event_micros THEN total " if only_before else ""
     credit = F.expr(
-        "aggregate(purchases, 0D, (total, p) -> total + p.amount * power(0.5D, "
-        f"((p.event_micros - event_micros) DIV {HOUR_MICROS}) / {float(half_life_hours)}D))"
+        f"aggregate(purchases, 0D, (total, p) -> CASE {late}WHEN true THEN total + p.amount * power(0.5D, "
+        f"((p.event_micros - event_micros) DIV {HOUR_MICROS}) / {float(half_life_hours)}D) END)"
     )
     # Both sides of frequent buyers.
     theirs = matched.filter(frequent).select("user", "utm", F.lit(None).cast("double").alias("amount"), "event_micros")
-    spenders = buyers.filter(frequent).select("user", "purchase_count")
-    spent = join_to_unique(purchases, spenders, "user", "purchase_count", moment, "inner", sizes=counts).select(
+    spent = purchases.join(buyers.filter(frequent).select("user"), "user", "left_semi").select(
         "user", F.lit(None).cast(touches.schema["utm"].dataType).alias("utm"), "amount", "event_micros"
     )
     parts = matched.filter(~frequent).select("utm", credit.alias("part")).unionByName(
-        _frequent_buyers(theirs.unionByName(spent), start, end, half_life_hours)
+        _frequent_buyers(theirs.unionByName(spent), start, end, half_life_hours, only_before)
     )
     return (
         parts.groupBy(*[F.col(f"utm.{c}").alias(c) for c in UTM])
@@ -119,23 +118,21 @@ def attribution_time_decay(events: DataFrame, start, end, half_life_hours: float
     )
 
 
-def _frequent_buyers(hits: DataFrame, start, end, half_life_hours: float) -> DataFrame:
+def _frequent_buyers(hits: DataFrame, start, end, half_life_hours: float, only_before: bool) -> DataFrame:
     """Time-decay credit (``utm``, ``part``) of users with many purchases; rows with an ``amount`` are purchases.
 
     With times written as hour and offset in the hour, the whole hours between purchase (a, p) and interaction
-    (b, q) are a - b, less one when a > b and p < q, plus one when a < b and p > q. So the sum over all pairs is
-
-    * a product of two per-user sums (weights 0.5^a and 2^b), plus
-    * a correction for the pairs with a > b and p < q, and one for those with a < b and p > q.
+    (b, q) are none if a = b, a - b if a > b, less one when p < q, and a - b if a < b, plus one when p > q.
 
-    Two hours differ first at one binary digit, which splits the pairs of a correction by that digit: among
-    rows of a user with equal higher digits, purchases with one value of the digit meet interactions with the
-    other, and the offset condition is a running total. Rows are copied once per digit (14 for a year)."""
+    Two hours differ first at one binary digit, which splits the pairs by that digit: among rows of a user with
+    equal higher digits, purchases with one value of the digit meet interactions with the other. All these pairs
+    together are a product of two sums, and those that the offsets correct are a running total. Both weigh times
+    from the edge between the two halves, so no weight is larger than one where purchases are the later ones, nor
+    larger than the weight of a true pair elsewhere. Rows are copied once per digit (14 for a year)."""
     first = datetime.date.fromisoformat(str(start))
     hours = 24 * ((datetime.date.fromisoformat(str(end)) - first).days + 1)
     digits = max((hours - 1).bit_length(), 1)
     origin = (first - datetime.date(1970, 1, 1)).days * 24
-    middle = hours // 2
     group = ["user", "level", "block", "later"]
     bought = F.col("amount").isNotNull()
 
@@ -146,14 +143,6 @@ def _frequent_buyers(hits: DataFrame, start, end, half_life_hours: float) -> Dat
         "user", "utm", "amount", (floor_div(F.col("event_micros"), HOUR_MICROS) - origin).alias("hour"),
         F.pmod("event_micros", F.lit(HOUR_MICROS).cast("bigint")).alias("offset"),
     )
-    sums = timed.groupBy("user", "utm").agg(
-        F.sum(F.col("amount") * decay(F.col("hour") - middle)).alias("purchase_weight"),
-        F.sum(F.when(~bought, decay(middle - F.col("hour")))).alias("touch_weight"),
-    )
-    purchase_weight = F.max("purchase_weight").over(W.partitionBy("user"))
-    base = sums.withColumn("purchase_weight", purchase_weight).filter(F.col("utm").isNotNull()).select(
-        "utm", (F.col("purchase_weight") * F.col("touch_weight")).alias("part")
-    )
     # ``digit`` is the binary digit of the hour at ``level``, ``block`` the digits above it, ``edge`` the first hour
     # of the block's upper half, and ``later`` says whether the pairs have the purchase in that half.
     size = F.pow(F.lit(2), F.col("level")).cast("bigint")
@@ -165,17 +154,38 @@ def _frequent_buyers(hits: DataFrame, start, end, half_life_hours: float) -> Dat
         copies.select(
             "user", "level", floor_by(F.col("hour"), size * 2).alias("block"), later.alias("later"), "utm", "hour", "amount",
             F.when(later, F.col("offset")).otherwise(HOUR_MICROS - F.col("offset")).alias("position"),
-        ),
+        ).filter(F.col("later") if only_before else F.lit(True)),
         "position", OFFSET_SPAN,
     ).repartition(*group, "_span")
     edge = F.col("block") * size * 2 + size
     weighted = spread.withColumn("purchase_weight", F.col("amount") * decay(F.col("hour") - edge)).drop("amount")
+    touch_weight = F.when(F.col("purchase_weight").isNull(), decay(edge - F.col("hour")))
+    product = _product(weighted.withColumn("touch_weight", touch_weight), group)
     touched = running(weighted, group, "position", {"purchase_weight": "earlier"}, span="_span").filter(
         F.col("purchase_weight").isNull() & F.col("earlier").isNotNull()
     )
     step = decay(F.when(F.col("later"), F.lit(-1)).otherwise(F.lit(1))) - 1
     corrections = touched.select("utm", (F.col("earlier") * decay(edge - F.col("hour")) * step).alias("part"))
-    return base.unionByName(corrections)
+    if only_before:
+        offset = with_span(timed, "offset", OFFSET_SPAN).repartition("user", "hour", "_span")
+        same = running(
+            offset, ["user", "hour"], "offset", {"amount": "left"}, strict=False, backwards=True, span="_span"
+        ).filter(~bought & F.col("left").isNotNull()).select("utm", F.col("left").alias("part"))
+    else:
+        alike = timed.select("user", "hour", "utm", F.col("amount").alias("purchase_weight"), F.when(~bought, 1.0).alias("touch_weight"))
+        same = _product(alike, ["user", "hour"])
+    return product.unionByName(corrections).unionByName(same)
+
+
+def _product(weighted: DataFrame, group: list[str]) -> DataFrame:
+    """Sum of ``touch_weight`` per UTM values times the sum of ``purchase_weight``, in each group."""
+    sums = weighted.groupBy(*group, "utm").agg(
+        F.sum("purchase_weight").alias("purchase_weight"), F.sum("touch_weight").alias("touch_weight")
+    )
+    total = F.max("purchase_weight").over(W.partitionBy(*group))
+    return sums.withColumn("purchase_weight", total).filter(
+        F.col("utm").isNotNull() & F.col("purchase_weight").isNotNull()
+    ).select("utm", (F.col("purchase_weight") * F.col("touch_weight")).alias("part"))
 
 
 def floor_by(number: Column, size: Column) -> Column:

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from webtally.functions.dates import between_dates
 from webtally.functions.numbers import exact_sum, money, ratio
 from webtally.functions.params import flatten, in_days, named
 from webtally.functions.urls import transform_url
-from webtally.operators.search import between_dates
-from webtally.operators.skew import join_to_unique
 
 
 def ads_campaign_performance(events: DataFrame, start, end) -> DataFrame:
@@ -89,8 +88,8 @@ def organic_query_value(events: DataFrame, search: DataFrame, start, end) -> Dat
         .filter(F.col("query").isNotNull() & F.col("url").isNotNull())
         .groupBy("query", transform_url(F.col("url"), "all").alias("url")).agg(F.sum("clicks").alias("clicks"))
     )
-    all_clicks = queries.groupBy("url").agg(F.sum("clicks").alias("url_clicks"), F.count("*").alias("url_queries"))
-    shared = join_to_unique(queries, all_clicks.join(landings, "url"), "url", "url_queries", ["query"], how="inner")
+    all_clicks = queries.groupBy("url").agg(F.sum("clicks").alias("url_clicks"))
+    shared = queries.join(all_clicks.join(landings, "url"), "url")
     credit = F.round(ratio(F.col("sessions") * F.col("clicks"), F.col("url_clicks")), 2)
     return (
         shared.select(F.col("query").alias("search_query"), credit.alias("credit"), "amount")

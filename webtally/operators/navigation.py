@@ -41,12 +41,13 @@ def navigation_without_loops(events: DataFrame, start, end) -> DataFrame:
     return _count_moves(moves.filter((here != F.col("previous_page")) & (here != F.col("next_page"))))
 
 
-def navigation_steps(events: DataFrame, start, end) -> DataFrame:
+def navigation_steps(events: DataFrame, start, end, whole_session: bool = False) -> DataFrame:
     """How often each path of up to five pages opens a user's first session.
 
     A page that repeats the one before it is no step. Campaign, medium, source and referrer are the ones in
     force at the step; later steps count only while these equal the ones at the first step. As a path needs
-    its first step, the first five steps of a session decide its row."""
+    its first step, the first five steps of a session decide its row. With ``whole_session`` the values at a
+    session's end hold for all its steps, so every session gives its whole path."""
     attributes = ["campaign", "medium", "source", "referrer"]
     hits = (
         flatten(events.filter(in_days(start, end)))
@@ -56,6 +57,8 @@ def navigation_steps(events: DataFrame, start, end) -> DataFrame:
             tidy_url(F.col("page_location")).alias("page"), tidy_url(F.col("page_referrer")).alias("referrer"),
         )
     )
+    if whole_session:
+        return _step_counts(with_span(hits).withColumn("state", F.lit(True)).select("session_key", *EVENT_ORDER, "_span", "page", "state"))
     # Attributes in force: those of the last event at or before this time (events at one time are peers).
     at_or_before = W.partitionBy("session_key", "_span").orderBy("event_micros")
     in_force = F.max_by(F.struct("user_pseudo_id", *attributes), event_order()).over(at_or_before)
@@ -63,6 +66,11 @@ def navigation_steps(events: DataFrame, start, end) -> DataFrame:
     dressed = with_span(hits).withColumn("_state", in_force).select(
         "session_key", *EVENT_ORDER, "_span", "page", state.alias("state")
     )
+    return _step_counts(dressed)
+
+
+def _step_counts(dressed: DataFrame) -> DataFrame:
+    """Paths and how often they occur, from (session_key, time, _span, page, state)."""
     moved = neighbours(dressed, ["session_key"], "page", span="_span").filter(
         F.col("previous").isNull() | (F.col("previous") != F.col("page"))
     )

@@ -10,12 +10,11 @@ import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from webtally.functions.fixed import PROMO_PATTERN
-from webtally.functions.numbers import exact_sum, money, ratio
+from webtally.functions.numbers import money, ratio
 from webtally.functions.params import flatten, in_days, named
 from webtally.functions.urls import is_promo
 from webtally.functions.dates import utc_date
 from webtally.operators.search import search_appearance_totals
-from webtally.operators.skew import join_to_unique
 
 SEARCH_COLUMNS = {
     "is_amp_top_stories": "is_amp_top_stories", "is_amp_blue_link": "is_amp_blue_link",
@@ -24,7 +23,7 @@ SEARCH_COLUMNS = {
 
 
 def _recent(as_of, days: int) -> Column:
-    last = datetime.date.fromisoformat(str(as_of)) if as_of else datetime.date.today()
+    last = datetime.date.fromisoformat(str(as_of)) if as_of else datetime.datetime.now(datetime.timezone.utc).date()
     return in_days(last - datetime.timedelta(days=days), last)
 
 
@@ -58,6 +57,18 @@ def _user_totals(events: DataFrame, pattern: str, as_of, days: int) -> DataFrame
     )
 
 
+def _by_user(events: DataFrame, pattern: str) -> DataFrame:
+    """Totals that need no sessions, in one aggregation by user."""
+    promo = F.coalesce(is_promo(F.col("page_location"), pattern), F.lit(False))
+    time = F.col("event_micros")
+    return flatten(events).groupBy("user_pseudo_id").agg(
+        F.count("*").alias("events"), F.count_if(promo).alias("promo_events"),
+        F.count_if(promo & named("click")).alias("promo_clicks"), F.count_if(promo & named("page_view")).alias("promo_views"),
+        F.min(F.when(promo, time)).alias("first_promo"), F.max(F.when(promo, time)).alias("last_promo"),
+        F.min(F.when(named("purchase"), time)).alias("first_purchase"),
+    )
+
+
 def _promo_users(events: DataFrame, pattern: str, as_of, days: int) -> DataFrame:
     """Totals of the users who viewed a promotion page in the last ``days`` days."""
     totals = _user_totals(events, pattern, as_of, days)
@@ -75,8 +86,6 @@ def _recent_views(events: DataFrame, pattern: str, as_of, days: int) -> DataFram
     )
 
 
-
-
 def _engagement() -> dict[str, Column]:
     purchases, sessions = F.col("purchases"), F.col("sessions")
     return {
@@ -106,7 +115,7 @@ def promo_user_engagement(events: DataFrame, pattern: str = PROMO_PATTERN, as_of
 
 def promo_touch_attribution(events: DataFrame, pattern: str = PROMO_PATTERN) -> DataFrame:
     """First and last promotion event of every user and the promotion share of the user's events."""
-    return _user_totals(events, pattern, None, 0).select(
+    return _by_user(events, pattern).select(
         "user_pseudo_id", F.col("first_promo").alias("first_touch"), F.col("last_promo").alias("last_touch"),
         _linear_score().alias("linear_attribution_score"),
     )
@@ -114,7 +123,7 @@ def promo_touch_attribution(events: DataFrame, pattern: str = PROMO_PATTERN) ->
 
 def promo_ctr(events: DataFrame, pattern: str = PROMO_PATTERN) -> DataFrame:
     """Clicks per view of promotion pages, per user."""
-    return _user_totals(events, pattern, None, 0).select(
+    return _by_user(events, pattern).select(
         "user_pseudo_id", "promo_clicks", "promo_views",
         ratio(F.col("promo_clicks"), F.col("promo_views")).alias("promo_ctr"),
     )
@@ -131,7 +140,13 @@ def promo_bounce(events: DataFrame, pattern: str = PROMO_PATTERN, as_of=None, da
 def user_clv(events: DataFrame) -> DataFrame:
     """Purchase revenue, purchase sessions and lifetime value of every buyer."""
     revenue = F.col("bought").cast("double")
-    return _user_totals(events, PROMO_PATTERN, None, 0).filter(F.col("purchases") > 0).select(
+    sessions = flatten(events).filter(named("purchase")).groupBy("user_pseudo_id", "session_id").agg(
+        F.sum(money(F.col("purchase_revenue"))).alias("bought")
+    )
+    buyers = sessions.groupBy("user_pseudo_id").agg(
+        F.count("session_id").alias("buying_sessions"), F.sum("bought").alias("bought")
+    )
+    return buyers.select(
         "user_pseudo_id", revenue.alias("total_revenue"), F.col("buying_sessions").alias("total_sessions"),
         ratio(revenue, F.col("buying_sessions")).alias("avg_revenue_per_session"), _clv().alias("estimated_clv"),
     )
@@ -159,15 +174,15 @@ def promo_funnel(
         ratio(F.col("promo_clicks"), F.col("promo_views")).alias("promo_ctr"),
         ratio(F.col("not_engaged"), F.col("sessions")).alias("bounce_rate"),
         _clv().alias("estimated_clv"), _retention_days().alias("retention_days"),
-        F.col("sessions").alias("session_count"), "recent_promo_views",
+        F.col("sessions").alias("session_count"),
     )
     appearance = search_appearance_totals(search, start, end).select(
         F.struct(*[F.col(flag).alias(name) for flag, name in SEARCH_COLUMNS.items()]).alias("totals")
     )
     views = _recent_views(events, pattern, as_of, days)
-    joined = join_to_unique(views, users, "user_pseudo_id", "recent_promo_views", ["event_micros", "sequence"])
+    joined = views.join(users, "user_pseudo_id", "left")
     tie_break = [F.desc("revenue_generated"), "user_pseudo_id", "event_micros", "sequence"]
-    output = [c for c in views.columns if c not in ("event_micros", "sequence")] + users.columns[1:-1]
+    output = [c for c in views.columns if c not in ("event_micros", "sequence")] + users.columns[1:]
     return (
         joined.withColumn("appearance", appearance.scalar()).orderBy(*tie_break)
         .select(*output, *[F.col(f"appearance.{name}").alias(name) for name in SEARCH_COLUMNS.values()])
@@ -179,12 +194,12 @@ def promo_users(events: DataFrame, pattern: str = PROMO_PATTERN, as_of=None, day
     users = _promo_users(events, pattern, as_of, days).select(
         "user_pseudo_id", F.col("sessions").alias("promo_sessions"), F.col("events").alias("promo_page_views"),
         F.col("purchases").alias("total_purchases"), F.col("revenue").cast("double").alias("total_revenue"),
-        F.round(ratio(F.col("purchases"), F.col("sessions")) * 100, 2).alias("conversion_rate"), "recent_promo_views",
+        F.round(ratio(F.col("purchases"), F.col("sessions")) * 100, 2).alias("conversion_rate"),
     )
     views = _recent_views(events, pattern, as_of, days).withColumnsRenamed(
         {"source": "traffic_source", "medium": "traffic_medium"}
     )
-    joined = join_to_unique(views, users, "user_pseudo_id", "recent_promo_views", ["event_micros", "sequence"])
+    joined = views.join(users, "user_pseudo_id", "left")
     return joined.orderBy(F.desc("total_revenue"), "user_pseudo_id", "event_micros", "sequence").drop(
         "event_micros", "sequence"
     )
@@ -193,23 +208,27 @@ def promo_users(events: DataFrame, pattern: str = PROMO_PATTERN, as_of=None, day
 def promo_traffic_breakdown(events: DataFrame, pattern: str = PROMO_PATTERN) -> DataFrame:
     """Users and sessions with promotion pages per traffic source."""
     hits = flatten(events).filter(is_promo(F.col("page_location"), pattern))
-    return hits.groupBy(F.col("first_source").alias("traffic_source")).agg(
+    seen = hits.groupBy(F.col("first_source").alias("traffic_source"), "user_pseudo_id", "session_id").agg(F.lit(1))
+    return seen.groupBy("traffic_source").agg(
         F.countDistinct("user_pseudo_id").alias("total_users"), F.countDistinct("session_id").alias("total_sessions")
     )
 
 
 def promo_vs_non_promo(events: DataFrame, pattern: str = PROMO_PATTERN) -> DataFrame:
     """Users, sessions, purchases and revenue on promotion pages, other pages and events without a page."""
-    return flatten(events).groupBy(is_promo(F.col("page_location"), pattern).alias("is_promo_visit")).agg(
+    kind = is_promo(F.col("page_location"), pattern).alias("is_promo_visit")
+    seen = flatten(events).groupBy(kind, "user_pseudo_id", "session_id").agg(
+        F.count_if(named("purchase")).alias("purchases"), F.sum(money(F.col("purchase_revenue"))).alias("revenue")
+    )
+    return seen.groupBy("is_promo_visit").agg(
         F.countDistinct("user_pseudo_id").alias("total_users"),
         F.countDistinct("session_id").alias("total_sessions"),
-        F.count_if(named("purchase")).alias("total_purchases"),
-        exact_sum(F.col("purchase_revenue")).alias("total_revenue"),
+        F.sum("purchases").alias("total_purchases"), F.sum("revenue").cast("double").alias("total_revenue"),
     )
 
 
 def promo_user_journey(events: DataFrame, pattern: str = PROMO_PATTERN) -> DataFrame:
     """First promotion event and first purchase of every user."""
-    return _user_totals(events, pattern, None, 0).select(
+    return _by_user(events, pattern).select(
         "user_pseudo_id", F.col("first_promo").alias("first_promo_visit"), "first_purchase"
     )

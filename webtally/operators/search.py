@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from webtally.functions.channels import first_match
+from webtally.functions.dates import between_dates
 from webtally.functions.fixed import AMP_CLASSES, APPEARANCE_FLAGS, PROMO_PATTERN
 from webtally.functions.numbers import ratio, safe_corr
 from webtally.functions.urls import is_promo
 
 
-def between_dates(column: str, start, end) -> Column:
-    return F.col(column).between(F.lit(str(start)).cast("date"), F.lit(str(end)).cast("date"))
-
-
 def _totals() -> list[Column]:
     ctr = ratio(F.sum("clicks"), F.sum("impressions")) * 100
     return [

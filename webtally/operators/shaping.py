@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from webtally.functions.dates import between_dates
 from webtally.functions.fixed import ITEM_LIST_FIELDS, ITEM_NUMBER_FIELDS, ITEM_TEXT_FIELDS, PIVOT_EVENTS
 from webtally.functions.params import in_days
-from webtally.operators.search import between_dates
 
 EVENT = ["user_pseudo_id", "event_timestamp", "event_name"]
 ITEM_FIELDS = ITEM_TEXT_FIELDS + [name for name, _ in ITEM_NUMBER_FIELDS] + ITEM_LIST_FIELDS
@@ -60,27 +60,30 @@ def flat_events(events: DataFrame, start, end) -> DataFrame:
     """Every combination of an event's parameters, user properties and items, one row each.
 
     Events are matched to their parts by (user, time, name), so events that share all three get each other's
-    parts too: a window over the triple brings the parts together and three explodes multiply them, with one
-    shuffle and no join. (A triple has few events; its rows in the result are the product of all its parts.)
-    An event without a user, time or name matches nothing and keeps one row without parts."""
+    parts too. A triple that one event has is exploded in place; the events of all others meet their parts, one
+    row each, in three joins, which spill where a triple has many. An event without a user, time or name matches
+    nothing and keeps one row without parts."""
     rows = events.filter(in_days(start, end))
     incomplete = F.lit(False)
     for column in EVENT:
         incomplete = incomplete | F.col(column).isNull()
-    same = W.partitionBy(*EVENT)
-
-    def parts(column: str) -> Column:
-        return F.flatten(F.collect_list(column).over(same)).alias(column)
-
-    matched = (
-        rows.filter(~incomplete)
-        .select(*EVENT, parts("event_params"), parts("user_properties"), parts("items"))
+    complete = rows.filter(~incomplete).select(*EVENT, "event_params", "user_properties", "items")
+    shared = complete.groupBy(*EVENT).count().filter("count > 1").drop("count")
+    once = (
+        complete.join(shared, EVENT, "left_anti")
         .select(*EVENT, F.explode_outer("event_params").alias("p"), "user_properties", "items")
         .select(*EVENT, *_param_columns("p"), F.explode_outer("user_properties").alias("u"), "items")
         .select(*EVENT, *_value_names("param"), *_property_columns("u"), F.explode_outer("items").alias("i"))
         .select(*EVENT, *_value_names("param"), *_value_names("user_property"), *_item_columns("i"))
     )
-    return matched.unionByName(rows.filter(incomplete).select(*EVENT), allowMissingColumns=True).orderBy(
+    again = complete.join(shared, EVENT, "left_semi")
+    parts = {
+        "event_params": _param_columns("p"), "user_properties": _property_columns("p"), "items": _item_columns("p"),
+    }
+    matched = again.select(*EVENT)
+    for column, values in parts.items():
+        matched = matched.join(again.select(*EVENT, F.explode(column).alias("p")).select(*EVENT, *values), EVENT, "left")
+    return once.unionByName(matched).unionByName(rows.filter(incomplete).select(*EVENT), allowMissingColumns=True).orderBy(
         "user_pseudo_id", "event_timestamp", "event_name", "param_key", "user_property_key", "item_id"
     )
 

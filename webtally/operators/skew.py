@@ -1,4 +1,5 @@
-"""Ordered windows and joins that stay spread out when one key holds a large part of all rows.
+"""Ordered windows that stay spread out when one key holds a large part of all rows. (Joins are left to adaptive
+execution, which splits a skewed side by its measured size.)
 
 A Spark window puts a whole partition key into one task, so a session or user with a third of the events
 (a bot, or the missing user id) would stop the job. Here a key is first cut into spans of its order column.
@@ -85,33 +86,3 @@ def running(
     return everything.select(
         *columns, "_real", *[combine(v).over(upto).alias(name) for v, name in outputs.items()]
     ).filter("_real").drop("_real")
-
-
-# Rows of a key that one task takes without trouble, and how many of the most frequent keys beyond that are dealt
-# out. Every key after those has less than one row in HOT_KEYS, so the list need not grow with the data.
-HOT_ROWS = 100_000
-HOT_KEYS = 1000
-HOT_TASKS = 256
-
-
-def join_to_unique(
-    many: DataFrame, unique: DataFrame, key: str, size: str, spread: list[str], how: str = "left",
-    hot_rows: int = HOT_ROWS, sizes: DataFrame | None = None,
-) -> DataFrame:
-    """Join rows to a table with one row per ``key``, dealing the rows of hot keys out over many tasks.
-
-    Column ``size`` of ``unique`` (or of ``sizes``, where that is cheaper to compute) holds the number of rows of
-    ``many`` with that key. The hot keys, one short array
-    from a scalar subquery, get a number from the ``spread`` columns (which differ between rows of a key) on one
-    side, and one copy per number on the other. Rows without a key match nothing and are dealt out too. All
-    other rows join as usual."""
-    hot_keys = (
-        (unique if sizes is None else sizes).select(key, size).filter(F.col(size) > hot_rows).orderBy(F.desc(size), key).limit(HOT_KEYS)
-        .agg(F.collect_list(key)).scalar()
-    )
-    hot = F.array_contains(hot_keys, F.col(key))
-    number = F.pmod(F.xxhash64(*spread), F.lit(HOT_TASKS).cast("bigint"))
-    copies = F.sequence(F.lit(0).cast("bigint"), F.when(hot, F.lit(HOT_TASKS - 1)).otherwise(0).cast("bigint"))
-    left = many.withColumn("_deal", F.when(F.col(key).isNull() | hot, number).otherwise(0))
-    right = unique.drop(size).withColumn("_deal", F.explode(copies))
-    return left.join(right, [key, "_deal"], how).drop("_deal")

@@ -98,12 +98,12 @@ allsc AS (
     '{t.HOST}' || {pick(t.PAGES, 'l_partkey % 8')} || {pick(t.SEARCH_SUFFIXES, 'l_suppkey % 3')} AS url,
     {pick(['DESKTOP', 'MOBILE', 'TABLET'], 'l_suppkey % 3')} AS device, 'NATION_' || (l_suppkey % 25) AS country,
     {pick(['web', 'image', 'news'], 'l_linenumber % 3')} AS traffic_source,
-    CAST(CASE WHEN l_linenumber = 7 THEN 0 ELSE l_quantity END AS BIGINT) AS impressions,
-    CAST(CASE WHEN l_linenumber = 7 THEN 0 ELSE floor(l_quantity * l_discount) END AS BIGINT) AS clicks,
-    CAST(l_linenumber * (l_suppkey % 5) AS DOUBLE) AS top
+    CAST(CASE WHEN l_linenumber = 7 THEN 0 WHEN l_partkey % 4 = 0 THEN 1 ELSE l_quantity END AS BIGINT) AS impressions,
+    CAST(CASE WHEN l_linenumber = 7 THEN 0 WHEN l_partkey % 4 = 0 THEN l_orderkey % 2 ELSE floor(l_quantity * l_discount) END AS BIGINT) AS clicks,
+    CAST(CASE WHEN l_partkey % 4 = 0 THEN (l_partkey // 4) % 20 ELSE l_linenumber * (l_suppkey % 5) END AS DOUBLE) AS top
   FROM lineitem JOIN part ON l_partkey = p_partkey
 ),
-sc AS (SELECT * FROM allsc WHERE d BETWEEN DATE '1996-01-01' AND DATE '1996-12-31')"""
+sc AS (SELECT * FROM allsc WHERE d BETWEEN DATE '1995-01-01' AND DATE '2001-12-31')"""
 
 
 def flag(name: str) -> str:
@@ -118,7 +118,7 @@ def on_search(body: str) -> str:
 
 PROMO = fixed.PROMO_PATTERN
 IS_PROMO = f"regexp_matches(page, '{PROMO}')"
-RECENT = "day BETWEEN DATE '2024-01-01' AND DATE '2024-01-31'"
+RECENT = "day BETWEEN DATE '2024-01-18' AND DATE '2024-01-20'"
 PATH = "regexp_replace(page, '^https?://[^/]+|[?].*', '', 'g')"
 SOURCE = f"CASE WHEN gclid IS NOT NULL THEN '{fixed.PAID_CLICK_SOURCE}' ELSE src || ' / ' || med END"
 
@@ -272,6 +272,27 @@ steps AS (
   FROM kept GROUP BY usr, skey, country, device, camp, med, src, ref
 )
 SELECT stage1, stage2, stage3, stage4, stage5, count(*) AS navigation_frequency
+FROM steps GROUP BY ALL HAVING stage1 IS NOT NULL"""),
+    "navigation_steps_whole_session": on_events(""",
+base AS (
+  SELECT usr, skey, t, regexp_replace(regexp_replace(lower(page), '\\?.*$', ''), '/$', '') AS pg, country, device, camp, med, src,
+    regexp_replace(regexp_replace(lower(referrer), '\\?.*$', ''), '/$', '') AS ref
+  FROM ev WHERE usr IS NOT NULL AND snum = 1
+),
+attrs AS (
+  SELECT usr, skey, t, pg, first_value(country) OVER w AS country, first_value(device) OVER w AS device,
+    last_value(camp) OVER w AS camp, last_value(med) OVER w AS med, last_value(src) OVER w AS src,
+    last_value(ref) OVER w AS ref, lag(pg) OVER w AS prev
+  FROM base WINDOW w AS (PARTITION BY skey ORDER BY t)
+),
+kept AS (SELECT *, row_number() OVER (PARTITION BY skey ORDER BY t) AS n FROM attrs WHERE prev IS NULL OR prev <> pg),
+steps AS (
+  SELECT max(CASE WHEN n = 1 THEN pg END) AS stage1, max(CASE WHEN n = 2 THEN pg END) AS stage2,
+    max(CASE WHEN n = 3 THEN pg END) AS stage3, max(CASE WHEN n = 4 THEN pg END) AS stage4,
+    max(CASE WHEN n = 5 THEN pg END) AS stage5
+  FROM kept GROUP BY usr, skey
+)
+SELECT stage1, stage2, stage3, stage4, stage5, count(*) AS navigation_frequency
 FROM steps GROUP BY ALL HAVING stage1 IS NOT NULL"""),
     "exit_pages": on_events(""",
 x AS (SELECT usr, sid, first_value(page) OVER (PARTITION BY usr, sid ORDER BY t DESC, seq DESC) AS exit_page
@@ -358,6 +379,14 @@ FROM l GROUP BY src"""),
 i AS (SELECT usr, t AS touched, src, med, camp FROM ev WHERE event_name IN ('session_start', 'page_view', 'click')),
 c AS (SELECT usr, t AS bought, coalesce(val_int, 0) + coalesce(val_dbl, 0.0) AS amount FROM ev WHERE event_name = 'purchase'),
 s AS (SELECT src, med, camp, sum({DECAYED}) AS x FROM i JOIN c USING (usr) WHERE amount > 0 GROUP BY src, med, camp)
+SELECT src AS utm_source, med AS utm_medium, camp AS utm_campaign,
+  CASE WHEN {DIGITS} >= 0 THEN round(x / pow(10.0, {DIGITS})) * pow(10.0, {DIGITS})
+       ELSE round(x * pow(10.0, -{DIGITS})) / pow(10.0, -{DIGITS}) END AS total_attributed_value
+FROM s"""),
+    "attribution_time_decay_before": on_events(f""",
+i AS (SELECT usr, t AS touched, src, med, camp FROM ev WHERE event_name IN ('session_start', 'page_view', 'click')),
+c AS (SELECT usr, t AS bought, coalesce(val_int, 0) + coalesce(val_dbl, 0.0) AS amount FROM ev WHERE event_name = 'purchase'),
+s AS (SELECT src, med, camp, sum({DECAYED}) AS x FROM i JOIN c USING (usr) WHERE amount > 0 AND bought >= touched GROUP BY src, med, camp)
 SELECT src AS utm_source, med AS utm_medium, camp AS utm_campaign,
   CASE WHEN {DIGITS} >= 0 THEN round(x / pow(10.0, {DIGITS})) * pow(10.0, {DIGITS})
        ELSE round(x * pow(10.0, -{DIGITS})) / pow(10.0, -{DIGITS}) END AS total_attributed_value
@@ -399,8 +428,10 @@ SELECT usr AS user_pseudo_id, session_id,
   CASE engaged WHEN 1 THEN 'Engaged' WHEN 0 THEN 'Not Engaged' ELSE 'Unknown' END AS session_status FROM ev"""),
     "clv_sessions_correlation": f"""
 WITH o AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey),
-u AS (SELECT c_custkey, max(c_acctbal) AS r, max(coalesce(n, 0)) AS n FROM customer LEFT JOIN o ON c_custkey = o_custkey
-      WHERE c_acctbal > 0 GROUP BY c_custkey)
+s AS (SELECT c_custkey, CASE k WHEN 0 THEN c_acctbal ELSE c_acctbal * 0.5 + 100 END AS r,
+             coalesce(n, 0) + CASE k WHEN 0 THEN 0 ELSE c_custkey % 7 END AS n
+      FROM customer LEFT JOIN o ON c_custkey = o_custkey CROSS JOIN (VALUES (0), (1)) AS days(k)),
+u AS (SELECT c_custkey, max(r) AS r, max(n) AS n FROM s WHERE r > 0 GROUP BY c_custkey)
 SELECT {rnd('CASE WHEN isnan(corr(r, n)) THEN NULL ELSE corr(r, n) END', 2)} AS clv_sessions_correlation FROM u""",
     "cohort_retention": on_events(""",
 x AS (SELECT usr, day, first_value(day) OVER (PARTITION BY usr ORDER BY day) AS first FROM ev),
@@ -487,7 +518,7 @@ FROM sc WHERE query IS NOT NULL GROUP BY query, device"""),
     "ctr_position_daily_corr": on_search(f"""{DAILY_CORRELATION}
 SELECT d AS data_date, {rnd('c', 4)} AS ctr_position_correlation FROM c"""),
     "ctr_position_corr_trend": on_search(f"""{DAILY_CORRELATION},
-f AS (SELECT CAST(g AS DATE) AS d, coalesce(c, 0) AS c FROM generate_series(DATE '1996-01-01', DATE '1996-12-31', INTERVAL 1 DAY) s(g)
+f AS (SELECT CAST(g AS DATE) AS d, coalesce(c, 0) AS c FROM generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY) s(g)
       LEFT JOIN c ON CAST(g AS DATE) = c.d),
 m AS (SELECT month(d) AS m, {rnd('avg(c)', 4)} AS mean FROM f GROUP BY 1)
 SELECT d AS data_date, {rnd('c', 4)} AS ctr_position_correlation,
@@ -589,7 +620,7 @@ WITH c AS (SELECT c_custkey, c_name, lower(c_name) || '@example.com' AS email,
 SELECT o_orderkey AS sale_id, o_custkey AS customer_id, c_name AS customer_name, email AS customer_email,
   o_orderkey % 2000 AS product_id, o_totalprice AS sale_amount
 FROM orders LEFT JOIN c ON o_custkey = c_custkey AND CAST(o_orderdate AS DATE) >= since
-WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'""",
+WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '2001-12-31'""",
     "monthly_partitioned_sink": on_events("""
 SELECT 'web_analytics_' || strftime(day, '%Y%m') AS table_name, day AS event_date, count(*) AS row_count,
   count(DISTINCT CASE WHEN usr IS NOT NULL THEN uid END) AS users, count(DISTINCT session_id) AS sessions, max(t) AS last_event

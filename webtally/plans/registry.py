@@ -11,9 +11,11 @@ from webtally.operators import attribution, campaigns, daily, navigation, privac
 from webtally.sources import testdata, writers
 
 YEAR = ("2024-01-01", "2024-12-31")
-SEARCH_YEAR = ("1996-01-01", "1996-12-31")
-SALES_YEARS = ("1996-01-01", "1998-12-31")
-AS_OF = "2024-01-31"
+# All days of the search and sales tables.
+OLD_YEARS = ("1995-01-01", "2001-12-31")
+# The promotion window leaves out most days and some users; the last of the monthly tables is that of the events.
+RECENT = {"as_of": "2024-01-20", "days": 2}
+LAST_MONTH = "2024-01-31"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,7 +30,7 @@ def on_events(report: Callable, *args, stagger: bool = False, **options) -> Quer
 
 
 def on_search(report: Callable) -> Query:
-    return lambda spark, folder: report(testdata.search(_utc(spark), folder), *SEARCH_YEAR)
+    return lambda spark, folder: report(testdata.search(_utc(spark), folder), *OLD_YEARS)
 
 
 def _clv_correlation(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,24 +39,24 @@ def _clv_correlation(spark: SparkSession, folder: str) -> DataFrame:
 
 def _promo_funnel(spark: SparkSession, folder: str) -> DataFrame:
     events, pages = testdata.stored_events(_utc(spark), folder), testdata.search(spark, folder)
-    return promo.promo_funnel(events, pages, *SEARCH_YEAR, as_of=AS_OF)
+    return promo.promo_funnel(events, pages, *OLD_YEARS, **RECENT)
 
 
 def _organic_query_value(spark: SparkSession, folder: str) -> DataFrame:
     events, pages = testdata.stored_events(_utc(spark), folder), testdata.search(spark, folder)
-    # The two derived tables cover different years; the search rows of 1996 stand for those of the event year.
-    shifted = pages.withColumn("data_date", F.add_months("data_date", 12 * 28))
+    # The two derived tables cover different years; every search row counts at its day of the event year.
+    shifted = pages.withColumn("data_date", F.date_add(F.lit(YEAR[0]).cast("date"), F.dayofyear("data_date") - 1))
     return campaigns.organic_query_value(events, shifted, *YEAR)
 
 
 def _sales_customers(spark: SparkSession, folder: str) -> DataFrame:
     sales, customers = testdata.sales(_utc(spark), folder), testdata.customers(spark, folder)
-    return shaping.sales_customer_asof_membership(sales, customers, *SALES_YEARS)
+    return shaping.sales_customer_asof_membership(sales, customers, *OLD_YEARS)
 
 
-def _time_decay(spark: SparkSession, folder: str) -> DataFrame:
+def _time_decay(spark: SparkSession, folder: str, only_before: bool = False) -> DataFrame:
     """Ten significant digits: powers and sums of doubles differ between engines beyond that."""
-    report = attribution.attribution_time_decay(testdata.stored_events(_utc(spark), folder), *YEAR)
+    report = attribution.attribution_time_decay(testdata.stored_events(_utc(spark), folder), *YEAR, only_before=only_before)
     value = F.col("total_attributed_value")
     digits = F.floor(F.log10(value)) - 9
     large, small = F.pow(F.lit(10.0), digits), F.pow(F.lit(10.0), -digits)
@@ -65,7 +67,7 @@ def _time_decay(spark: SparkSession, folder: str) -> DataFrame:
 def _monthly_sink(spark: SparkSession, folder: str) -> DataFrame:
     """Write the monthly tables and count what was stored per table and day."""
     base = f"{writers.shared_folder(_utc(spark))}/monthly-{uuid.uuid4().hex}"
-    paths = writers.write_monthly_tables(testdata.monthly_rows(spark, folder), base, AS_OF)
+    paths = writers.write_monthly_tables(testdata.monthly_rows(spark, folder), base, LAST_MONTH)
     stored = None
     for path in paths:
         rows = writers.read_monthly_table(spark, path).withColumn("table_name", F.lit(path.rsplit("/", 1)[1]))
@@ -80,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "page_navigation_flow": on_events(navigation.page_navigation_flow, *YEAR),
     "navigation_without_loops": on_events(navigation.navigation_without_loops, *YEAR),
     "navigation_steps": on_events(navigation.navigation_steps, *YEAR),
+    "navigation_steps_whole_session": on_events(navigation.navigation_steps, *YEAR, whole_session=True),
     "exit_pages": on_events(navigation.exit_pages, *YEAR),
     "landing_page_conversion": on_events(navigation.landing_page_conversion, *YEAR),
     "landing_pages_top10": on_events(navigation.landing_pages_top10, *YEAR),
@@ -93,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "attribution_last_click": on_events(attribution.attribution_last_click, *YEAR),
     "attribution_linear": on_events(attribution.attribution_linear, *YEAR),
     "attribution_time_decay": _time_decay,
+    "attribution_time_decay_before": lambda spark, folder: _time_decay(spark, folder, only_before=True),
     "page_revenue_attribution": on_events(attribution.page_revenue_attribution, *YEAR),
     "source_product_revenue": on_events(attribution.source_product_revenue, *YEAR),
     "marketing_channels": on_events(attribution.marketing_channels, *YEAR),
@@ -101,14 +105,14 @@ QUERIES: dict[str, Query] = {
     "clv_sessions_correlation": _clv_correlation,
     "cohort_retention": on_events(users.cohort_retention, *YEAR, stagger=True),
     "loyalty_tiers": on_events(users.loyalty_tiers, *YEAR),
-    "promo_user_engagement": on_events(promo.promo_user_engagement, as_of=AS_OF),
+    "promo_user_engagement": on_events(promo.promo_user_engagement, **RECENT),
     "promo_touch_attribution": on_events(promo.promo_touch_attribution),
     "promo_ctr": on_events(promo.promo_ctr),
-    "promo_bounce": on_events(promo.promo_bounce, as_of=AS_OF),
+    "promo_bounce": on_events(promo.promo_bounce, **RECENT),
     "user_clv": on_events(promo.user_clv),
-    "promo_retention": on_events(promo.promo_retention, as_of=AS_OF),
+    "promo_retention": on_events(promo.promo_retention, **RECENT),
     "promo_funnel": _promo_funnel,
-    "promo_users": on_events(promo.promo_users, as_of=AS_OF),
+    "promo_users": on_events(promo.promo_users, **RECENT),
     "promo_traffic_breakdown": on_events(promo.promo_traffic_breakdown),
     "promo_vs_non_promo": on_events(promo.promo_vs_non_promo),
     "promo_user_journey": on_events(promo.promo_user_journey),

@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from webtally.functions.dates import between_dates
 from webtally.functions.params import in_days
-from webtally.operators.search import between_dates
 from webtally.sources import schemas
 
 

@@ -187,9 +187,13 @@ def search(spark: SparkSession, folder: str) -> DataFrame:
         "device_category": device,
         "country": "concat('NATION_', l_suppkey % 25)",
         "traffic_source": _pick(["web", "image", "news"], "l_linenumber % 3"),
-        "impressions": "CASE WHEN l_linenumber = 7 THEN 0 ELSE CAST(l_quantity AS BIGINT) END",
-        "clicks": "CASE WHEN l_linenumber = 7 THEN 0 ELSE floor(l_quantity * l_discount) END",
-        "sum_top_position": "CAST(l_linenumber * (l_suppkey % 5) AS DOUBLE)",
+        # Every fourth part is shown rarely and at positions 1 to 20, all others at the top.
+        "impressions":
+            "CASE WHEN l_linenumber = 7 THEN 0 WHEN l_partkey % 4 = 0 THEN 1 ELSE CAST(l_quantity AS BIGINT) END",
+        "clicks":
+            "CASE WHEN l_linenumber = 7 THEN 0 WHEN l_partkey % 4 = 0 THEN l_orderkey % 2 ELSE floor(l_quantity * l_discount) END",
+        "sum_top_position":
+            "CAST(CASE WHEN l_partkey % 4 = 0 THEN l_partkey DIV 4 % 20 ELSE l_linenumber * (l_suppkey % 5) END AS DOUBLE)",
     }
     for n, flag in enumerate(APPEARANCE_FLAGS):
         columns[flag] = f"CASE WHEN l_orderkey % {n + 3} <> 0 THEN l_partkey % {n + 2} = 0 END"
@@ -198,13 +202,18 @@ def search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def users(spark: SparkSession, folder: str) -> DataFrame:
-    """Daily user snapshot."""
+    """Daily user snapshot: three days for each user, the last of them in another year."""
     buyers, orders = table(spark, folder, "customer"), table(spark, folder, "orders")
     counts = orders.groupBy("o_custkey").count()
     return buyers.join(counts, buyers["c_custkey"] == counts["o_custkey"], "left").selectExpr(
-        "concat('u', c_custkey) AS pseudo_user_id",
-        "named_struct('revenue_in_usd', c_acctbal, 'sessions', coalesce(count, 0)) AS user_ltv",
-        "DATE'2024-01-15' AS snapshot_date",
+        "concat('u', c_custkey) AS pseudo_user_id", "c_custkey", "c_acctbal", "coalesce(count, 0) AS n",
+        "inline(array(named_struct('d', DATE'2024-01-15', 'k', 0), named_struct('d', DATE'2024-03-01', 'k', 1), "
+        "named_struct('d', DATE'2023-06-30', 'k', 2)))",
+    ).selectExpr(
+        "pseudo_user_id",
+        "named_struct('revenue_in_usd', CASE k WHEN 0 THEN c_acctbal WHEN 1 THEN c_acctbal * 0.5 + 100 ELSE 100000 - c_acctbal END, "
+        "'sessions', n + CASE k WHEN 0 THEN 0 WHEN 1 THEN c_custkey % 7 ELSE 50 END) AS user_ltv",
+        "d AS snapshot_date",
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import functools
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,8 +15,19 @@ from webtally.sources.schemas import MONTHLY_FIELDS
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors see: the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in local tests, a temporary folder stands in."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="webtally-")
+    Where that is unset a local session, whose only executor is the driver, gets one temporary folder; on a
+    cluster it is an error, as executors would write where nobody else can read."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local_folder(spark.sparkContext.applicationId)
+
+
+@functools.cache
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"webtally-{application}-")
 
 
 def write_by_date(df: DataFrame, path: str, date_column: str = "event_date") -> None:
