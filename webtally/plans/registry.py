@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -66,7 +65,7 @@ def _time_decay(spark: SparkSession, folder: str, only_before: bool = False) ->
 
 def _monthly_sink(spark: SparkSession, folder: str) -> DataFrame:
     """Write the monthly tables and count what was stored per table and day."""
-    base = f"{writers.shared_folder(_utc(spark))}/monthly-{uuid.uuid4().hex}"
+    base = writers.new_folder(_utc(spark), "monthly")
     paths = writers.write_monthly_tables(testdata.monthly_rows(spark, folder), base, LAST_MONTH)
     stored = None
     for path in paths:

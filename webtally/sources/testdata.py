@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from webtally.functions.dates import DAY_MICROS
@@ -11,7 +9,7 @@ from webtally.functions.fixed import APPEARANCE_FLAGS
 from webtally.functions.params import flatten
 from webtally.sources.readers import read_events
 from webtally.sources.schemas import EVENT_FIELDS, ITEM_FIELDS
-from webtally.sources.writers import shared_folder, write_by_date
+from webtally.sources.writers import new_folder, write_by_date
 
 HOST = "https://www.shop.example.com/"
 # Fixed values of the derivation.
@@ -167,7 +165,7 @@ def stored_events(spark: SparkSession, folder: str, stagger: bool = False) -> Da
     and read back, as the reports meet it in practice."""
     key = (spark.sparkContext.applicationId, folder, stagger)
     if key not in _written or not _exists(spark, _written[key]):
-        path = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+        path = new_folder(spark, "events")
         write_by_date(events(spark, folder, stagger), path)
         _written[key] = path
     return read_events(spark, _written[key])

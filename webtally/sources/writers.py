@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import datetime
 import functools
 import tempfile
+import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from webtally.sources.readers import read_table
@@ -30,6 +34,25 @@ def _local_folder(application: str) -> str:
     return tempfile.mkdtemp(prefix=f"webtally-{application}-")
 
 
+_made: list[str] = []
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """Path of a new folder for intermediate data in the shared folder; removed when the application's driver ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+@atexit.register
+def _remove_made() -> None:
+    jvm = SparkContext._jvm
+    while jvm and _made:
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            place = jvm.org.apache.hadoop.fs.Path(_made.pop())
+            place.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(place, True)
+
+
 def write_by_date(df: DataFrame, path: str, date_column: str = "event_date") -> None:
     """Overwrite ``path`` with one Parquet folder per date.
 
@@ -49,14 +72,26 @@ def month_names(as_of, months: int = 12) -> list[tuple[str, datetime.date, datet
 def write_monthly_tables(df: DataFrame, base: str, as_of, months: int = 12, prefix: str = "web_analytics_") -> list[str]:
     """Create or replace one table per month, ``base/prefix_yyyymm``, partitioned by ``event_date``.
 
-    Each month reads only its own days, so all of them together read the input once. A month without rows
-    still gets its (empty) table. Returns the paths."""
+    One job writes all months to a staging folder; when it has finished, each month's folder takes the place of
+    the old table. So the old tables stay until all new ones are complete, and only folders are renamed. A month
+    without rows still gets its (empty) table. Returns the paths."""
+    spark, base = df.sparkSession, base.rstrip("/")
+    names = month_names(as_of, months)
     columns = df.select(*[F.col(name).cast(kind).alias(name) for name, kind in MONTHLY_FIELDS.items()])
+    day = F.col("event_date")
+    asked = columns.filter((day >= F.lit(names[-1][1])) & (day < F.lit(names[0][2])))
+    staging = f"{base}/_staging-{uuid.uuid4().hex}"
+    asked.withColumn("_month", F.date_format(day, "yyyyMM")).hint("rebalance", day).write.partitionBy(
+        "_month", "event_date").parquet(staging)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = place(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     paths = []
-    for name, first, after in month_names(as_of, months):
-        path = f"{base.rstrip('/')}/{prefix}{name}"
-        write_by_date(columns.filter((F.col("event_date") >= F.lit(first)) & (F.col("event_date") < F.lit(after))), path)
+    for name, _, _ in names:
+        path, new = f"{base}/{prefix}{name}", place(f"{staging}/_month={name}")
+        files.delete(place(path), True)
+        files.rename(new, place(path)) if files.exists(new) else files.mkdirs(place(path))
         paths.append(path)
+    files.delete(place(staging), True)
     return paths
 
 
