@@ -4,8 +4,8 @@ import pytest
 
 from tests.compare import differences, duck
 from webtally.llm import html, warc
-from webtally.llm.common import new_folder
 from webtally.llm.queries import ORACLES, QUERIES
+from webtally.sources.writers import new_folder
 
 SCHEMA = "page_id bigint, url string, html string, text string"
 

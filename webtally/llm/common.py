@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from webtally.sources.writers import shared_folder
+from webtally.sources.writers import new_folder
 
 #: Text that one step of a Python worker handles at a time, in characters; bounds what the step holds besides its input.
 STEP_CHARS = 4 << 20
@@ -18,11 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def new_folder(spark: SparkSession, kind: str) -> str:
-    """A folder of its own in the place that all executors share."""
-    return f"{shared_folder(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, kind: str) -> DataFrame:
     """``df`` written to the shared folder and read back: what follows survives lost executors and reads the same rows
     every time, also those that a recomputation would number or sample differently."""

@@ -18,7 +18,8 @@ import pandas as pd
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from webtally.llm.common import new_folder, table
+from webtally.llm.common import stored, table
+from webtally.sources.writers import new_folder
 
 #: Smaller payloads are never revisits.
 REVISIT_BYTES = 1000
@@ -41,6 +42,7 @@ def planned(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     large = rows.where(F.length("payload") >= revisit_bytes)
     last = large.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
+    last = stored(last, "repeated")  # where few payloads repeat, its size lets Spark join it without moving payloads
     found = rows.join(last, "digest", "left")
     earlier = F.col("last").isNotNull() & F.coalesce(F.col("page_id") < F.col("last"), F.lit(True))
     return found.withColumn("refers_to", F.when(earlier, F.col("last"))).drop("last")
@@ -149,7 +151,7 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_by
         if parts:
             yield rolled()
 
-    dealt = records.withColumn("shard", ranges).repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "url")
+    dealt = records.withColumn("shard", ranges).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "url")
     manifest = dealt.select("shard", "page_id", "url", "payload", "digest", F.col("refers_to")).mapInPandas(
         run, "file string, shard int, records long, bytes long, sha1 string")
     manifest.write.parquet(f"{folder}/{MANIFEST}")  # committed when all shards are in place
