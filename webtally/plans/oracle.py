@@ -98,9 +98,9 @@ allsc AS (
     '{t.HOST}' || {pick(t.PAGES, 'l_partkey % 8')} || {pick(t.SEARCH_SUFFIXES, 'l_suppkey % 3')} AS url,
     {pick(['DESKTOP', 'MOBILE', 'TABLET'], 'l_suppkey % 3')} AS device, 'NATION_' || (l_suppkey % 25) AS country,
     {pick(['web', 'image', 'news'], 'l_linenumber % 3')} AS traffic_source,
-    CAST(CASE WHEN l_linenumber = 7 THEN 0 WHEN l_partkey % 4 = 0 THEN 1 ELSE l_quantity END AS BIGINT) AS impressions,
-    CAST(CASE WHEN l_linenumber = 7 THEN 0 WHEN l_partkey % 4 = 0 THEN l_orderkey % 2 ELSE floor(l_quantity * l_discount) END AS BIGINT) AS clicks,
-    CAST(CASE WHEN l_partkey % 4 = 0 THEN (l_partkey // 4) % 20 ELSE l_linenumber * (l_suppkey % 5) END AS DOUBLE) AS top
+    CAST(CASE WHEN l_linenumber = 7 THEN 0 WHEN length(p_name) % 2 = 0 THEN 1 ELSE l_quantity END AS BIGINT) AS impressions,
+    CAST(CASE WHEN l_linenumber = 7 THEN 0 WHEN length(p_name) % 2 = 0 THEN l_orderkey % 2 ELSE floor(l_quantity * l_discount) END AS BIGINT) AS clicks,
+    CAST(CASE WHEN length(p_name) % 2 = 0 THEN (length(p_name) * 3 + ascii(p_name)) % 20 ELSE l_linenumber * (l_suppkey % 5) END AS DOUBLE) AS top
   FROM lineitem JOIN part ON l_partkey = p_partkey
 ),
 sc AS (SELECT * FROM allsc WHERE d BETWEEN DATE '1995-01-01' AND DATE '2001-12-31')"""

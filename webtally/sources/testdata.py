@@ -185,13 +185,13 @@ def search(spark: SparkSession, folder: str) -> DataFrame:
         "device_category": device,
         "country": "concat('NATION_', l_suppkey % 25)",
         "traffic_source": _pick(["web", "image", "news"], "l_linenumber % 3"),
-        # Every fourth part is shown rarely and at positions 1 to 20, all others at the top.
+        # Parts with a name of even length are shown rarely and at positions 1 to 20, all others at the top.
         "impressions":
-            "CASE WHEN l_linenumber = 7 THEN 0 WHEN l_partkey % 4 = 0 THEN 1 ELSE CAST(l_quantity AS BIGINT) END",
+            "CASE WHEN l_linenumber = 7 THEN 0 WHEN length(p_name) % 2 = 0 THEN 1 ELSE CAST(l_quantity AS BIGINT) END",
         "clicks":
-            "CASE WHEN l_linenumber = 7 THEN 0 WHEN l_partkey % 4 = 0 THEN l_orderkey % 2 ELSE floor(l_quantity * l_discount) END",
+            "CASE WHEN l_linenumber = 7 THEN 0 WHEN length(p_name) % 2 = 0 THEN l_orderkey % 2 ELSE floor(l_quantity * l_discount) END",
         "sum_top_position":
-            "CAST(CASE WHEN l_partkey % 4 = 0 THEN l_partkey DIV 4 % 20 ELSE l_linenumber * (l_suppkey % 5) END AS DOUBLE)",
+            "CAST(CASE WHEN length(p_name) % 2 = 0 THEN (length(p_name) * 3 + ascii(p_name)) % 20 ELSE l_linenumber * (l_suppkey % 5) END AS DOUBLE)",
     }
     for n, flag in enumerate(APPEARANCE_FLAGS):
         columns[flag] = f"CASE WHEN l_orderkey % {n + 3} <> 0 THEN l_partkey % {n + 2} = 0 END"
