@@ -68,7 +68,8 @@ ev AS (
     CASE WHEN e % 11 = 0 THEN 'g' || e END AS gclid,
     CASE WHEN e % 11 = 0 THEN 'acct' || (k % 2) END AS acct, CASE WHEN e % 11 = 0 THEN 'ads' || (k % 4) END AS ads,
     {pick(['Paid Search', 'Display'], 'k % 2')} AS channel_group,
-    CASE WHEN e % 4 = 0 THEN CAST(floor(rev) AS BIGINT) END AS val_int, CASE WHEN e % 4 <> 0 THEN rev END AS val_dbl,
+    CASE WHEN e % 4 = 0 THEN CAST(floor(rev) AS BIGINT) END AS val_int, CASE WHEN e % 2 = 1 THEN rev END AS val_dbl,
+    CASE WHEN e % 4 = 2 THEN rev WHEN e % 12 = 0 AND rev IS NOT NULL THEN 2.5 END AS val_flt,
     CASE WHEN event_name = 'loyalty_tier_update' THEN {pick(['bronze', 'silver', 'gold'], 'k % 3')} END AS tier,
     CASE WHEN rev IS NOT NULL THEN 't' || e || {pick(['-live', '-test'], 'e % 2')} END AS txn,
     {pick(['desktop', 'mobile', 'tablet'], '(e // 4) % 3')} AS device,
@@ -211,7 +212,7 @@ def channel_case() -> str:
 
 EVENT_KEYS = "usr AS user_pseudo_id, t AS event_timestamp, event_name"
 PARAM_ROWS = ", ".join(
-    f"('{key}', {text}, {whole}, {double})"
+    f"('{key}', {text}, {whole}, {double}, {'val_flt' if key == 'value' else 'NULL'})"
     for key, text, whole, double in [
         ("ga_session_id", "NULL", "sid", "NULL"), ("ga_session_number", "NULL", "snum", "NULL"),
         ("page_location", "page", "NULL", "NULL"), ("page_referrer", "referrer", "NULL", "NULL"),
@@ -225,7 +226,7 @@ PARAM_ROWS = ", ".join(
     ]
 )
 PARAM_COLUMNS = """key AS param_key, s AS param_string_value, CAST(i AS BIGINT) AS param_int_value,
-  CAST(NULL AS DOUBLE) AS param_float_value, CAST(d AS DOUBLE) AS param_double_value"""
+  CAST(f AS DOUBLE) AS param_float_value, CAST(d AS DOUBLE) AS param_double_value"""
 PROPERTY_COLUMNS = """key AS user_property_key, s AS user_property_string_value,
   CAST(i AS BIGINT) AS user_property_int_value, CAST(NULL AS DOUBLE) AS user_property_float_value,
   CAST(NULL AS DOUBLE) AS user_property_double_value, t - 1 AS user_property_set_timestamp"""
@@ -239,8 +240,8 @@ _ITEM_TYPES = {
 }
 ITEM_COLUMNS = ", ".join(f"CAST({_KNOWN_ITEM.get(n, 'NULL')} AS {kind}) AS {n}" for n, kind in _ITEM_TYPES.items())
 FLATS = f""",
-par AS (SELECT {EVENT_KEYS}, {PARAM_COLUMNS} FROM ev, LATERAL (VALUES {PARAM_ROWS}) AS p(key, s, i, d)
-        WHERE s IS NOT NULL OR i IS NOT NULL OR d IS NOT NULL),
+par AS (SELECT {EVENT_KEYS}, {PARAM_COLUMNS} FROM ev, LATERAL (VALUES {PARAM_ROWS}) AS p(key, s, i, d, f)
+        WHERE s IS NOT NULL OR i IS NOT NULL OR d IS NOT NULL OR f IS NOT NULL),
 prop AS (SELECT {EVENT_KEYS}, {PROPERTY_COLUMNS}
          FROM ev, LATERAL (VALUES ('plan', {pick(['free', 'pro'], 'uid % 2')}, NULL), ('visits', NULL, uid)) AS p(key, s, i)
          WHERE seq % 8 <> 0),
@@ -360,7 +361,7 @@ SELECT s.day AS event_date, strftime(s.day, '%W') AS iso_week_of_the_year, strft
 FROM s LEFT JOIN p USING (day, hour) LEFT JOIN v USING (day, hour) LEFT JOIN c USING (day, hour) LEFT JOIN o USING (day, hour)"""),
     "attribution_first_click": on_events(f""",
 f AS (SELECT usr, src, med, camp, row_number() OVER (PARTITION BY usr ORDER BY t, seq) AS n FROM ev WHERE event_name = 'session_start'),
-c AS (SELECT usr, coalesce(val_int, 0) + coalesce(val_dbl, 0.0) AS amount FROM ev WHERE event_name = 'purchase')
+c AS (SELECT usr, coalesce(val_int, 0) + coalesce(val_flt, 0.0) + coalesce(val_dbl, 0.0) AS amount FROM ev WHERE event_name = 'purchase')
 SELECT src AS first_utm_source, med AS first_utm_medium, camp AS first_utm_campaign, {money('amount')} AS total_purchase_value
 FROM f JOIN c USING (usr) WHERE n = 1 AND amount > 0 GROUP BY src, med, camp"""),
     "attribution_last_click": on_events(f""",
@@ -377,7 +378,7 @@ SELECT src AS traffic_source, CAST(sum(score) AS DOUBLE) AS total_attribution_sc
 FROM l GROUP BY src"""),
     "attribution_time_decay": on_events(f""",
 i AS (SELECT usr, t AS touched, src, med, camp FROM ev WHERE event_name IN ('session_start', 'page_view', 'click')),
-c AS (SELECT usr, t AS bought, coalesce(val_int, 0) + coalesce(val_dbl, 0.0) AS amount FROM ev WHERE event_name = 'purchase'),
+c AS (SELECT usr, t AS bought, coalesce(val_int, 0) + coalesce(val_flt, 0.0) + coalesce(val_dbl, 0.0) AS amount FROM ev WHERE event_name = 'purchase'),
 s AS (SELECT src, med, camp, sum({DECAYED}) AS x FROM i JOIN c USING (usr) WHERE amount > 0 GROUP BY src, med, camp)
 SELECT src AS utm_source, med AS utm_medium, camp AS utm_campaign,
   CASE WHEN {DIGITS} >= 0 THEN round(x / pow(10.0, {DIGITS})) * pow(10.0, {DIGITS})
@@ -385,7 +386,7 @@ SELECT src AS utm_source, med AS utm_medium, camp AS utm_campaign,
 FROM s"""),
     "attribution_time_decay_before": on_events(f""",
 i AS (SELECT usr, t AS touched, src, med, camp FROM ev WHERE event_name IN ('session_start', 'page_view', 'click')),
-c AS (SELECT usr, t AS bought, coalesce(val_int, 0) + coalesce(val_dbl, 0.0) AS amount FROM ev WHERE event_name = 'purchase'),
+c AS (SELECT usr, t AS bought, coalesce(val_int, 0) + coalesce(val_flt, 0.0) + coalesce(val_dbl, 0.0) AS amount FROM ev WHERE event_name = 'purchase'),
 s AS (SELECT src, med, camp, sum({DECAYED}) AS x FROM i JOIN c USING (usr) WHERE amount > 0 AND bought >= touched GROUP BY src, med, camp)
 SELECT src AS utm_source, med AS utm_medium, camp AS utm_campaign,
   CASE WHEN {DIGITS} >= 0 THEN round(x / pow(10.0, {DIGITS})) * pow(10.0, {DIGITS})
@@ -543,7 +544,7 @@ SELECT event_date, ads AS campaign_name, rev AS daily_revenue, n AS daily_transa
   {div('rev', 'u')} AS revenue_per_user, {div('n', 'u')} AS transactions_per_user,
   {rnd(div('rev', 'n'), 2)} AS average_revenue_per_transaction FROM d"""),
     "organic_query_value": on_events(f""",{SEARCH_ROWS},
-c AS (SELECT usr, sid, coalesce(val_dbl, val_int, 0) AS amount FROM ev WHERE event_name = 'purchase'),
+c AS (SELECT usr, sid, coalesce(val_dbl, val_flt, val_int, 0) AS amount FROM ev WHERE event_name = 'purchase'),
 s AS (SELECT usr, sid, page FROM ev WHERE event_name = 'session_start' AND src || '/' || med = 'google/organic'),
 ga AS (SELECT {TRANSFORM.format('page')} AS url, count(*) AS n, CAST(sum(CAST(amount AS DECIMAL(24,6))) AS DOUBLE) AS amount
        FROM s JOIN c ON s.usr = c.usr AND s.sid = c.sid GROUP BY 1),

@@ -35,17 +35,17 @@ def _pick(values: list[str | None], index: str) -> str:
     return f"get(array({texts}), CAST({index} AS INT))"
 
 
-def _slots(text: str = "NULL", whole: str = "NULL", double: str = "NULL", extra: str = "") -> str:
+def _slots(text: str = "NULL", whole: str = "NULL", double: str = "NULL", extra: str = "", single: str = "NULL") -> str:
     return (
         f"named_struct('string_value', CAST({text} AS STRING), 'int_value', CAST({whole} AS BIGINT), "
-        f"'float_value', CAST(NULL AS DOUBLE), 'double_value', CAST({double} AS DOUBLE){extra})"
+        f"'float_value', CAST({single} AS DOUBLE), 'double_value', CAST({double} AS DOUBLE){extra})"
     )
 
 
-def _param(key: str, text: str = "NULL", whole: str = "NULL", double: str = "NULL") -> str:
+def _param(key: str, text: str = "NULL", whole: str = "NULL", double: str = "NULL", single: str = "NULL") -> str:
     """SQL for a parameter, NULL when it has no value."""
-    present = " OR ".join(f"({v}) IS NOT NULL" for v in (text, whole, double) if v != "NULL")
-    return f"CASE WHEN {present} THEN named_struct('key', '{key}', 'value', {_slots(text, whole, double)}) END"
+    present = " OR ".join(f"({v}) IS NOT NULL" for v in (text, whole, double, single) if v != "NULL")
+    return f"CASE WHEN {present} THEN named_struct('key', '{key}', 'value', {_slots(text, whole, double, single=single)}) END"
 
 
 def event_rows(spark: SparkSession, folder: str, stagger: bool = False) -> DataFrame:
@@ -89,7 +89,10 @@ def events(spark: SparkSession, folder: str, stagger: bool = False) -> DataFrame
         *[_param(key, text="src") for key in ("source", "utm_source", "traffic_source")],
         *[_param(key, text="med") for key in ("medium", "utm_medium")],
         *[_param(key, text="camp") for key in ("campaign", "utm_campaign")],
-        _param("value", whole="CASE WHEN e % 4 = 0 THEN floor(revenue) END", double="CASE WHEN e % 4 <> 0 THEN revenue END"),
+        _param(
+            "value", whole="CASE WHEN e % 4 = 0 THEN floor(revenue) END", double="CASE WHEN e % 2 = 1 THEN revenue END",
+            single="CASE WHEN e % 4 = 2 THEN revenue WHEN e % 12 = 0 AND revenue IS NOT NULL THEN 2.5 END",
+        ),
         _param("purchase_revenue", double="revenue"),
         _param("loyalty_tier", text=f"CASE WHEN event_name = 'loyalty_tier_update' THEN {tier} END"),
     ]
