@@ -67,7 +67,7 @@ def test_op6_takes_the_article(spark, folder):
 
 
 def test_html_of_odd_pages(spark):
-    body = "<h1>Head &amp; foot</h1><p>one <b>two</b>\n three<br>four &lt;p&gt; &#233;</p><script>var a = '</p>';</script><p>five<div class=share>Share!</div><ul><li>six<li>seven</ul>"
+    body = "<header class=article-header><h1>Head &amp; foot</h1></header><p>one <b>two</b>\n three<br>four &lt;p&gt; &#233;</p><script>var a = '</p>';</script><p>five<div class=share>Share!</div><ul><li>six<li>seven</ul>"
     want = "Head & foot\n\none two three four <p> é\n\nfive\n\nsix\n\nseven"
     rows = [(i, "http://a.example/x", article(body, i), "old") for i in range(8)]
     rows += [(20, None, None, ""), (21, "", "", ""), (22, "no url", "plain text", ""), (23, "http://b/", article("<p>x", 1)[:200], ""),

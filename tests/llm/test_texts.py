@@ -116,10 +116,11 @@ def test_op3_pieces_and_sequences(spark, folder):
 
 
 def test_packing_odd_tables(spark):
-    df = documents(spark, [*ODD, *["same text"] * 40]).unionByName(documents(spark, ["again", "again"], 3))
+    df = documents(spark, [*ODD, *["same text"] * 40]).unionByName(documents(spark, ["again", "again"], 2**60 + 1))
+    df = df.unionByName(df.where("doc_id = 3").withColumn("doc_id", df["doc_id"] + None))
     cut = packing.pieces(df, JSON, 16, with_ids=True)
     rows = packing.pack(cut, 16).collect()
-    assert len(rows) == cut.count()
+    assert len(rows) == cut.count() and {2**60 + 1, 2**60 + 2, None} < {r["doc_id"] for r in rows}
     check_packing(rows, 16)
     assert packing.pack(cut.limit(0), 16).count() == 0
     with pytest.raises(ValueError):
@@ -266,8 +267,11 @@ def test_op9_equals_brute_force(spark, folder, monkeypatch, split):
 def test_katz_of_odd_tables(spark):
     texts = [*ODD, "A b\0c", "a B", "a b"]
     df = documents(spark, texts).withColumnRenamed("lang", "score")
-    rows = katz.score(df.unionByName(df)).collect()
-    assert len(rows) == 2 * len(texts) and all(np.isfinite(r["score"]) and r["score"] <= 0 for r in rows)
+    df = df.withColumn("doc_id", df["doc_id"] + 2**60)
+    nameless = df.limit(1).withColumn("doc_id", df["doc_id"] + None)
+    rows = [{**r.asDict(), "doc_id": r["doc_id"] and r["doc_id"] - 2**60} for r in katz.score(df.unionByName(df).unionByName(nameless)).collect()]
+    assert sum(r["doc_id"] is None for r in rows) == 1 and {r["doc_id"] for r in rows} == {None, *range(len(texts))}
+    assert len(rows) == 2 * len(texts) + 1 and all(np.isfinite(r["score"]) and r["score"] <= 0 for r in rows)
     tokens = {r["doc_id"]: r["n_tokens"] for r in rows}
     assert tokens[0] == tokens[1] == tokens[2] == 1 and tokens[len(ODD)] == 3
     assert katz.score(df.limit(0)).count() == 0

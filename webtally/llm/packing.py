@@ -13,7 +13,6 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -160,20 +159,21 @@ def pack(df: DataFrame, capacity: int) -> DataFrame:
     own = Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "start")
     numbered = dealt.withColumn("_rank", F.row_number().over(own)).join(offsets, ["length", "_part"]).select(
         *df.columns, (F.col("_before") + F.col("_rank") - 1).alias("_index"))
-    width = int(counts.max()) + 1
+    width, names = int(counts.max()) + 1, df.columns
     keys = places["length"] * width + places["start"]
 
-    def place(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            length, index = frame["length"].to_numpy(), frame.pop("_index").to_numpy()
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length, index = batch.column("length").to_numpy(), batch.column("_index").to_numpy()
             k = np.searchsorted(keys, length * width + index, "right") - 1
             nth = index - places["start"][k]
-            frame["sequence_id"] = places["base"][k] + nth // places["each"][k]
-            frame["offset"] = places["offset"][k] + nth % places["each"][k] * length
-            yield frame
+            sequence = places["base"][k] + nth // places["each"][k]
+            offset = places["offset"][k] + nth % places["each"][k] * length
+            yield pa.RecordBatch.from_arrays(
+                [*map(batch.column, names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return numbered.mapInPandas(place, f"{fields}, sequence_id long, offset long")
+    return numbered.mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

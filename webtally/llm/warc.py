@@ -15,6 +15,7 @@ import zlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -118,7 +119,7 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_by
     target = folder if "://" in folder or folder.startswith("file:") else "file://" + folder
     target = target.replace("file:/", "file:///", 1) if target.startswith("file:/") and not target.startswith("file://") else target
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(target)
         attempt = uuid.uuid4().hex
         store.create_dir(f"{root}/_temporary", recursive=True)
@@ -126,33 +127,33 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_by
         size = 0
         parts: list[bytes] = []
 
-        def rolled() -> pd.DataFrame:
+        def rolled() -> pa.RecordBatch:
             data = b"".join(parts)
             name = f"shard-{shard:06d}-{roll:05d}.warc.gz"
             own = f"{root}/_temporary/{attempt}-{name}"
             with store.open_output_stream(own, compression=None) as out:
                 out.write(data)
             store.move(own, f"{root}/{name}")
-            row = pd.DataFrame({
-                "file": [name], "shard": [shard], "records": [len(parts)], "bytes": [len(data)], "sha1": [hashlib.sha1(data).hexdigest()]})
+            row = pa.RecordBatch.from_arrays([
+                pa.array([name]), pa.array([shard], pa.int32()), pa.array([len(parts)]), pa.array([len(data)]),
+                pa.array([hashlib.sha1(data).hexdigest()])], names=["file", "shard", "records", "bytes", "sha1"])
             parts.clear()
             return row
 
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                if row.shard != shard or size >= file_bytes:
+        for batch in batches:
+            for own_shard, *row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if own_shard != shard or size >= file_bytes:
                     if parts:
                         yield rolled()
-                    roll = roll + 1 if row.shard == shard else 0
-                    shard, size = row.shard, 0
-                page_id, refers_to = (None if pd.isna(v) else int(v) for v in (row.page_id, row.refers_to))
-                parts.append(record(page_id, row.url, row.payload, row.digest, refers_to))
+                    roll = roll + 1 if own_shard == shard else 0
+                    shard, size = own_shard, 0
+                parts.append(record(*row))
                 size += len(parts[-1])
         if parts:
             yield rolled()
 
     dealt = records.withColumn("shard", ranges).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "url")
-    manifest = dealt.select("shard", "page_id", "url", "payload", "digest", F.col("refers_to")).mapInPandas(
+    manifest = dealt.select("shard", "page_id", "url", "payload", "digest", "refers_to").mapInArrow(
         run, "file string, shard int, records long, bytes long, sha1 string")
     manifest.write.parquet(f"{folder}/{MANIFEST}")  # committed when all shards are in place
     return spark.read.parquet(f"{folder}/{MANIFEST}")
