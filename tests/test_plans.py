@@ -40,3 +40,23 @@ def test_span_windows_share_their_shuffle(spark, folder, report, scans):
     final = plan(df).split("== Initial Plan ==")[0]
     assert len(re.findall("FileScan", final)) == scans
     assert "ReusedExchange" in final
+
+
+@pytest.mark.parametrize("name, scans, exchanges", [
+    ("promo_users", 2, None), ("promo_funnel", 4, None), ("organic_query_value", 6, None),
+    ("promo_ctr", 1, 1), ("promo_touch_attribution", 1, 1), ("promo_user_journey", 1, 1), ("user_clv", 1, 2),
+    ("promo_traffic_breakdown", 1, 2), ("promo_vs_non_promo", 1, 2),
+])
+def test_promotion_reports_read_and_shuffle_little(spark, folder, name, scans, exchanges):
+    """Scans of all tables, the two behind the search fixture included."""
+    text = plan(QUERIES[name](spark, folder))
+    assert len(re.findall("FileScan", text)) <= scans
+    assert exchanges is None or len(re.findall(r"\bExchange ", text)) <= exchanges + 1
+    if name == "user_clv":
+        assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(event_name,purchase\)", text)
+    if name in ("promo_traffic_breakdown", "promo_vs_non_promo"):
+        assert text.index("Expand") < text.index("FileScan") and text.count("HashAggregate") >= 4
+
+
+def test_flat_events_gathers_no_arrays(spark, folder):
+    assert "collect_list" not in plan(QUERIES["flat_events"](spark, folder))

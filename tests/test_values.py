@@ -361,3 +361,25 @@ def test_reader_keeps_day_partitions_as_text(spark, tmp_path):
     back = readers.read_events(spark, str(tmp_path / "ev"), "2024-01-06", "2024-01-06")
     assert back.schema["event_date"].dataType.simpleString() == "string"
     assert [r["event_date"] for r in back.collect()] == ["20240106"]
+
+
+class _Cluster:
+    """A session on a cluster that names no shared folder."""
+
+    class conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class sparkContext:
+        master, applicationId = "spark://host:7077", "app"
+
+
+def test_no_local_folder_on_a_cluster():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        writers.shared_folder(_Cluster)
+
+
+def test_flat_events_of_many_events_at_one_time(spark):
+    """All share user, time and name, so every one gets the parts of all."""
+    rows_ = [event("u", "2024-01-05 10:00:00", "x", None, {"k": i}) for i in range(30)]
+    flat = shaping.flat_events(events(spark, rows_), *DAY)
+    assert flat.count() == 900 and flat.select("param_int_value").distinct().count() == 30
