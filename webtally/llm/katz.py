@@ -29,7 +29,7 @@ from webtally.llm.common import steps, stored, table
 from webtally.llm.quality import held_out
 
 #: Characters of a batch and of a part, about; occurrences of a history for each part that it is split into.
-BATCH_CHARS, PART_CHARS, SPLIT = 8 << 20, 32 << 20, 1_000_000
+BATCH_CHARS, PART_CHARS, SPLIT = 4 << 20, 20 << 20, 1_000_000
 #: Counts up to this one are discounted.
 LOW = 5
 END = 1  # hash and number of the end of a text; START and UNKNOWN are no words and have numbers only
@@ -77,7 +77,7 @@ def _tokens(blob: bytes, known: _Hashes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def batches_of(documents: DataFrame) -> DataFrame:
-    """Batches of documents: batch, chars, doc_ids, held (packed), texts. A text's zero bytes become byte 1, which is as
+    """Batches of documents: batch, chars, ids and whether there is one, held, texts. A text's zero bytes become byte 1, which is as
     much part of a word as they are, unless two words differ in just that; so they end no text."""
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
@@ -87,9 +87,9 @@ def batches_of(documents: DataFrame) -> DataFrame:
 
         def packed() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([
-                pa.array([int(xxhash.xxh3_64_intdigest(f"{part_of}-{count}") >> 1)]), pa.array([size], pa.int64()), pa.array([list(ids)], pa.list_(pa.int64())),
+                pa.array([int(xxhash.xxh3_64_intdigest(f"{part_of}-{count}") >> 1)]), pa.array([size], pa.int64()), pa.array([[i or 0 for i in ids]], pa.list_(pa.int64())), pa.array([[i is not None for i in ids]], pa.list_(pa.bool_())),
                 pa.array([list(held)], pa.list_(pa.bool_())), pa.array([zstandard.compress(b"\0".join(texts), 3)], pa.binary()),
-            ], names=["batch", "chars", "ids", "held", "texts"])
+            ], names=["batch", "chars", "ids", "named", "held", "texts"])
             ids.clear(), held.clear(), texts.clear()
             return out
 
@@ -106,7 +106,7 @@ def batches_of(documents: DataFrame) -> DataFrame:
             yield packed()
 
     rows = documents.select("doc_id", "text", held_out(F.col("doc_id"), 10, 0).alias("held"), F.spark_partition_id().alias("part"))
-    return rows.mapInArrow(run, "batch long, chars long, ids array<long>, held array<boolean>, texts binary")
+    return rows.mapInArrow(run, "batch long, chars long, ids array<long>, named array<boolean>, held array<boolean>, texts binary")
 
 
 def word_counts(batches: DataFrame, parts: int) -> DataFrame:
@@ -214,7 +214,7 @@ def pair_sums(batches: DataFrame, answers: DataFrame, parts: int, training_texts
             # After an unknown history the word's own probability counts; all else goes to the parts.
             alone = np.bincount(doc, np.where(times == 0, np.log10(unigrams.p(count)), 0.0), len(sizes))
             docs = pa.RecordBatch.from_pydict({
-                "doc_id": pa.array(row.ids.tolist(), pa.int64()), "held": pa.array(row.held.tolist()), "n": pa.array(sizes),
+                "doc_id": pa.array(row.ids, pa.int64(), mask=~row.named.astype(bool)), "held": pa.array(row.held.tolist()), "n": pa.array(sizes),
                 "known": pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)), "base": pa.array(base), "alone": pa.array(alone)})
             out = pa.BufferOutputStream()
             with pa.ipc.new_stream(out, docs.schema) as stream:
@@ -291,7 +291,7 @@ def pair_sums(batches: DataFrame, answers: DataFrame, parts: int, training_texts
                         count=times[h], **stats)
         return pa.concat_tables(out)
 
-    asked = batches.select("batch", "ids", "held", "texts").groupBy("batch").cogroup(
+    asked = batches.select("batch", "ids", "named", "held", "texts").groupBy("batch").cogroup(
         answers.where("batch >= 0").select("batch", "part", "counts", "numbers").groupBy("batch")).applyInPandas(
         send, "batch long, part int, docs binary, pairs binary, train binary, next binary, histories binary, times binary, sizes binary, at binary")
     return asked.groupBy("part").applyInArrow(add, FIELDS)
