@@ -101,8 +101,9 @@ def nodes(page: str) -> list[Node]:
         out.append(Node(f"{'/'.join(s[0] for s in stack)} <{tag}>", " " if tag == "br" else None, tag not in INLINE, *state))
         if tag in CONTAINERS and tag not in VOID and not attributes.endswith("/"):
             names = {w for g in NAMED.findall(attributes) for w in WORD.findall("".join(g).lower())}
-            main = state[0] or tag in MAIN_TAGS or "main" in names and tag in ("div", "section")
-            other = state[1] or bool(names & OTHER_WORDS) or tag in OTHER_TAGS and not (tag == "header" and state[0])
+            main = state[0] or tag in MAIN_TAGS or "main" in names and tag in ("div", "section") and not names & OTHER_WORDS
+            heads_article = {"header"} if state[0] else set()  # what an article calls its header holds its heading
+            other = state[1] or bool(names & OTHER_WORDS - heads_article) or tag in OTHER_TAGS - heads_article
             stack.append((tag, main, other and tag not in ("html", "body")))
     text(page[at:])
     return out
@@ -209,6 +210,7 @@ def extract(pages: DataFrame) -> DataFrame:
     an empty table stays empty."""
     hosted = pages.withColumn("_host", host_of(F.col("url")))
     found = templates(hosted.select("page_id", "url", F.col("_host").alias("host"), "html")).withColumnRenamed("host", "_host")
+    found = stored(found, "templates")  # then nothing stands between the join and the shuffle of a host with many pages
     fields = [f for f in pages.schema if f.name != "text"]
     schema = T.StructType([*fields, T.StructField("text", T.StringType())])
 
