@@ -80,6 +80,7 @@ def repeated_windows(lines: DataFrame, min_words: int) -> DataFrame:
         "tid", "first", "at", "a", "size", F.get("start", F.col("level")).alias("ra"), F.get("end", F.col("level")).alias("rb"))
     place = F.struct("first", "tid", "at")
     earliest = windows.groupBy("size", "ra", "rb").agg(F.min(place).alias("earliest"), F.count("*").alias("n")).where("n > 1")
+    earliest = stored(earliest, "intervals")  # so that adaptive execution can split a common interval in the join
     later = windows.join(earliest, ["size", "ra", "rb"]).where(place > F.col("earliest")).select(
         "tid", "a", (F.col("at") + F.col("size") - 1).alias("end"))
     return later.join(places.select("tid", F.col("place").alias("end"), F.col("number").alias("b")), ["tid", "end"]).select("tid", "a", "b")
@@ -118,7 +119,7 @@ def dedup(documents: DataFrame, min_words: int = MIN_WORDS, column: str = "text"
     lines = stored(lines.groupBy("tid", "place", "number", "line", "words").agg(F.min("first").alias("first")), "lines")
     spans = _merged(repeated_windows(lines, min_words))
     texts = lines.groupBy("tid").agg(F.min("first").alias("_holder"), F.sum("words").alias("_words"))
-    marks = texts.join(spans, "tid", "left").withColumnRenamed("tid", "_tid")
+    marks = stored(texts.join(spans, "tid", "left").withColumnRenamed("tid", "_tid"), "marks")  # as above, for common texts
     marked = documents.withColumn("_tid", tid).join(marks, "_tid", "left")
     whole = F.coalesce((first > F.col("_holder")) & (F.col("_words") >= min_words), F.lit(False))
     left = F.filter(parts, lambda x, i: ~F.exists("_spans", lambda s: i.between(s["a"], s["b"])))
