@@ -175,6 +175,7 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = stored(texts, "texts")
     banded = texts.select("key", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("key").alias("b"), F.count("*").alias("n")).where("n > 1").select("band", "b")
+    shared = stored(shared, "bands")  # so that adaptive execution can split a common band in the join
     links = banded.join(shared, "band").select(F.col("key").alias("a"), "b").where("a != b").distinct()
     groups = components(links).withColumnRenamed("a", "key")
     kept = texts.drop("bands").join(groups, "key").select("key", "weight", "label", "at.raw", F.coalesce("at.doc_id", F.lit(-1)).alias("id"))
@@ -203,6 +204,7 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     least = of_texts.groupBy("label").agg(F.min("least_id").alias("class_id"))
     of_texts = of_texts.join(least, "label").select(
         "key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    of_texts = stored(of_texts, "classes")  # as above, for common texts
     return rows.drop("bands").join(of_texts, "key", "left").select(
         "doc_id", "raw", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
@@ -215,6 +217,6 @@ def op2(spark, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the document with the smallest doc_id of each class. Rows that repeat doc_id and text are one
-    document and stay or go alike."""
+    document and stay or go alike; rows without an id stay."""
     gone = classes(docs).where("doc_id != class_id").select("doc_id", "raw").distinct()
     return docs.withColumn("raw", raw_hash()).join(gone, ["doc_id", "raw"], "left_anti").select(*docs.columns)
