@@ -25,8 +25,8 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def steps(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Arrow batches in slices of about ``STEP_CHARS`` characters, each with its texts (null: empty)."""
+def steps(batches: Iterable[pa.RecordBatch], column: str, chars: int = STEP_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Arrow batches in slices of about ``chars`` characters, each with its texts (null: empty)."""
     for batch in batches:
         texts = batch.column(column)
         start = size = 0
@@ -35,6 +35,6 @@ def steps(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[tuple[pa.R
             value = text.as_py() or ""
             part.append(value)
             size += len(value)
-            if size >= STEP_CHARS or i + 1 == len(texts):
+            if size >= chars or i + 1 == len(texts):
                 yield batch.slice(start, i + 1 - start), part
                 start, size, part = i + 1, 0, []

@@ -25,6 +25,8 @@ SIZE = BUCKETS + 2
 NGRAMS = (3, 4, 5)
 #: Rows of each class that training takes at most: those whose ids have the smallest hashes.
 CLASS_ROWS = 1000
+#: Characters whose features a worker holds at a time.
+SLICE_CHARS = 1 << 20
 DIMENSIONS, EPOCHS, RATE, SEED = 16, 10, 0.1, 7
 
 _MIX = np.uint32(0x9E3779B1)
@@ -149,7 +151,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality") -> Mode
     sample = sample.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in steps(batches, "text"):
+        for part, texts in steps(batches, "text", SLICE_CHARS):
             found = sparse(texts)
             yield pa.RecordBatch.from_arrays([
                 part.column("doc_id"), part.column("label"),
@@ -184,7 +186,7 @@ def score(documents: DataFrame, model: Model, column: str = "text", name: str =
     schema = T.StructType([*fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in steps(batches, column):
+        for part, texts in steps(batches, column, SLICE_CHARS):
             yield pa.RecordBatch.from_arrays(
                 [part.column(f.name) for f in fields] + [pa.array(model.scores(texts))], names=schema.names)
 
