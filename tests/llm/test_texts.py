@@ -197,6 +197,17 @@ def test_near_copies_in_parts(spark, monkeypatch):
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == brute.near_copies(docs)
 
 
+def test_near_copies_of_few_long_texts(spark, monkeypatch):
+    """Groups of two to four texts that characters alone deal out into parts, some of them empty."""
+    monkeypatch.setattr(jaccard, "PART_CHARS", 300)
+    texts = []
+    for group in range(8):
+        base = [f"g{group}w{i}" for i in range(60)]
+        texts += [" ".join([*base, *[f"end{k}"] * (k > 0)]) for k in range(2 + group % 3)]
+    got = jaccard.classes(documents(spark, texts)).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == brute.near_copies(list(enumerate(texts)))
+
+
 def test_near_copies_of_odd_tables(spark):
     df = documents(spark, ODD).unionByName(documents(spark, ["one two three four five six"] * 2, 1)).withColumnRenamed("lang", "key")
     nameless = df.where("doc_id = 3").withColumn("doc_id", df["doc_id"] + None)

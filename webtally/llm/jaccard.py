@@ -119,7 +119,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _verify(texts: pd.DataFrame, known: _Hashes, threshold: float) -> pd.DataFrame:
-    """Of texts (key, part, weight, text): similar ones of another part, or of the part if there is one only."""
+    """Of texts (key, part, other, weight, text): similar ones of another part where parts meet, else of the same part. A
+    part that meets another one may be empty, so the rows present don't tell which it is."""
     sets = [shingles(word_hashes(t, known)) for t in texts["text"]]
     order = np.argsort([len(s) for s in sets], kind="stable")
     sets = [sets[i] for i in order]
@@ -129,7 +130,7 @@ def _verify(texts: pd.DataFrame, known: _Hashes, threshold: float) -> pd.DataFra
     starts = ends - sizes
     part = texts["part"].to_numpy()[order]
     weight = texts["weight"].to_numpy()[order]
-    across = part.min() != part.max()
+    across = bool((texts["part"] != texts["other"]).any())
     links = np.zeros(len(sets), np.int64)
     root = np.arange(len(sets))
     has = np.zeros(int(flat.max()) + 1, bool)
@@ -194,7 +195,7 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         known = _Hashes()
         return pd.concat([_verify(own, known, threshold) for _, own in frame.groupby("label")])
 
-    met = dealt.select(unit.alias("unit"), "label", "key", "part", "weight", "text").groupBy("unit").applyInPandas(
+    met = dealt.select(unit.alias("unit"), "label", "key", "part", "other", "weight", "text").groupBy("unit").applyInPandas(
         verify, "a binary, b binary, links long")
     met = stored(met, "met")
     linked = met.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
