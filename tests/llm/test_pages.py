@@ -88,3 +88,19 @@ def test_html_without_article_drops_the_template(spark):
     assert got == {i: f"story number {i}" for i in range(12)}
     few = html.extract(spark.createDataFrame(rows[:2], SCHEMA)).collect()
     assert few[0]["text"].startswith("Welcome to our site\n\nstory number")
+
+
+def texts_of(spark, pages, url="http://e.example/"):
+    rows = [(i, url, page, "") for i, page in enumerate(pages)]
+    return {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+
+def test_html_template_of_most_pages(spark):
+    """Without article tags: null and empty pages say nothing of the template, and what most pages have is the template's."""
+    def page(i):
+        notice = "<div>The shop is closed on Monday</div>" if i % 4 else ""
+        return f"<body><div>Welcome to our site</div>{notice}<div><p>story number {i}</p></div><div>All rights reserved</div></body>"
+
+    want = {i: f"story number {i}" for i in range(12)}
+    assert texts_of(spark, [*map(page, range(12)), None, "", " "]) == {**want, 12: "", 13: "", 14: ""}
+    assert texts_of(spark, [*map(page, range(12)), "<p>something odd"]) == {**want, 12: "something odd"}

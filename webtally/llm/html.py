@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from bisect import bisect
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -123,6 +122,8 @@ def occurrences(pages: DataFrame) -> DataFrame:
             found: dict[tuple[str, int], list] = defaultdict(lambda: [0, 0, 0, 0.0])
             for page_id, url, host, page in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "host")), texts, strict=True):
                 sequence = [n.key for n in nodes(page) if n.key]
+                if not sequence:
+                    continue  # says nothing of the template
                 counts = Counter(sequence)
                 places = {k: i for i, k in reversed(list(enumerate(sequence)))}
                 sums: dict[int, tuple[int, int]] = {}
@@ -136,8 +137,9 @@ def occurrences(pages: DataFrame) -> DataFrame:
                     own[3] += places.get(key, -1) / (len(sequence) + 1)
             rows = [(h, t, *v) for (h, t), v in found.items()]
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["host", "token", "first", "second", "pages", "place"])
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["host", "token", "first", "second", "pages", "place"])
 
     counted = pages.select("page_id", "url", "host", "html").mapInArrow(run, schema)
     whole = 1 << 40
@@ -160,31 +162,29 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def template_of(page: list[Node], classes: list[list[int]]) -> set[int]:
-    """Tokens of the classes that are valid on this page: their first occurrences keep the class's order and the class lies
-    within one gap between the tokens of the valid classes before it, or around them."""
+    """Tokens of the classes that are valid on this page: all are there and their first occurrences keep the class's order.
+    A class that lies in several gaps of another one nests into them part by part, as one odd page of a host is enough to
+    part a class in two that interlace."""
     places: dict[int, int] = {}
     for i, node in enumerate(page):
         if node.key:
             places.setdefault(xxhash.xxh3_64_intdigest(node.key) - 2**63, i)
-    taken: list[int] = []
     valid: set[int] = set()
     for tokens in classes:
         own = [places[t] for t in tokens if t in places]
-        if len(own) < len(tokens) or not own or own != sorted(own):
-            continue
-        within = len({bisect(taken, o) for o in own}) == 1
-        around = len({bisect(own, t) for t in taken}) <= 1
-        if within or around:
+        if len(own) == len(tokens) and own == sorted(own):
             valid.update(tokens)
-            taken = sorted(taken + own)
     return valid
 
 
 def main_text(page: str, classes: list[list[int]] | None = None, every: frozenset[int] = frozenset()) -> str:
-    """Blocks of the main text, white space made one space, joined by two newlines. ``every``: tokens that all pages of the
-    host have in the same way; as texts outside the article they are the template's."""
+    """Blocks of the main text, white space made one space, joined by two newlines. ``classes``: the host's, whose valid
+    texts outside the article are the template's. ``every``: tokens that all pages of the host have in the same way; on a
+    page on which nothing varies, as it is a copy, they alone are."""
     sequence = nodes(page)
-    fixed = template_of(sequence, classes or []) & every
+    fixed = template_of(sequence, classes or [])
+    if all(xxhash.xxh3_64_intdigest(n.key) - 2**63 in fixed for n in sequence if n.text and not n.text.isspace() and not n.other):
+        fixed &= every
     has_main = any(n.main and not n.other and n.text and not n.text.isspace() for n in sequence)
     blocks: list[str] = []
     parts: list[str] = []
