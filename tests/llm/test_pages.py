@@ -104,3 +104,27 @@ def test_html_template_of_most_pages(spark):
     want = {i: f"story number {i}" for i in range(12)}
     assert texts_of(spark, [*map(page, range(12)), None, "", " "]) == {**want, 12: "", 13: "", 14: ""}
     assert texts_of(spark, [*map(page, range(12)), "<p>something odd"]) == {**want, 12: "something odd"}
+
+
+WRAPPERS = ["<div class='layout with-sidebar'>", "<div class=no-comments>", "<section id=menu-open>", "<form action=x.aspx>"]
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_html_wrappers_do_not_hide_the_article(spark, tag):
+    pages, want = [], {}
+    for i in range(12):
+        wrapper = WRAPPERS[i % 4]
+        end = f"</{wrapper[1:].split()[0]}>"
+        story = f"<{tag}><h1>Head {i}</h1><p>story number {i} is of some length</p></{tag}>"
+        pages.append(f"<body><nav>Home</nav>{wrapper}{story}<div class=sidebar>Side {i}</div>{end}<footer>Foot</footer></body>")
+        want[i] = f"Head {i}\n\nstory number {i} is of some length"
+    assert texts_of(spark, pages) == want
+
+
+def test_html_blocks_of_the_article(spark):
+    """Blocks of an article go by such names only if the template has their text; teasers beside it are no articles."""
+    pages = [
+        f"<body><article><p>story {i}</p><div class=notice>told by {i}</div><div class=widget>Chart of {i}</div>"
+        "<div class=share>Share!</div></article><div class=related><article>an older story and one more</article></div>"
+        f"<article class=comment>I don't like {i}</article></body>" for i in range(8)]
+    assert texts_of(spark, pages) == {i: f"story {i}\n\ntold by {i}\n\nChart of {i}" for i in range(8)}

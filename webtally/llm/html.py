@@ -4,10 +4,10 @@ A page is a sequence of tokens: tags, told apart by the containers they stand in
 occurrence vector says how often it occurs on each page of a host. Tokens with the same vector form an equivalence class;
 classes seen on enough pages are the template's material. Vectors are compared by two 64-bit sums of hashes over (page,
 count), which Spark adds up for all pages of a host in parallel. On a page the tokens of a class must keep the class's
-order, and a class must lie within one gap of those before it; such valid classes nest into the template, and what lies
-between two template tokens is a slot. Text that is itself part of the template, as every page of the host has it, is
-dropped outside the article, and so are slots within template elements that by tag, class or id hold something else than
-the article."""
+order; such valid classes nest into the template, part by part where they interlace, and what lies between two template
+tokens is a slot. Text that is itself part of the template is dropped outside the article. What
+varies, the text in slots, tells where the article is: an element that by class, id or role seems to hold something else
+than the article, or a form, is a mere wrapper if nearly all that varies on the page is in it; other such elements go."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ import html as entities
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -32,6 +33,12 @@ OTHER_WORDS = frozenset(
     "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
     "footer header masthead menu modal nav navbar navigation newsletter notice pagination popup promo promoted promotion "
     "related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toc widget".split())
+#: Of these, what a block within an article may be called as well; there it goes only if its text is the template's.
+ARTICLE_WORDS = frozenset("notice promo promoted promotion related share sharing widget".split())
+#: Tags that may be put around a whole page.
+WRAPPER_TAGS = frozenset("form dialog fieldset".split())
+#: A wrapper holds at least this share of the text that varies, and what is outside all such elements at most this part of its text.
+WRAPPED, OUTSIDE = 0.5, 0.1
 MAIN_TAGS = frozenset(("article", "main"))
 CONTAINERS = MAIN_TAGS | OTHER_TAGS | frozenset("html body div section ul ol dl table tbody thead tfoot figure details center".split())
 INLINE = frozenset(
@@ -53,13 +60,28 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1), F.lit("")))
 
 
+#: Elements of something else: by a tag that is never around an article, by word or as a form, by a word for article blocks.
+HARD, SOFT, BLOCK = range(3)
+#: Zones of a page: neither, within main, within article.
+PAGE, MAIN, ARTICLE = range(3)
+
+
+class State(NamedTuple):
+    """What the containers that are open tell: the zone, how many elements of something else are around it, and those
+    (kind, number on the page) that are open in it."""
+
+    zone: int = PAGE
+    depth: int = 0
+    others: tuple[tuple[int, int], ...] = ()
+
+
 class Node:
     """A token of a page: a tag or a text, with what is known of the containers around it."""
 
-    __slots__ = ("key", "text", "block", "main", "other")
+    __slots__ = ("key", "text", "block", "state", "token")
 
-    def __init__(self, key: str, text: str | None, block: bool, main: bool, other: bool):
-        self.key, self.text, self.block, self.main, self.other = key, text, block, main, other
+    def __init__(self, key: str, text: str | None, block: bool, state: State):
+        self.key, self.text, self.block, self.state, self.token = key, text, block, state, None
 
 
 def nodes(page: str) -> list[Node]:
@@ -67,15 +89,17 @@ def nodes(page: str) -> list[Node]:
     that is open is passed over. An article that opens in a container which isn't its host's article area ends it only
     if that is itself unclosed, so a forgotten closing tag before the article doesn't swallow it."""
     out: list[Node] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, in the article, in something else
+    stack: list[tuple[str, State]] = []
+    outside = State()
     closing = Counter(m["tag"].lower() for m in TOKEN.finditer(page) if m["close"])
 
     def text(part: str) -> None:
+        state = stack[-1][1] if stack else outside
         if part and not part.isspace():
             path = "/".join(s[0] for s in stack)
-            out.append(Node(f"{path} {' '.join(part.split())}", part, False, bool(stack) and stack[-1][1], bool(stack) and stack[-1][2]))
+            out.append(Node(f"{path} {' '.join(part.split())}", part, False, state))
         elif part:
-            out.append(Node("", " ", False, bool(stack) and stack[-1][1], bool(stack) and stack[-1][2]))
+            out.append(Node("", " ", False, state))
 
     at = 0
     for m in TOKEN.finditer(page):
@@ -89,21 +113,29 @@ def nodes(page: str) -> list[Node]:
             if tag in CONTAINERS and any(s[0] == tag for s in stack):
                 while stack.pop()[0] != tag:
                     pass
-            state = (stack[-1][1:] if stack else (False, False))
-            out.append(Node(f"{'/'.join(s[0] for s in stack)} </{tag}>", None, tag not in INLINE, *state))
+            out.append(Node(f"{'/'.join(s[0] for s in stack)} </{tag}>", None, tag not in INLINE, stack[-1][1] if stack else outside))
             continue
         if tag in MAIN_TAGS:
-            while stack and stack[-1][2] and closing[stack[-1][0]] <= 0:
+            while stack and stack[-1][1].others and closing[stack[-1][0]] <= 0:
                 stack.pop()
-        state = stack[-1][1:] if stack else (False, False)
+        state = stack[-1][1] if stack else outside
         attributes = m["attributes"]
-        out.append(Node(f"{'/'.join(s[0] for s in stack)} <{tag}>", " " if tag == "br" else None, tag not in INLINE, *state))
+        out.append(Node(f"{'/'.join(s[0] for s in stack)} <{tag}>", " " if tag == "br" else None, tag not in INLINE, state))
         if tag in CONTAINERS and tag not in VOID and not attributes.endswith("/"):
             names = {w for g in NAMED.findall(attributes) for w in WORD.findall("".join(g).lower())}
-            main = state[0] or tag in MAIN_TAGS or "main" in names and tag in ("div", "section") and not names & OTHER_WORDS
-            heads_article = {"header"} if state[0] else set()  # what an article calls its header holds its heading
-            other = state[1] or bool(names & OTHER_WORDS - heads_article) or tag in OTHER_TAGS - heads_article
-            stack.append((tag, main, other and tag not in ("html", "body")))
+            heads_article = {"header"} if state.zone else set()  # what an article calls its header holds its heading
+            words = names & OTHER_WORDS - heads_article
+            zone = ARTICLE if tag == "article" else MAIN if tag == "main" or "main" in names and tag in ("div", "section") and not words else PAGE
+            within = state.zone > PAGE
+            if zone > state.zone:
+                state = State(zone, state.depth + len(state.others))
+            if tag not in ("html", "body"):
+                kind = HARD if tag in OTHER_TAGS - WRAPPER_TAGS - heads_article else None
+                if kind is None and (words or tag in WRAPPER_TAGS):
+                    kind = BLOCK if within and words and words <= ARTICLE_WORDS and tag not in WRAPPER_TAGS else SOFT
+                if kind is not None:
+                    state = state._replace(others=(*state.others, (kind, len(out))))
+            stack.append((tag, state))
     text(page[at:])
     return out
 
@@ -166,9 +198,10 @@ def template_of(page: list[Node], classes: list[list[int]]) -> set[int]:
     A class that lies in several gaps of another one nests into them part by part, as one odd page of a host is enough to
     part a class in two that interlace."""
     places: dict[int, int] = {}
-    for i, node in enumerate(page):
+    for i, node in enumerate(page if classes else ()):
         if node.key:
-            places.setdefault(xxhash.xxh3_64_intdigest(node.key) - 2**63, i)
+            node.token = xxhash.xxh3_64_intdigest(node.key) - 2**63
+            places.setdefault(node.token, i)
     valid: set[int] = set()
     for tokens in classes:
         own = [places[t] for t in tokens if t in places]
@@ -177,24 +210,76 @@ def template_of(page: list[Node], classes: list[list[int]]) -> set[int]:
     return valid
 
 
+def _sizes(texts: list[Node], template: set[int]) -> dict[int, int]:
+    """Characters of each text, by id: of those that vary, or of all if none does."""
+    varying = {id(n): len(n.text) for n in texts if n.token not in template}
+    return varying or {id(n): len(n.text) for n in texts}
+
+
+def _zones(texts: list[Node], sizes: dict[int, int]) -> set[tuple[int, int]]:
+    """Zone and depth of the articles. One within elements of something else counts if there is none outside such elements
+    and it has more text than all that is outside them; the least deep ones are taken."""
+    held: Counter = Counter()
+    for n in texts:
+        if not any(kind != BLOCK for kind, _ in n.state.others):
+            held[n.state.zone, n.state.depth] += sizes.get(id(n), 0)
+    clean = sum(size for (_, depth), size in held.items() if not depth)
+    zones = {(n.state.zone, 0) for n in texts if n.state.zone and not n.state.depth}
+    for zone in (MAIN, ARTICLE):
+        deep = [d for z, d in held if z == zone]
+        if deep and min(deep) and held[zone, min(deep)] > clean:
+            zones.add((zone, min(deep)))
+    return zones
+
+
+def _wrappers(texts: list[Node], sizes: dict[int, int]) -> set[int]:
+    """Numbers of the soft elements that are mere wrappers, from the outermost one inwards."""
+    soft = [
+        ([number for kind, number in n.state.others if kind == SOFT], sizes.get(id(n), 0))
+        for n in texts if not any(kind == HARD for kind, _ in n.state.others)]
+    total = sum(size for _, size in soft)
+    inside: Counter = Counter()
+    for others, size in soft:
+        for number in others:
+            inside[number] += size
+    opened: set[int] = set()
+    for number in sorted(n for n, size in inside.items() if size and size >= WRAPPED * total):
+        outside = sum(size for others, size in soft if not others or others[-1] in opened)
+        if outside > OUTSIDE * inside[number]:
+            break  # nothing in it can count either
+        opened.add(number)
+    return opened
+
+
 def main_text(page: str, classes: list[list[int]] | None = None, every: frozenset[int] = frozenset()) -> str:
     """Blocks of the main text, white space made one space, joined by two newlines. ``classes``: the host's, whose valid
     texts outside the article are the template's. ``every``: tokens that all pages of the host have in the same way; on a
     page on which nothing varies, as it is a copy, they alone are."""
     sequence = nodes(page)
-    fixed = template_of(sequence, classes or [])
-    if all(xxhash.xxh3_64_intdigest(n.key) - 2**63 in fixed for n in sequence if n.text and not n.text.isspace() and not n.other):
-        fixed &= every
-    has_main = any(n.main and not n.other and n.text and not n.text.isspace() for n in sequence)
+    template = template_of(sequence, classes or [])
+    texts = [n for n in sequence if n.text and not n.text.isspace()]
+    zones = _zones(texts, _sizes(texts, template))
+    own = [n for n in texts if (n.state.zone, n.state.depth) in zones]
+    opened = _wrappers(own, _sizes(own, template))
+
+    def dropped(node: Node) -> bool:
+        return any(node.token in template if kind == BLOCK else number not in opened for kind, number in node.state.others)
+
+    has_main = any(not dropped(n) for n in own)
+    if not has_main:
+        sizes = _sizes(texts, template)
+        opened = _wrappers(texts, sizes)
+        if not any(n.token not in template for n in texts):
+            template &= every
     blocks: list[str] = []
     parts: list[str] = []
     for node in sequence:
         if node.block:
             blocks.append("".join(parts))
             parts = []
-        if node.text is None or node.other or has_main and not node.main:
+        if node.text is None or dropped(node) or has_main and (node.state.zone, node.state.depth) not in zones:
             continue
-        if not node.main and node.key and fixed and xxhash.xxh3_64_intdigest(node.key) - 2**63 in fixed:
+        if not has_main and node.key and node.token in template:
             continue
         parts.append(entities.unescape(node.text))
     blocks.append("".join(parts))
