@@ -9,7 +9,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from tests.llm import brute
-from webtally.llm import bpe, jaccard, katz, lines, packing, quality
+from webtally.llm import bpe, jaccard, katz, lines, ngrams, packing, quality
 from webtally.llm.queries import QUERIES
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -289,3 +289,51 @@ def test_katz_of_odd_tables(spark):
     held = [i for i in range(200) if brute.crc_rest(i, 10) == 0][:2]
     only = spark.createDataFrame([(i, "a b", "", "", 3) for i in held], SCHEMA)
     assert [(r["score"], r["n_known"], r["train_tokens"]) for r in katz.score(only).collect()] == [(0.0, 0, 0)] * 2
+
+
+def test_ngram_tables_of_order_two_equal_brute_force(spark, folder):
+    want = brute.katz(from_disk(spark, folder))
+    df = spark.read.parquet(f"{folder}/documents.parquet")
+    model = ngrams.fit(df.where(~katz.held_out(df["doc_id"], 10, 0)), 2)
+    rows = ngrams.score(spark, model, df).collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        assert r["n_tokens"] == want[r["doc_id"]][1] and r["score"] == pytest.approx(want[r["doc_id"]][4], rel=1e-9)
+
+
+def test_ngram_tables_of_order_three(spark):
+    """What can follow a history adds up to one, seen or not; unseen n-grams back off twice; the model scores other texts."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(12)]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 12), p=np.arange(1, 13) / 78)) for _ in range(60)]
+    model = ngrams.fit(documents(spark, texts), 3)
+    histories = ["", "w3", "w11 w10", "w11 w11", "w0 w0 w1", "w1 new", "new new"]
+    ends = [*words, "new"]
+    other = [h for h in histories] + [f"{h} {w}" for h in histories for w in ends]
+    rows = {r["doc_id"]: (r["n_tokens"], r["score"]) for r in ngrams.score(spark, model, documents(spark, other)).collect()}
+    assert len(rows) == len(other) and rows[0][0] == 1
+
+    def p(context, word):
+        """From the tables, of the last two words of the context."""
+        def hashes(text):
+            return np.fromiter(map(katz._Hashes().__getitem__, text.lower().encode().split()), np.uint64)
+        w = int((hashes(word) if word else np.array([katz.END], np.uint64)).view(np.int64)[0])
+        keys = [int(h.view(np.int64)[-1]) for h in ngrams._histories(np.append(hashes(context), np.uint64(katz.END)), 3)]
+        weight = 1.0
+        for k in (3, 2, 1):
+            if (keys[k - 1], w) in tables[k]:
+                return weight * tables[k][keys[k - 1], w]
+            weight *= weights[k].get(keys[k - 1], 1.0)
+        return weight * model.unknown
+
+    tables = {k: {(r["h"], r["w"]): r["p"] for r in spark.read.parquet(f"{model.folder}/ngrams_{k}").collect()} for k in (1, 2, 3)}
+    weights = {1: {}} | {k: {r["h"]: r["alpha"] for r in spark.read.parquet(f"{model.folder}/backoff_{k}").collect()} for k in (2, 3)}
+    for h in histories:
+        assert sum(p(h, w) for w in [*ends, ""]) == pytest.approx(1, rel=1e-9)
+    for i, text in enumerate(other):
+        own = text.split()
+        want = sum(np.log10(p(" ".join(own[:k]), w)) for k, w in enumerate([*own, ""]))
+        assert rows[i] == (len(own) + 1, pytest.approx(want, rel=1e-9))
+    none = ngrams.fit(documents(spark, texts).limit(0))
+    assert [r["score"] for r in ngrams.score(spark, none, documents(spark, ["a b"])).collect()] == [0.0]
+    assert ngrams.score(spark, model, documents(spark, ["a"]).limit(0)).count() == 0
