@@ -240,6 +240,21 @@ def test_lines_of_few_kinds(spark, seed):
     assert got == brute.without_repeats(list(enumerate(texts)), 6)
 
 
+def test_lines_with_tabs_and_carriage_returns(spark):
+    """White space around a line is no word, and a line of a carriage return alone is blank."""
+    rng = np.random.default_rng(7)
+    kinds = ["a b\r", "\tc", "\t\td e f \r", "\r", "\t", "g"]
+    texts = ["\n".join(rng.choice(kinds, rng.integers(0, 14))) for _ in range(60)]
+    words = "\r\n".join(f"w{i}" for i in range(25)) + "\r\n"
+    for own, least in ((texts, 6), ([words, "x\r\n" + words], 50)):
+        rows = lines.dedup(documents(spark, own), least).collect()
+        want = brute.without_repeats(list(enumerate(own)), least)
+        assert {r["doc_id"]: r["text"] for r in rows} == want
+        for r in rows:
+            assert r["lines_left"] == sum(bool(x.strip()) for x in r["text"].split("\n"))
+            assert r["lines_removed"] + r["lines_left"] == sum(bool(x.strip()) for x in own[r["doc_id"]].split("\n"))
+
+
 def test_lines_of_odd_tables(spark):
     long_ = "\n".join(f"line {i} of many words in a row" for i in range(300))
     df = documents(spark, [*ODD, long_, long_ + "\nend", "start\n" + long_]).withColumnRenamed("lang", "lines_left")

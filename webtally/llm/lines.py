@@ -24,7 +24,8 @@ BINS = 1024
 
 
 def _words(line: Column) -> Column:
-    return F.when(F.trim(line) == "", 0).otherwise(F.size(F.split(F.trim(line), r"\s+")))
+    """Pieces between white space, tabs and carriage returns included; a line without any is blank."""
+    return F.regexp_count(line, F.lit(r"\S+"))
 
 
 def _below(df: DataFrame, within: list[str], order: str, bin_of: Column, name: str) -> DataFrame:
@@ -126,7 +127,7 @@ def dedup(documents: DataFrame, min_words: int = MIN_WORDS, column: str = "text"
     kept = F.when(whole, F.array().cast("array<string>")).when(F.col("_spans").isNull(), parts).otherwise(left)
 
     def solid_lines(lines: Column) -> Column:
-        return F.coalesce(F.size(F.filter(lines, lambda x: F.trim(x) != "")), F.lit(0))
+        return F.coalesce(F.size(F.filter(lines, lambda x: _words(x) > 0)), F.lit(0))
 
     text = F.when(F.col(column).isNotNull(), F.array_join("_kept", "\n"))
     return marked.withColumn("_kept", kept).select(
