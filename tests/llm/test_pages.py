@@ -42,6 +42,17 @@ def test_warc_of_an_empty_table_and_a_folder_without_manifest(spark):
         warc.read(spark, new_folder(spark, "warc")).count()
 
 
+def test_warc_with_a_missing_file(spark):
+    folder = new_folder(spark, "warc")
+    warc.write(spark.createDataFrame([(i, "u", "x" * 300, "") for i in range(20)], SCHEMA), folder, shard_bytes=2000)
+    manifest = spark.read.parquet(f"{folder}/{warc.MANIFEST}")
+    more = new_folder(spark, "warc")
+    manifest.unionByName(manifest.limit(1).withColumn("file", html.F.lit("shard-999999-00000.warc.gz"))).write.parquet(f"{more}/{warc.MANIFEST}")
+    with pytest.raises(Exception, match="is missing"):
+        warc.read(spark, more).collect()
+    assert warc.read(spark, folder).count() == 20
+
+
 def test_borders_follow_sizes(spark):
     rows = [(i, "u", "x" * 100, "") for i in range(100)] + [(10**12 + i, "u", "x" * 100, "") for i in range(100)]
     df = warc.planned(spark.createDataFrame(rows, SCHEMA))

@@ -161,11 +161,13 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_by
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """The records of an archive: page_id, url, record_type, refers_to, payload (null for revisits), payload_bytes,
-    payload_digest (lower-case hex). Only files of the manifest are read; a file or payload that doesn't match its digest
-    is an error, and so is a folder without a manifest."""
+    payload_digest (lower-case hex). Only files of the manifest are read; one that is missing is an error, a file or
+    payload that doesn't match its digest is one, and so is a folder without a manifest."""
     manifest = spark.read.parquet(f"{folder}/{MANIFEST}").select("file", "sha1")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").join(manifest, "file")
+    files = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    missing = manifest.join(files.select("file"), "file", "left_anti")  # by names, so that no content is moved
+    files = files.join(manifest, "file").unionByName(missing.withColumn("content", F.lit(None).cast("binary")))
     fields = ("page_id", "url", "record_type", "refers_to", "payload", "payload_bytes", "payload_digest")
 
     def number(urn: str | None):
@@ -191,6 +193,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, content, sha1 in zip(frame["file"], frame["content"], frame["sha1"], strict=True):
+                if content is None:
+                    raise ValueError(f"{name} of the manifest is missing")
                 if hashlib.sha1(content).hexdigest() != sha1:
                     raise ValueError(f"{name} doesn't match the manifest")
                 rows = pd.DataFrame(list(parse(content)), columns=list(fields), dtype=object)
