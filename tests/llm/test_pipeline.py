@@ -42,5 +42,5 @@ def test_every_stage_does_its_work(spark, tmp_path):
 
 def test_queries_are_registered():
     names = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and set(names) == set(QUERIES)
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and set(names) == set(QUERIES)
     assert entry.queries()["pipeline"] is corpus_pipeline.run
