@@ -261,6 +261,13 @@ def likelihood(model: Model, features: np.ndarray, begins: np.ndarray, sizes: np
     return total / n, [g / n for g in gradient]
 
 
+def untrained() -> Model:
+    """Every line is content."""
+    weights = np.zeros(len(NAMES))
+    weights[0] = 1
+    return Model(weights, np.zeros((2, 2)), np.zeros(2), np.zeros(2))
+
+
 def train(features: np.ndarray, sequence: np.ndarray, good: np.ndarray) -> Model:
     """Field from the lines of labelled documents (``sequence`` numbers them, ``good`` says which label a line's has)."""
     model = Model(np.zeros(features.shape[1]), np.zeros((2, 2)), np.zeros(2), np.zeros(2))
@@ -319,7 +326,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality") -> Mode
         lines = [np.frombuffer(f, np.float32).reshape(-1, len(NAMES)) for f in rows.column("features").to_pylist()]
         sizes = [len(f) for f in lines]
         good = np.array(rows.column("good").to_pylist(), bool)
-        model = Model(np.zeros(len(NAMES)), np.zeros((2, 2)), np.zeros(2), np.zeros(2))
+        model = untrained()
         if good.any() and not good.all():
             model = train(np.concatenate(lines), np.repeat(np.arange(len(lines)), sizes), np.repeat(good, sizes))
         return pa.table({k: [v.ravel().tolist()] for k, v in vars(model).items()})
@@ -327,7 +334,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality") -> Mode
     learnt = sample.mapInArrow(extract, FEATURES).groupBy().applyInArrow(
         learn, "weights array<double>, transitions array<double>, first array<double>, last array<double>").collect()
     if not learnt:
-        return Model(np.zeros(len(NAMES)), np.zeros((2, 2)), np.zeros(2), np.zeros(2))
+        return untrained()
     row = learnt[0]
     return Model(
         np.array(row["weights"]), np.array(row["transitions"]).reshape(2, 2), np.array(row["first"]), np.array(row["last"]))
