@@ -180,9 +180,9 @@ def test_op2_equals_brute_force(spark):
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in rows} == want
 
 
-def test_near_copies_in_parts(spark, monkeypatch):
+@pytest.mark.parametrize("part_rows, part_chars", [(10, 1 << 20), (5, 2000), (1, 100), (64, 20_000)])
+def test_near_copies_in_parts(spark, part_rows, part_chars):
     """One group holds most texts and is verified in several parts."""
-    monkeypatch.setattr(jaccard, "PART_ROWS", 10)
     rng = np.random.default_rng(2)
     base = [f"w{i}" for i in range(60)]
     texts = []
@@ -193,18 +193,27 @@ def test_near_copies_in_parts(spark, monkeypatch):
         texts.append(" ".join(own))
     texts += [" ".join(f"v{i + k}" for i in range(30)) for k in range(12)] + [None, "", " ", "a b", "A  b", "a c"] + texts[:5]
     docs = list(enumerate(texts))
-    got = jaccard.classes(documents(spark, texts)).collect()
+    got = jaccard.classes(documents(spark, texts), part_rows=part_rows, part_chars=part_chars).collect()
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == brute.near_copies(docs)
 
 
-def test_near_copies_of_few_long_texts(spark, monkeypatch):
-    """Groups of two to four texts that characters alone deal out into parts, some of them empty."""
-    monkeypatch.setattr(jaccard, "PART_CHARS", 300)
+def test_near_copies_of_a_chain(spark):
+    """Every text is like the next one only; parts that have no band in common don't meet, yet the chain is one class."""
+    words = [f"w{i}" for i in range(700)]
+    texts = [" ".join(words[8 * k : 8 * k + 160]) for k in range(60)]
+    want = brute.near_copies(list(enumerate(texts)))
+    assert len(set(want.values())) > 1 and len({c for c, _ in want.values()}) == 1
+    got = jaccard.classes(documents(spark, texts), part_rows=6, part_chars=6 * 1000).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == want
+
+
+def test_near_copies_of_few_long_texts(spark):
+    """Groups of two to four texts that characters alone deal out into parts."""
     texts = []
     for group in range(8):
         base = [f"g{group}w{i}" for i in range(60)]
         texts += [" ".join([*base, *[f"end{k}"] * (k > 0)]) for k in range(2 + group % 3)]
-    got = jaccard.classes(documents(spark, texts)).collect()
+    got = jaccard.classes(documents(spark, texts), part_rows=100, part_chars=300).collect()
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == brute.near_copies(list(enumerate(texts)))
 
 
@@ -352,3 +361,12 @@ def test_ngram_tables_of_order_three(spark):
     none = ngrams.fit(documents(spark, texts).limit(0))
     assert [r["score"] for r in ngrams.score(spark, none, documents(spark, ["a b"])).collect()] == [0.0]
     assert ngrams.score(spark, model, documents(spark, ["a"]).limit(0)).count() == 0
+
+
+def test_equal_texts_have_equal_scores(spark):
+    rng = np.random.default_rng(3)
+    logits = rng.normal(size=quality.SIZE).astype(np.float32)
+    model = quality.Model(logits, 0.1)
+    texts = ["short text", "long text " * 20_000, "short text", "other", "short text"]
+    for own in (texts, texts[::-1], texts[1:3]):
+        assert len({s for t, s in zip(own, model.scores(own)) if t == "short text"} | set(model.scores(["short text"]))) == 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from webtally.sources.writers import new_folder
 
@@ -38,3 +38,25 @@ def steps(batches: Iterable[pa.RecordBatch], column: str, chars: int = STEP_CHAR
             if size >= chars or i + 1 == len(texts):
                 yield batch.slice(start, i + 1 - start), part
                 start, size, part = i + 1, 0, []
+
+
+def numbered(df: DataFrame, group: str, order: list[str], name: str, weight: str = "1") -> DataFrame:
+    """``df`` with ``name``: what the rows before it among those with its ``group`` (null is one) weigh, by ``order``, so the
+    row's place from 0 where all weigh 1; and ``name_n``, what all of them weigh.
+
+    Rows are sorted into ranges by sampled bounds, so a group may hold any share of them. Equal rows keep apart by a random
+    last key, drawn once, as the ranges are stored before they are counted. What one task sorts is a range; what a window
+    over a group sees are the sums of its ranges."""
+    names = df.columns
+    ranges = stored(
+        df.withColumn("_weight", F.expr(weight).cast("bigint")).withColumn("_salt", F.rand(1))
+        .repartitionByRange(group, *order, "_salt").withColumn("_range", F.spark_partition_id()), "ranges")
+    earlier = W.partitionBy(group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = ranges.groupBy(group, "_range").agg(F.sum("_weight").alias("_sum")).select(
+        F.col(group).alias("_group"), F.col("_range").alias("_its"),
+        F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_sum").over(W.partitionBy(group)).alias(f"{name}_n"))
+    own = W.partitionBy(group, "_range").orderBy(*order, "_salt").rowsBetween(W.unboundedPreceding, -1)
+    ranked = ranges.withColumn("_own", F.coalesce(F.sum("_weight").over(own), F.lit(0)))
+    together = F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_its"))
+    return ranked.join(offsets, together).select(*names, (F.col("_before") + F.col("_own")).alias(name), f"{name}_n")

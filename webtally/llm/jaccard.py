@@ -3,9 +3,11 @@
 Texts with equal words are one text with a weight. A text's MinHash signature is cut into bands; as many as give a pair at
 the threshold the wished chance to agree in one. Texts that agree in a band hash are linked to the least of them, and the
 components of these links are the candidates: all pairs in a component, so no more than the bands miss can be missed.
-Pairs are verified on full n-gram sets in blocks: a component that is too large for one task is dealt out into parts, and
-every two parts meet in a task of their own. What leaves a task is a row for each text (its links and the least text it
-is connected with there), never a row for each pair."""
+Pairs are verified on full n-gram sets in blocks: a component that is too large for one task is cut into parts, texts with
+equal band hashes side by side, and two parts meet in a task of their own if they have a band hash in common. Within a
+part every text is connected with the least text it is linked to, its root; where parts meet, roots stand for their texts.
+What leaves a task is a row for each text, with its links, and one for each root that is connected with another one there,
+never a row for each pair."""
 
 from __future__ import annotations
 
@@ -18,13 +20,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from webtally.llm.common import steps, stored, table
+from webtally.llm.common import numbered, steps, stored, table
 
 WORDS, THRESHOLD = 5, 0.8
 #: Chance that a pair at the threshold agrees in a band, and hashes in a band.
 RECALL, BAND_ROWS = 0.9995, 5
-#: Texts and characters of a part of a component.
-PART_ROWS, PART_CHARS = 512, 8 << 20
+#: Texts and characters of a part of a component, and texts of small components that one task verifies, about.
+PART_ROWS, PART_CHARS, BIN_ROWS = 2048, 8 << 20, 512
+#: Characters whose signatures a worker computes at a time, and words it remembers during a task.
+SLICE_CHARS, REMEMBERED = 1 << 20, 200_000
 SEED = 5
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -43,7 +47,7 @@ class _Hashes(dict):
     """Word hashes, kept up to a number of words."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > REMEMBERED:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -88,7 +92,7 @@ def signatures(documents: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
-        for part, texts in steps(batches, "text"):
+        for part, texts in steps(batches, "text", SLICE_CHARS):
             keys, rows = [], []
             for text in texts:
                 words = word_hashes(text, known)
@@ -119,8 +123,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _verify(texts: pd.DataFrame, known: _Hashes, threshold: float) -> pd.DataFrame:
-    """Of texts (key, part, other, weight, text): similar ones of another part where parts meet, else of the same part. A
-    part that meets another one may be empty, so the rows present don't tell which it is."""
+    """Links among texts (key, root, part, other, weight, text): with those of the other part where parts meet, else of the
+    same part. Rows (a, b, links): a text and its links, itself as b; where roots are connected, one and the least of
+    them."""
     sets = [shingles(word_hashes(t, known)) for t in texts["text"]]
     order = np.argsort([len(s) for s in sets], kind="stable")
     sets = [sets[i] for i in order]
@@ -132,7 +137,9 @@ def _verify(texts: pd.DataFrame, known: _Hashes, threshold: float) -> pd.DataFra
     weight = texts["weight"].to_numpy()[order]
     across = bool((texts["part"] != texts["other"]).any())
     links = np.zeros(len(sets), np.int64)
-    root = np.arange(len(sets))
+    roots = texts["root"].to_numpy()[order]
+    least: dict[bytes, int] = {}
+    root = np.array([least.setdefault(r, i) for i, r in enumerate(roots)])  # texts of a root are connected
     has = np.zeros(int(flat.max()) + 1, bool)
 
     def top(i: int) -> int:
@@ -154,22 +161,29 @@ def _verify(texts: pd.DataFrame, known: _Hashes, threshold: float) -> pd.DataFra
         found = i + 1 + np.flatnonzero(similar)
         links[i] += weight[found].sum()
         links[found] += weight[i]
-        for j in found.tolist():
+        for j in np.unique(root[found]).tolist():
             a, b = top(i), top(j)
             if a != b:
                 root[max(a, b)] = min(a, b)
     keys = texts["key"].to_numpy()[order]
-    return pd.DataFrame({"a": keys, "b": [keys[top(i)] for i in range(len(sets))], "links": links})
+    if not across:
+        return pd.DataFrame({"a": keys, "b": [keys[top(i)] for i in range(len(sets))], "links": links})
+    counted = pd.DataFrame({"a": keys, "b": keys, "links": links})[links > 0]
+    joined = sorted({(roots[i], roots[top(i)]) for i in range(len(sets)) if roots[i] != roots[top(i)]})
+    return pd.concat([counted, pd.DataFrame({"a": [a for a, _ in joined], "b": [b for _, b in joined], "links": 0})])
 
 
-def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def classes(
+    documents: DataFrame, threshold: float = THRESHOLD, part_rows: int = PART_ROWS, part_chars: int = PART_CHARS,
+) -> DataFrame:
     """doc_id, raw (hash of the text), class_id and n_links of every row of ``documents`` (doc_id, text, ...).
 
     Linked are rows whose sets of ``WORDS``-word n-grams have a Jaccard similarity of ``threshold`` or more; n_links counts
     the other rows a row is linked with, copies included; a class is a component of links, named by its smallest doc_id
     (null if all are). Texts of fewer words have the one n-gram they make. Texts without words, null ones included, are
     linked with nothing and are each a class of their own; so is a text that is like no other. Repeated rows count each.
-    Very long texts are compared whole. Other columns are left out; an empty table gives an empty table."""
+    Very long texts are compared whole. Other columns are left out; an empty table gives an empty table. A part has at
+    most ``part_rows`` texts and, but for one text, ``part_chars`` characters."""
     rows = stored(signatures(documents, threshold), "signatures")
     texts = rows.where("key IS NOT NULL").groupBy("key").agg(
         F.count("*").alias("weight"), F.min("doc_id").alias("least_id"), F.min(F.struct("raw", "doc_id")).alias("at"), F.first("bands").alias("bands"))
@@ -179,26 +193,44 @@ def classes(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     shared = stored(shared, "bands")  # so that adaptive execution can split a common band in the join
     links = banded.join(shared, "band").select(F.col("key").alias("a"), "b").where("a != b").distinct()
     groups = components(links).withColumnRenamed("a", "key")
-    kept = texts.drop("bands").join(groups, "key").select("key", "weight", "label", "at.raw", F.coalesce("at.doc_id", F.lit(-1)).alias("id"))
+    kept = texts.join(groups, "key").select(
+        "key", "weight", "label", "bands", "at.raw", F.coalesce("at.doc_id", F.lit(-1)).alias("id"))
     named = documents.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), "text", raw_hash())
-    named = named.join(kept, ["raw", "id"]).groupBy("key", "weight", "label").agg(F.min("text").alias("text"))
-    named = stored(named, "candidates")
-    sized = named.groupBy("label").agg(F.greatest(
-        F.ceil(F.count("*") / PART_ROWS), F.ceil(F.sum(F.length("text")) / PART_CHARS)).cast("int").alias("parts"))
-    dealt = named.join(sized, "label").withColumn("part", F.expr("cast(pmod(xxhash64(key), parts) as int)"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-    bins = max(1, named.count() // PART_ROWS)
-    unit = F.when(F.col("parts") == 1, F.expr(f"concat('bin ', pmod(xxhash64(label), {bins}))")).otherwise(
-        F.concat_ws(" ", F.hex("label"), F.least("part", "other"), F.greatest("part", "other")))
+    named = named.join(kept, ["raw", "id"]).groupBy("key", "weight", "label").agg(
+        F.min("text").alias("text"), F.first("bands").alias("bands"))
+    size = f"greatest({part_chars // part_rows}, length(text))"
+    named = stored(named.withColumn("size", F.expr(size).cast("bigint")), "candidates")
+    bins = max(1, named.count() // BIN_ROWS)
+    sized = named.groupBy("label").agg((F.sum("size") > part_chars).alias("large"))
+    named = named.join(sized, "label")
 
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
         known = _Hashes()
         return pd.concat([_verify(own, known, threshold) for _, own in frame.groupby("label")])
 
-    met = dealt.select(unit.alias("unit"), "label", "key", "part", "other", "weight", "text").groupBy("unit").applyInPandas(
-        verify, "a binary, b binary, links long")
-    met = stored(met, "met")
-    linked = met.groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
+    def verified(dealt: DataFrame) -> DataFrame:
+        columns = ["unit", "label", "key", "root", "part", "other", "weight", "text"]
+        return dealt.select(*columns).groupBy("unit").applyInPandas(verify, "a binary, b binary, links long")
+
+    # Small components share units; a large one is cut into parts, neighbours in the order of their band hashes.
+    small = named.where("NOT large").withColumn("unit", F.expr(f"concat('bin ', pmod(xxhash64(label), {bins}))")).withColumn("part", F.lit(0))
+    placed = numbered(named.where("large").select("label", "key", "bands", "size"), "label", ["bands", "key"], "place", "size")
+    placed = stored(placed.select("label", "key", "bands", F.expr(f"cast(place div {part_chars} as int)").alias("part")), "parts")
+    large = named.where("large").select("label", "key", "weight", "text").join(placed.select("key", "part"), "key")
+    within = small.select("unit", "label", "key", "part", "weight", "text").unionByName(
+        large.select(F.concat_ws(" ", F.hex("label"), "part").alias("unit"), "label", "key", "part", "weight", "text"))
+    within = stored(verified(within.withColumn("other", F.col("part")).withColumn("root", F.col("key"))), "within")
+    # Two parts meet if a band hash occurs in both; a text stands for the texts it is connected with in its part.
+    spread = placed.select("label", "part", F.explode("bands").alias("band")).distinct()
+    spread = spread.groupBy("label", "band").agg(F.collect_list("part").alias("others")).where("size(others) > 1")
+    meet = spread.withColumn("part", F.explode("others")).withColumn("other", F.explode("others")).where("part != other")
+    meet = meet.select("label", "part", "other").distinct().groupBy("label", "part").agg(F.collect_list("other").alias("others"))
+    rooted = large.join(within.select(F.col("a").alias("key"), F.col("b").alias("root")), "key")
+    dealt = rooted.join(meet, ["label", "part"]).withColumn("other", F.explode("others")).withColumn(
+        "unit", F.concat_ws(" ", F.hex("label"), F.least("part", "other"), F.greatest("part", "other")))
+    across = stored(verified(dealt), "across")
+    met = within.unionByName(across)
+    linked = met.where("links > 0").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     whole = components(met.where("a != b")).withColumnRenamed("a", "key")
     of_texts = texts.select("key", "weight", "least_id").join(linked, "key", "left").join(whole, "key", "left").withColumn(
         "label", F.coalesce("label", "key"))

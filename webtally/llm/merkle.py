@@ -19,9 +19,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from webtally.llm.common import stored, table
+from webtally.llm.common import numbered, stored, table
 
 #: Children of a node.
 ARITY = 8
@@ -51,29 +51,6 @@ def leaf_digest(columns: list[Column]) -> Column:
     return F.sha2(F.concat(*parts).cast("binary"), 256)
 
 
-def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
-    """``df`` with ``name``: the place of each row among those with its ``group`` (null is one), by ``order``, from 0;
-    and ``name_n``, their number.
-
-    Rows are sorted into ranges by sampled bounds, so a group may hold any share of them. Equal rows keep apart by a random
-    last key, drawn once, as the ranges are stored before they are counted. What one task sorts is a range; what a window
-    over a group sees are the counts of its ranges."""
-    names = df.columns
-    ranges = stored(
-        df.withColumn("_salt", F.rand(1)).repartitionByRange(group, *order, "_salt")
-        .withColumn("_range", F.spark_partition_id()), "ranges")
-    before = W.partitionBy(group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = ranges.groupBy(group, "_range").agg(F.count("*").alias("_count")).select(
-        F.col(group).alias("_group"), F.col("_range").alias("_its"),
-        F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_before"),
-        F.sum("_count").over(W.partitionBy(group)).alias(f"{name}_n"))
-    own = W.partitionBy(group, "_range").orderBy(*order, "_salt")
-    ranked = ranges.withColumn("_rank", F.row_number().over(own) - 1)
-    together = F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_its"))
-    return ranked.join(offsets, together).select(
-        *names, (F.col("_before") + F.col("_rank")).cast("bigint").alias(name), f"{name}_n")
-
-
 NODES = "tree long, level int, place long, n long, digest string"
 NODE_SCHEMA = pa.schema([
     ("tree", pa.int64()), ("level", pa.int32()), ("place", pa.int64()), ("n", pa.int64()), ("digest", pa.string())])
