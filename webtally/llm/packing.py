@@ -17,7 +17,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from webtally.llm.bpe import codec
+from webtally.llm.bpe import SLICE_CHARS, codec
 from webtally.llm.common import steps, stored, table
 
 #: Rows numbered together by one task, about.
@@ -34,7 +34,7 @@ def pieces(df: DataFrame, path: str, capacity: int, end_id: int = 0, with_ids: b
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for part, texts in steps(batches, "text"):
+        for part, texts in steps(batches, "text", SLICE_CHARS):
             rows = []
             for doc, ids in zip(part.column("doc_id").to_pylist(), own.encode(texts), strict=True):
                 ids += end
@@ -47,6 +47,7 @@ def pieces(df: DataFrame, path: str, capacity: int, end_id: int = 0, with_ids: b
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)],
                 names=[f.split()[0] for f in schema.split(", ")])
+        own.forget()
 
     return df.select("doc_id", "text").mapInArrow(run, schema)
 
