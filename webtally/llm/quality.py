@@ -25,6 +25,8 @@ SIZE = BUCKETS + 2
 NGRAMS = (3, 4, 5)
 #: Rows of each class that training takes at most: those whose ids have the smallest hashes.
 CLASS_ROWS = 1000
+#: Logits are added up in units of one by this.
+UNIT = 1 << 32
 #: Characters whose features a worker holds at a time.
 SLICE_CHARS = 1 << 20
 DIMENSIONS, EPOCHS, RATE, SEED = 16, 10, 0.1, 7
@@ -90,12 +92,14 @@ class Model:
     bias: float
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        total, count = np.zeros(len(texts)), np.zeros(len(texts))
+        """Sums are of whole numbers, so a text's doesn't depend on the texts beside it."""
+        whole = np.round(self.logits.astype(np.float64) * UNIT).astype(np.int64)
+        total, count = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         for buckets, starts, ends in features(texts):
-            sums = np.concatenate([[0.0], np.cumsum(self.logits[buckets])])
+            sums = np.concatenate([[0], np.cumsum(whole[buckets])])
             total += sums[ends] - sums[starts]
             count += ends - starts
-        return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + self.bias, -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(total / UNIT / np.maximum(count, 1) + self.bias, -50, 50)))
 
 
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
