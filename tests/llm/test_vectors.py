@@ -44,6 +44,8 @@ def test_many_shards_ties_nulls_and_repeated_rows(spark, monkeypatch, operator,
     own = {i: v.tolist() for i, v in enumerate(numbers)}
     odd = [(200, None), (201, [1, None, 2, 3, 4, 5]), (None, [1] * 6), (202, []), (203, [9, 9])]
     rows = [*own.items(), *list(own.items())[:20], *odd]
+    if kind == "double":
+        rows = [(i, v and [None if x is None else float(x) for x in v]) for i, v in rows]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], f"vec_id bigint, v array<{kind}>, score string")
     want = brute.nearest(own, [i for i in own if i % 3 == 0], 5)
     got = listed(operator(df, df.where("vec_id % 3 = 0"), 5))
@@ -68,3 +70,18 @@ def test_large_numbers_stay_exact():
     tree = kdtree.build(rows, np.arange(3))
     which, ids, scores = kdtree.find(tree, np.array([[2**31 - 1, 1]]), np.array([9]), np.array([-np.inf]), 2)
     assert ids.tolist() == [1, 0] and scores.tolist() == [2**31 * (2**31 - 1) + 2, 2**31 * (2**31 - 1) + 1]
+
+
+def test_extreme_components(spark):
+    """Finite numbers of any size take part: whole numbers end at a long, estimates aren't used where they could fail."""
+    rows = [(0, [1.0, 2.0]), (1, [-1e300, 1.0]), (2, [1e300, 1e300]), (3, [1e-300, 0.0]), (4, [3.0, 1.0]), (5, [-1e-200, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, v array<double>")
+    got = listed(onebit.neighbours(df, df, 5))
+    for q, v in rows:
+        want = sorted((-(v[0] * w[0] + v[1] * w[1]), i) for i, w in rows if i != q)
+        assert got[q] == [(i, -s) for s, i in want]
+    whole = df.where(search.usable(F.col("v"))).withColumn("v", kdtree.whole_numbers(F.col("v")))
+    most, least = 2**63 - 1, -(2**63)
+    assert listed(kdtree.top_k(whole, whole.where("vec_id = 0"), 5)) == {
+        0: [(2, most), (4, 5 * 65536), (3, 0), (5, -512 * 256 - 256), (1, least)]}
+    assert listed(kdtree.top_k(whole, whole.where("vec_id = 2"), 2)) == {2: [(0, most), (4, most)]}

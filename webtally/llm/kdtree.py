@@ -14,6 +14,9 @@ from webtally.llm.common import table
 LEAF_ROWS = 128
 #: Products and sums of integers below this are exact in double precision.
 EXACT = 2.0**53
+#: Above this they may not fit into a long.
+LONG = 2.0**62
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
 @dataclass
@@ -63,12 +66,13 @@ def find(tree: Tree, queries: np.ndarray, query_ids: np.ndarray, least: np.ndarr
     size = up @ np.abs(high).T - down @ np.abs(low).T
     exact = size.max() < EXACT
     if not exact:  # rounded sums: widen by more than they can be off
-        bounds += size * 1e-12 + 1
-    rows, asked = (tree.rows.astype(np.float64), queries.astype(np.float64)) if exact else (tree.rows, queries)
+        bounds += size * 1e-12 + 2048
+    kind = np.float64 if exact else np.int64 if size.max() < LONG else object  # object: whole numbers of any size
+    rows, asked = tree.rows.astype(kind), queries.astype(kind)
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for i, own in enumerate(query_ids.tolist()):
         bound, asking = bounds[i], asked[i]
-        ids, scores, kth = np.zeros(0, np.int64), np.zeros(0, rows.dtype), least[i]
+        ids, scores, kth = np.zeros(0, np.int64), np.zeros(0, np.float64 if exact else np.int64), least[i]
         heap = [(-bound[0], 0)]
         while heap and -heap[0][0] >= kth:
             _, node = heapq.heappop(heap)
@@ -79,6 +83,8 @@ def find(tree: Tree, queries: np.ndarray, query_ids: np.ndarray, least: np.ndarr
                 continue
             part = slice(tree.start[node], tree.stop[node])
             new = rows[part] @ asking
+            if kind is object:
+                new = np.clip(new, LEAST, MOST).astype(np.int64)
             use = (new >= kth) & (tree.ids[part] != own)
             if use.any():
                 ids, scores = np.concatenate([ids, tree.ids[part][use]]), np.concatenate([scores, new[use]])
@@ -94,7 +100,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """For each integer vector of ``queries`` (vec_id, v) the ``k`` of ``vectors`` with the largest inner product.
 
     Null ids and vectors, and vectors with null components, take no part; see ``search.nearest`` for repeated rows, ties,
-    lengths and empty tables. Other columns are left out. A product must fit into a long."""
+    lengths and empty tables. Other columns are left out. A product that doesn't fit into a long counts as the nearest one."""
     def own(df: DataFrame) -> DataFrame:
         return df.select("vec_id", "v").where(F.col("vec_id").isNotNull() & search.usable(F.col("v")))
 
@@ -102,6 +108,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def whole_numbers(vector: Column, scale: int = 256) -> Column:
+    """Components times ``scale``, rounded down; those that don't fit into a long become the nearest one."""
     return F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
 
 

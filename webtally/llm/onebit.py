@@ -21,6 +21,9 @@ from webtally.llm.common import table
 BITS_EACH, SEED = 2, 11
 #: Standard deviations of the estimate that the error bound spans.
 SPAN = 3.0
+#: Vectors whose largest component is outside of these are always scored on the original numbers, as are all vectors for
+#: such a query, because estimates in single precision could overflow or vanish.
+SMALL, LARGE = 1e-12, 1e12
 
 
 @functools.cache
@@ -38,31 +41,40 @@ class Codes:
     ids: np.ndarray
 
 
+def wild(rows: np.ndarray) -> np.ndarray:
+    largest = np.abs(rows).max(axis=1)
+    return (largest < SMALL) | (largest > LARGE)
+
+
 def build(rows: np.ndarray, ids: np.ndarray) -> Codes:
-    turned = rows @ rotation(rows.shape[1]).T
+    odd = wild(rows)
+    turned = np.where(odd[:, None], 1.0, rows) @ rotation(rows.shape[1]).T
     bits = turned.shape[1]
     norm = np.sqrt((turned * turned).sum(axis=1))
     along = np.abs(turned).sum(axis=1) / (norm * np.sqrt(bits))  # cosine of a vector and its signs
+    error = norm * np.sqrt(np.maximum(1 - along**2, 0)) / along / np.sqrt(bits - 1)
     return Codes(
-        np.packbits(turned > 0, axis=1), norm / (along * np.sqrt(bits)),
-        norm * np.sqrt(np.maximum(1 - along**2, 0)) / along / np.sqrt(bits - 1), rows, ids)
+        np.packbits(turned > 0, axis=1), norm / (along * np.sqrt(bits)), np.where(odd, np.inf, error), rows, ids)
 
 
 def find(codes: Codes, queries: np.ndarray, query_ids: np.ndarray, least: np.ndarray, k: int):
-    turned = queries @ rotation(queries.shape[1]).T
+    odd = wild(queries)
+    turned = np.where(odd[:, None], 1.0, queries) @ rotation(queries.shape[1]).T
     signs = np.unpackbits(codes.packed, axis=1).astype(np.float32) * 2 - 1
     estimates = (turned.astype(np.float32) @ signs.T) * codes.factor.astype(np.float32)
-    spans = SPAN * np.sqrt((turned * turned).sum(axis=1))
+    spans = np.where(odd, np.inf, SPAN * np.sqrt((turned * turned).sum(axis=1)))
     out = []
     for i, own in enumerate(query_ids):
-        error = spans[i] * codes.error
+        error = spans[i] * np.maximum(codes.error, 1e-30)
         other = codes.ids != own
         sure = (estimates[i] - error)[other]
         reach = least[i]
         if len(sure) >= k:
             reach = max(reach, np.partition(sure, len(sure) - k)[len(sure) - k])
         rerank = np.flatnonzero(other & (estimates[i] + error >= reach))
-        scores = (codes.rows[rerank] * queries[i]).sum(axis=1)  # row by row: equal vectors get equal scores
+        with np.errstate(over="ignore", invalid="ignore"):
+            scores = (codes.rows[rerank] * queries[i]).sum(axis=1)  # row by row: equal vectors get equal scores
+        scores = np.where(np.isnan(scores), -np.inf, scores)
         keep = search.best(scores, codes.ids[rerank], k)
         out.append((np.full(len(keep), i), codes.ids[rerank][keep], scores[keep]))
     return tuple(np.concatenate([o[j] for o in out]) for j in range(3))
@@ -73,7 +85,8 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     scores on the original numbers in double precision.
 
     Null ids and vectors, zero vectors and those with null or non-finite components take no part; see ``search.nearest``
-    for repeated rows, ties, lengths and empty tables. Other columns are left out."""
+    for repeated rows, ties, lengths and empty tables. Other columns are left out. Scores beyond double precision are
+    infinite; where products of both signs are, the score is minus infinity."""
     def own(df: DataFrame) -> DataFrame:
         not_zero = F.exists("v", lambda x: x != 0)
         return df.select("vec_id", "v").where(F.col("vec_id").isNotNull() & search.usable(F.col("v")) & not_zero)

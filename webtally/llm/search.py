@@ -26,7 +26,7 @@ Find = Callable[[object, np.ndarray, np.ndarray, np.ndarray, int], tuple[np.ndar
 
 def usable(vector: Column) -> Column:
     """Whether a vector has components and all of them are finite numbers."""
-    finite = F.forall(vector, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
+    finite = F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
     return F.coalesce((F.size(vector) > 0) & finite, F.lit(False))
 
 
@@ -93,4 +93,5 @@ def nearest(
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the ``k`` highest scores, ties to the smaller id."""
-    return np.lexsort((ids, -scores))[:k]
+    down = ~scores if scores.dtype.kind == "i" else -scores  # the least long has no negative
+    return np.lexsort((ids, down))[:k]
