@@ -383,3 +383,35 @@ def test_flat_events_of_many_events_at_one_time(spark):
     rows_ = [event("u", "2024-01-05 10:00:00", "x", None, {"k": i}) for i in range(30)]
     flat = shaping.flat_events(events(spark, rows_), *DAY)
     assert flat.count() == 900 and flat.select("param_int_value").distinct().count() == 30
+
+
+def test_a_failing_monthly_write_leaves_the_old_tables(spark, tmp_path, monkeypatch):
+    """Whatever step fails, every table reads whole, old or new, and the next write goes on from there."""
+    def write(user):
+        rows_ = [(10 * user + m, "s", "x", datetime.date(2024, m, 3), None) for m in (1, 2)]
+        df = spark.createDataFrame(rows_, schemas.ddl(schemas.MONTHLY_FIELDS))
+        return writers.write_monthly_tables(df, str(tmp_path), "2024-02-29", 2)
+
+    def read(paths):
+        return [r["user_id"] for p in paths for r in writers.read_monthly_table(spark, p).collect()]
+
+    paths = write(1)
+    assert read(paths) == [12, 11]
+    move, moves = writers._move, []
+
+    def failing(*args):
+        moves.append(args)
+        if len(moves) == fail_at:
+            raise OSError("lost")
+        move(*args)
+
+    # Moves: the old table of February aside, its new one in, then those of January; the third write finds one aside.
+    for fail_at, want in ((1, [12, 11]), (2, [12, 11]), (3, [22, 11])):
+        moves.clear()
+        monkeypatch.setattr(writers, "_move", failing)
+        with pytest.raises(OSError):
+            write(2)
+        assert read(paths) == want
+        monkeypatch.setattr(writers, "_move", move)
+    assert read(write(3)) == [32, 31]
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith("_old-")]

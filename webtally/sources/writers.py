@@ -53,6 +53,13 @@ def _remove_made() -> None:
             place.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(place, True)
 
 
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that what follows reads it instead of computing it again."""
+    path = new_folder(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_by_date(df: DataFrame, path: str, date_column: str = "event_date") -> None:
     """Overwrite ``path`` with one Parquet folder per date.
 
@@ -69,12 +76,49 @@ def month_names(as_of, months: int = 12) -> list[tuple[str, datetime.date, datet
     return [(f"{month:%Y%m}", month, after) for after, month in zip(first, first[1:])]
 
 
+def _files(spark: SparkSession, path: str):
+    """Hadoop's path class and the file system of ``path``."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return place, place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _aside(path: str) -> str:
+    """Where a table's old folder is while a new one takes its place."""
+    base, name = path.rstrip("/").rsplit("/", 1)
+    return f"{base}/_old-{name}"
+
+
+def _move(files, place, old: str, new: str) -> None:
+    if not files.rename(place(old), place(new)):
+        raise OSError(f"{old} can't be moved to {new}")
+
+
+def replace_folder(spark: SparkSession, new: str, path: str) -> None:
+    """Put the folder ``new`` in the place of ``path``: the old one is moved aside, the new one moved in, and only then the
+    old one deleted. After a failure at any step ``table_folder`` finds a whole table, and the next call goes on from it."""
+    place, files = _files(spark, path)
+    aside = _aside(path)
+    if files.exists(place(path)):
+        files.delete(place(aside), True)  # left by a call that failed after its table was in place
+        _move(files, place, path, aside)
+    _move(files, place, new, path)
+    files.delete(place(aside), True)
+
+
+def table_folder(spark: SparkSession, path: str) -> str:
+    """``path``, or the folder that was moved aside if none has taken its place."""
+    place, files = _files(spark, path)
+    aside = _aside(path)
+    return aside if not files.exists(place(path)) and files.exists(place(aside)) else path
+
+
 def write_monthly_tables(df: DataFrame, base: str, as_of, months: int = 12, prefix: str = "web_analytics_") -> list[str]:
     """Create or replace one table per month, ``base/prefix_yyyymm``, partitioned by ``event_date``.
 
     One job writes all months to a staging folder; when it has finished, each month's folder takes the place of
-    the old table. So the old tables stay until all new ones are complete, and only folders are renamed. A month
-    without rows still gets its (empty) table. Returns the paths."""
+    the old table. So the old tables stay until all new ones are complete, only folders are renamed, and a failure
+    between the renames loses no table (``replace_folder``). A month without rows still gets its (empty) table. Returns the
+    paths."""
     spark, base = df.sparkSession, base.rstrip("/")
     names = month_names(as_of, months)
     columns = df.select(*[F.col(name).cast(kind).alias(name) for name, kind in MONTHLY_FIELDS.items()])
@@ -83,17 +127,16 @@ def write_monthly_tables(df: DataFrame, base: str, as_of, months: int = 12, pref
     staging = f"{base}/_staging-{uuid.uuid4().hex}"
     asked.withColumn("_month", F.date_format(day, "yyyyMM")).hint("rebalance", day).write.partitionBy(
         "_month", "event_date").parquet(staging)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    files = place(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    place, files = _files(spark, base)
     paths = []
     for name, _, _ in names:
-        path, new = f"{base}/{prefix}{name}", place(f"{staging}/_month={name}")
-        files.delete(place(path), True)
-        files.rename(new, place(path)) if files.exists(new) else files.mkdirs(place(path))
+        path, new = f"{base}/{prefix}{name}", f"{staging}/_month={name}"
+        files.mkdirs(place(new))
+        replace_folder(spark, new, path)
         paths.append(path)
     files.delete(place(staging), True)
     return paths
 
 
 def read_monthly_table(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path, MONTHLY_FIELDS)
+    return read_table(spark, table_folder(spark, path), MONTHLY_FIELDS)
