@@ -3,9 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import Window as W, functions as F
 
 from webtally.operators.attribution import attribution_time_decay, page_revenue_attribution
-from webtally.operators.skew import neighbours, running
+from webtally.operators.skew import EVENT_ORDER, measured_span, neighbours, running
 from tests.build import DAY, event, events, rows, view
 
 HOUR = 3_600_000_000
@@ -23,6 +24,48 @@ def skewed(seed: int, n: int = 400) -> list[tuple]:
 SCHEMA = "k string, event_micros bigint, sequence bigint, v bigint"
 
 
+def crowded(seed: int, n: int = 300) -> list[tuple]:
+    """A key, and the missing one, with all rows in one hour: a third at one microsecond, a third in one millisecond."""
+    pick = random.Random(seed)
+    base = 473_000 * HOUR
+    times = [lambda: 1234, lambda: 5_000_000 + pick.randrange(1000), lambda: pick.randrange(HOUR)]
+    rows_ = [(pick.choice(["hot", None]), base + pick.choice(times)(), i - 20, pick.choice([None, 1, 2, 3])) for i in range(n)]
+    return [*rows_, ("a", base, 2**62, 1), ("a", base - HOUR, -(2**62), 2), ("hot", base - 5 * HOUR, 7, 4)]
+
+
+def test_no_span_has_more_rows_than_allowed(spark):
+    df = spark.createDataFrame(crowded(1), SCHEMA)
+    spanned = measured_span(df, ["k"], list(EVENT_ORDER), rows=7).collect()
+    assert sorted((r["k"] or "", r["event_micros"], r["sequence"]) for r in spanned) == sorted((r[0] or "", r[1], r[2]) for r in crowded(1))
+    sizes: dict = {}
+    for r in spanned:
+        sizes.setdefault((r["k"], tuple(r["_span"])), []).append((r["event_micros"], r["sequence"]))
+    assert max(map(len, sizes.values())) <= 7 and len(sizes) < len(spanned) / 1.2
+    # Spans of a key follow each other in the order of their rows.
+    for key in ("hot", None, "a"):
+        ends = [(min(v), max(v)) for (k, _), v in sorted(sizes.items(), key=lambda s: s[0][1]) if k == key]
+        assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+    whole = measured_span(df, ["k"], list(EVENT_ORDER), rows=1000)
+    assert dict(whole.dtypes)["_span"] == "bigint"
+
+
+def test_neighbours_of_a_crowded_hour(spark):
+    data = crowded(2)
+    df = spark.createDataFrame(data, SCHEMA)
+    window = W.partitionBy("k").orderBy(*EVENT_ORDER)
+    want = df.select("k", "sequence", F.lag("v").over(window).alias("previous"), F.lead("v").over(window).alias("next"))
+    got = neighbours(df, ["k"], "v", rows=5).select(*want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("how, strict, backwards", [("sum", True, False), ("max", False, True), ("sum", False, False)])
+def test_running_of_a_crowded_hour(spark, how, strict, backwards):
+    df = spark.createDataFrame(crowded(3), SCHEMA)
+    plain = running(df, ["k"], "event_micros", {"v": "total"}, how, strict, backwards)
+    cut = running(df, ["k"], "event_micros", {"v": "total"}, how, strict, backwards, rows=5)
+    assert sorted(map(str, cut.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_neighbours(spark, seed):
     data = skewed(seed)

@@ -12,7 +12,7 @@ from webtally.functions.dates import HOUR_MICROS, floor_div, local_second
 from webtally.functions.numbers import money, ratio, share_of_total
 from webtally.functions.params import flatten, in_days, named
 from webtally.functions.urls import without_query
-from webtally.operators.skew import event_order, running, with_span
+from webtally.operators.skew import event_order, measured_span, running, with_span
 
 # Microseconds of one span of the in-hour offset: a hot user's running total is cut into 360 pieces.
 OFFSET_SPAN = 10_000_000
@@ -202,10 +202,9 @@ def page_revenue_attribution(events: DataFrame, start, end) -> DataFrame:
         F.when(named("page_view"), without_query(F.col("page_location"))).alias("page"),
         F.when(named("purchase"), money(F.col("event_value_in_usd"))).alias("amount"),
     )
-    # One shuffle, by session and hour, serves everything up to the totals per session and page.
-    spread = with_span(
-        hits.filter(F.col("session_key").isNotNull() & (F.col("page").isNotNull() | F.col("amount").isNotNull()))
-    ).repartition("session_key", "_span")
+    # One shuffle, by session and span, serves everything up to the totals per session and page.
+    kept = hits.filter(F.col("session_key").isNotNull() & (F.col("page").isNotNull() | F.col("amount").isNotNull()))
+    spread = measured_span(kept, ["session_key"], ["event_micros"]).repartition("session_key", "_span")
     moments = spread.groupBy("session_key", "_span", "event_micros", "page").agg(
         F.count("page").alias("views"), F.sum("amount").alias("amount")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from webtally.functions.numbers import ratio
 from webtally.functions.params import flatten, in_days, named
 from webtally.functions.urls import page_path, tidy_url, without_query_and_fragment
-from webtally.operators.skew import EVENT_ORDER, event_order, neighbours, with_span
+from webtally.operators.skew import EVENT_ORDER, event_order, measured_span, neighbours
 
 ENTRANCE, EXIT = "(entrance)", "(exit)"
 
@@ -57,13 +57,14 @@ def navigation_steps(events: DataFrame, start, end, whole_session: bool = False)
             tidy_url(F.col("page_location")).alias("page"), tidy_url(F.col("page_referrer")).alias("referrer"),
         )
     )
+    spanned = measured_span(hits, ["session_key"], ["event_micros"])  # events of one time stay together
     if whole_session:
-        return _step_counts(with_span(hits).withColumn("state", F.lit(True)).select("session_key", *EVENT_ORDER, "_span", "page", "state"))
+        return _step_counts(spanned.withColumn("state", F.lit(True)).select("session_key", *EVENT_ORDER, "_span", "page", "state"))
     # Attributes in force: those of the last event at or before this time (events at one time are peers).
     at_or_before = W.partitionBy("session_key", "_span").orderBy("event_micros")
     in_force = F.max_by(F.struct("user_pseudo_id", *attributes), event_order()).over(at_or_before)
     state = F.struct(F.col("user_pseudo_id"), *[F.col(f"_state.{a}").alias(a) for a in attributes])
-    dressed = with_span(hits).withColumn("_state", in_force).select(
+    dressed = spanned.withColumn("_state", in_force).select(
         "session_key", *EVENT_ORDER, "_span", "page", state.alias("state")
     )
     return _step_counts(dressed)
