@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from webtally.functions.dates import between_dates
 from webtally.functions.fixed import ITEM_LIST_FIELDS, ITEM_NUMBER_FIELDS, ITEM_TEXT_FIELDS, PIVOT_EVENTS
 from webtally.functions.params import in_days
+from webtally.sources.writers import stored
 
 EVENT = ["user_pseudo_id", "event_timestamp", "event_name"]
 ITEM_FIELDS = ITEM_TEXT_FIELDS + [name for name, _ in ITEM_NUMBER_FIELDS] + ITEM_LIST_FIELDS
@@ -56,36 +57,44 @@ def flat_items(events: DataFrame, start, end) -> DataFrame:
     return rows.select(*EVENT, *_item_columns("p"))
 
 
-def flat_events(events: DataFrame, start, end) -> DataFrame:
-    """Every combination of an event's parameters, user properties and items, one row each.
+#: Shared triples up to this number, some ten megabytes, are sent to every task, so that no array is shuffled.
+FEW_TRIPLES = 100_000
+
+
+def flat_events(events: DataFrame, start, end, ordered: bool = False, few: int = FEW_TRIPLES) -> DataFrame:
+    """Every combination of an event's parameters, user properties and items, one row each; sorted if ``ordered``.
 
     Events are matched to their parts by (user, time, name), so events that share all three get each other's
-    parts too. A triple that one event has is exploded in place; the events of all others meet their parts, one
-    row each, in three joins, which spill where a triple has many. An event without a user, time or name matches
-    nothing and keeps one row without parts."""
+    parts too. The triples of several events are counted first, from three columns, and stored. All other events are
+    exploded in place; those of shared triples are stored and meet their parts, one row each, in three
+    joins, which spill where a triple has many. An event without a user, time or name matches nothing and keeps one row
+    without parts. So events are read three times, and arrays are shuffled only where there are more than ``few`` shared
+    triples (``few`` chooses the plan, never the result)."""
     rows = events.filter(in_days(start, end))
-    incomplete = F.lit(False)
+    complete = F.lit(True)
     for column in EVENT:
-        incomplete = incomplete | F.col(column).isNull()
-    complete = rows.filter(~incomplete).select(*EVENT, "event_params", "user_properties", "items")
-    shared = complete.groupBy(*EVENT).count().filter("count > 1").drop("count")
+        complete = complete & F.col(column).isNotNull()
+    shared = stored(rows.filter(complete).groupBy(*EVENT).count().filter("count > 1").drop("count"), "shared")
+    known = F.broadcast(shared) if shared.limit(few + 1).count() <= few else shared
+    arrays = ["event_params", "user_properties", "items"]
+    whole = rows.select(*EVENT, *[F.when(complete, F.col(a)).alias(a) for a in arrays])
     once = (
-        complete.join(shared, EVENT, "left_anti")
+        whole.join(known, EVENT, "left_anti")
         .select(*EVENT, F.explode_outer("event_params").alias("p"), "user_properties", "items")
         .select(*EVENT, *_param_columns("p"), F.explode_outer("user_properties").alias("u"), "items")
         .select(*EVENT, *_value_names("param"), *_property_columns("u"), F.explode_outer("items").alias("i"))
         .select(*EVENT, *_value_names("param"), *_value_names("user_property"), *_item_columns("i"))
     )
-    again = complete.join(shared, EVENT, "left_semi")
+    again = stored(rows.select(*EVENT, *arrays).join(known, EVENT, "left_semi"), "again")
     parts = {
         "event_params": _param_columns("p"), "user_properties": _property_columns("p"), "items": _item_columns("p"),
     }
     matched = again.select(*EVENT)
     for column, values in parts.items():
         matched = matched.join(again.select(*EVENT, F.explode(column).alias("p")).select(*EVENT, *values), EVENT, "left")
-    return once.unionByName(matched).unionByName(rows.filter(incomplete).select(*EVENT), allowMissingColumns=True).orderBy(
-        "user_pseudo_id", "event_timestamp", "event_name", "param_key", "user_property_key", "item_id"
-    )
+    flat = once.unionByName(matched)
+    order = ["user_pseudo_id", "event_timestamp", "event_name", "param_key", "user_property_key", "item_id"]
+    return flat.orderBy(*order) if ordered else flat
 
 
 def _value_names(kind: str) -> list[str]:
