@@ -43,7 +43,8 @@ def test_span_windows_share_their_shuffle(spark, folder, report, scans):
 
 
 @pytest.mark.parametrize("name, scans, exchanges", [
-    ("promo_users", 2, None), ("promo_funnel", 4, None), ("organic_query_value", 6, None),
+    ("promo_users", 3, None), ("promo_funnel", 5, None),  # the window's days twice: for its users, and for its views
+    ("organic_query_value", 6, None),
     ("promo_ctr", 1, 1), ("promo_touch_attribution", 1, 1), ("promo_user_journey", 1, 1), ("user_clv", 1, 2),
     ("promo_traffic_breakdown", 1, 2), ("promo_vs_non_promo", 1, 2),
 ])
@@ -58,5 +59,24 @@ def test_promotion_reports_read_and_shuffle_little(spark, folder, name, scans, e
         assert text.index("Expand") < text.index("FileScan") and text.count("HashAggregate") >= 4
 
 
-def test_flat_events_gathers_no_arrays(spark, folder):
-    assert "collect_list" not in plan(QUERIES["flat_events"](spark, folder))
+def test_flat_events_gathers_and_shuffles_no_arrays(spark, folder):
+    """Events are counted and the shared ones stored before; what is left reads the events once and sorts nothing."""
+    df = QUERIES["flat_events"](spark, folder)
+    text = plan(df)
+    assert "collect_list" not in text and "Sort [user_pseudo_id" not in text
+    assert len(re.findall(r"FileScan.*event_date", text)) == 1
+    assert not re.search(r"rangepartitioning", text)
+
+
+@pytest.mark.parametrize("name", ["promo_user_engagement", "promo_bounce", "promo_retention", "promo_funnel", "promo_users"])
+def test_recent_promotion_users_are_chosen_before_their_history_is_added_up(spark, folder, name):
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(QUERIES[name](spark, folder))
+    finally:
+        spark.conf.unset("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    semi = text.index("LeftSemi")
+    assert text.count("keys=[user_pseudo_id#", 0, semi) >= 2  # totals above the join
+    assert "might_contain" in text[semi:]  # other users end at the scan of their history

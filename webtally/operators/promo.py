@@ -27,10 +27,11 @@ def _recent(as_of, days: int) -> Column:
     return in_days(last - datetime.timedelta(days=days), last)
 
 
-def _user_totals(events: DataFrame, pattern: str, as_of, days: int) -> DataFrame:
+def _user_totals(hits: DataFrame, pattern: str) -> DataFrame:
+    """Totals of every user of ``hits`` (the flat view)."""
     promo = F.coalesce(is_promo(F.col("page_location"), pattern), F.lit(False))
     time = F.col("event_micros")
-    sessions = flatten(events).groupBy("user_pseudo_id", "session_id").agg(
+    sessions = hits.groupBy("user_pseudo_id", "session_id").agg(
         F.count("*").alias("events"),
         F.count_if(named("purchase")).alias("purchases"),
         F.sum(money(F.col("purchase_revenue"))).alias("revenue"),
@@ -39,15 +40,11 @@ def _user_totals(events: DataFrame, pattern: str, as_of, days: int) -> DataFrame
         F.count_if(promo).alias("promo_events"),
         F.count_if(promo & named("click")).alias("promo_clicks"),
         F.count_if(promo & named("page_view")).alias("promo_views"),
-        F.count_if(promo & named("page_view") & _recent(as_of, days)).alias("recent_promo_views"),
         F.min(time).alias("first_time"), F.max(time).alias("last_time"),
         F.min(F.when(promo, time)).alias("first_promo"), F.max(F.when(promo, time)).alias("last_promo"),
         F.min(F.when(named("purchase"), time)).alias("first_purchase"),
     )
-    added = [
-        "events", "purchases", "revenue", "bought", "not_engaged", "promo_events", "promo_clicks", "promo_views",
-        "recent_promo_views",
-    ]
+    added = ["events", "purchases", "revenue", "bought", "not_engaged", "promo_events", "promo_clicks", "promo_views"]
     return sessions.groupBy("user_pseudo_id").agg(
         F.count("session_id").alias("sessions"),
         F.count(F.when(F.col("purchases") > 0, F.col("session_id"))).alias("buying_sessions"),
@@ -69,17 +66,25 @@ def _by_user(events: DataFrame, pattern: str) -> DataFrame:
     )
 
 
+def _recent_hits(events: DataFrame, pattern: str, as_of, days: int) -> DataFrame:
+    return flatten(events.filter(_recent(as_of, days))).filter(
+        named("page_view") & is_promo(F.col("page_location"), pattern)
+    )
+
+
 def _promo_users(events: DataFrame, pattern: str, as_of, days: int) -> DataFrame:
-    """Totals of the users who viewed a promotion page in the last ``days`` days."""
-    totals = _user_totals(events, pattern, as_of, days)
-    return totals.filter(F.col("user_pseudo_id").isNotNull() & (F.col("recent_promo_views") > 0))
+    """Totals of the users who viewed a promotion page in the last ``days`` days.
+
+    The users come first, from the days of the window alone; their whole history is what the semi join leaves of all
+    events before anything of it is added up. Where the history is large, Spark turns the users into a Bloom filter at
+    run time, so that other users' events end at the scan and are not shuffled."""
+    chosen = _recent_hits(events, pattern, as_of, days).filter(F.col("user_pseudo_id").isNotNull()).select("user_pseudo_id")
+    return _user_totals(flatten(events).join(chosen, "user_pseudo_id", "left_semi"), pattern)
 
 
 def _recent_views(events: DataFrame, pattern: str, as_of, days: int) -> DataFrame:
     """Promotion page views of the last ``days`` days, one row each."""
-    return flatten(events.filter(_recent(as_of, days))).filter(
-        named("page_view") & is_promo(F.col("page_location"), pattern)
-    ).select(
+    return _recent_hits(events, pattern, as_of, days).select(
         "user_pseudo_id", "page_location", F.col("first_source").alias("source"), F.col("first_medium").alias("medium"),
         F.col("device_category").alias("device_type"), F.col("country").alias("user_country"),
         "event_micros", "sequence",

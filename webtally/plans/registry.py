@@ -12,8 +12,8 @@ from webtally.sources import testdata, writers
 YEAR = ("2024-01-01", "2024-12-31")
 # All days of the search and sales tables.
 OLD_YEARS = ("1995-01-01", "2001-12-31")
-# The promotion window leaves out most days and some users; the last of the monthly tables is that of the events.
-RECENT = {"as_of": "2024-01-20", "days": 2}
+# Promotion visitors of the 30 days before the last day of the events' month, which is the last of the monthly tables.
+RECENT = {"as_of": "2024-01-31", "days": 30}
 LAST_MONTH = "2024-01-31"
 
 Query = Callable[[SparkSession, str], DataFrame]
