@@ -139,3 +139,19 @@ def test_html_blocks_of_the_article(spark):
         "<div class=share>Share!</div></article><div class=related><article>an older story and one more</article></div>"
         f"<article class=comment>I don't like {i}</article></body>" for i in range(8)]
     assert texts_of(spark, pages) == {i: f"story {i}\n\ntold by {i}\n\nChart of {i}" for i in range(8)}
+
+
+def test_deep_nesting_takes_work_in_proportion():
+    """Keys of tokens don't spell their path, so neither they nor the search for an open tag grow with the depth."""
+    depth = 200_000
+    found = html.nodes("<div>" * depth + "text" + "</div>" * depth + "</p>" * 1000)
+    assert len(found) == 2 * depth + 1001 and max(len(n.key) for n in found) < 40
+    keys = [n.key for n in found]
+    assert keys[: depth + 1] != keys[1 : depth + 2] and len(set(keys[:depth])) == depth
+    assert keys[0] == " <div>" and keys[2 * depth] == " </div>"
+
+
+def test_names_end_at_capital_letters():
+    page = "<article><p>Body of it.</p></article><div class='userComments'><p>I say.</p></div>"
+    said = [n.state.others for n in html.nodes(page) if n.text == "I say."]
+    assert said[0]

@@ -66,6 +66,10 @@ HARD, SOFT, BLOCK = range(3)
 PAGE, MAIN, ARTICLE = range(3)
 
 
+#: Where a name changes from small to capital letters, as in ``userComments``.
+CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
+
+
 class State(NamedTuple):
     """What the containers that are open tell: the zone, how many elements of something else are around it, and those
     (kind, number on the page) that are open in it."""
@@ -89,15 +93,23 @@ def nodes(page: str) -> list[Node]:
     that is open is passed over. An article that opens in a container which isn't its host's article area ends it only
     if that is itself unclosed, so a forgotten closing tag before the article doesn't swallow it."""
     out: list[Node] = []
-    stack: list[tuple[str, State]] = []
+    stack: list[tuple[str, State, str]] = []  # tag, state, digest of the path
+    opened: Counter[str] = Counter()
     outside = State()
     closing = Counter(m["tag"].lower() for m in TOKEN.finditer(page) if m["close"])
 
+    def path() -> str:
+        return stack[-1][2] if stack else ""
+
+    def leave() -> str:
+        tag = stack.pop()[0]
+        opened[tag] -= 1
+        return tag
+
     def text(part: str) -> None:
         state = stack[-1][1] if stack else outside
         if part and not part.isspace():
-            path = "/".join(s[0] for s in stack)
-            out.append(Node(f"{path} {' '.join(part.split())}", part, False, state))
+            out.append(Node(f"{path()} {' '.join(part.split())}", part, False, state))
         elif part:
             out.append(Node("", " ", False, state))
 
@@ -110,19 +122,19 @@ def nodes(page: str) -> list[Node]:
             continue
         if m["close"]:
             closing[tag] -= 1
-            if tag in CONTAINERS and any(s[0] == tag for s in stack):
-                while stack.pop()[0] != tag:
+            if tag in CONTAINERS and opened[tag]:
+                while leave() != tag:
                     pass
-            out.append(Node(f"{'/'.join(s[0] for s in stack)} </{tag}>", None, tag not in INLINE, stack[-1][1] if stack else outside))
+            out.append(Node(f"{path()} </{tag}>", None, tag not in INLINE, stack[-1][1] if stack else outside))
             continue
         if tag in MAIN_TAGS:
             while stack and stack[-1][1].others and closing[stack[-1][0]] <= 0:
-                stack.pop()
+                leave()
         state = stack[-1][1] if stack else outside
         attributes = m["attributes"]
-        out.append(Node(f"{'/'.join(s[0] for s in stack)} <{tag}>", " " if tag == "br" else None, tag not in INLINE, state))
+        out.append(Node(f"{path()} <{tag}>", " " if tag == "br" else None, tag not in INLINE, state))
         if tag in CONTAINERS and tag not in VOID and not attributes.endswith("/"):
-            names = {w for g in NAMED.findall(attributes) for w in WORD.findall("".join(g).lower())}
+            names = {w for g in NAMED.findall(attributes) for w in WORD.findall(CASE.sub(" ", "".join(g)).lower())}
             heads_article = {"header"} if state.zone else set()  # what an article calls its header holds its heading
             words = names & OTHER_WORDS - heads_article
             zone = ARTICLE if tag == "article" else MAIN if tag == "main" or "main" in names and tag in ("div", "section") and not words else PAGE
@@ -135,7 +147,8 @@ def nodes(page: str) -> list[Node]:
                     kind = BLOCK if within and words and words <= ARTICLE_WORDS and tag not in WRAPPER_TAGS else SOFT
                 if kind is not None:
                     state = state._replace(others=(*state.others, (kind, len(out))))
-            stack.append((tag, state))
+            stack.append((tag, state, xxhash.xxh3_64_hexdigest(f"{path()}/{tag}")))
+            opened[tag] += 1
     text(page[at:])
     return out
 
