@@ -3,6 +3,14 @@
 # Pages and search keywords that count as promotional.
 PROMO_PATTERN = r"(?i)\b(promo|offer|discount|deal|sale|coupon)\b"
 
+# What is removed from a URL, in this order, and what is left in its place.
+URL_PARTS = {
+    "parameters": [(r"\?.*$|#.*", "")],
+    "protocol": [(r"^(https?://|ftp://)", "")],
+    "domain": [(r"^(https?://|ftp://)?[^/]+/", "/")],
+    "all": [(r"\?.*$|#.*", ""), (r"^(https?://|ftp://)", ""), (r"^[^/]+/", "/")],
+}
+
 # Traffic categories of a source name.
 SEARCH_SOURCES = ["google", "bing", "yahoo"]
 SOCIAL_SOURCES = ["facebook", "instagram", "twitter"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from webtally.functions.fixed import PROMO_PATTERN
+from webtally.functions import fixed
 
 
 def join_text(*parts: Column, separator: str = "") -> Column:
@@ -34,19 +34,14 @@ def tidy_url(url: Column) -> Column:
 
 
 def transform_url(url: Column, part: str) -> Column:
-    """Strip ``parameters``, ``protocol``, ``domain`` or ``all`` of them; NULL for any other name."""
-    bare = F.regexp_replace(url, r"\?.*$|#.*", "")
-    if part == "parameters":
-        return bare
-    if part == "protocol":
-        return F.regexp_replace(url, r"^(https?://|ftp://)", "")
-    if part == "domain":
-        return F.regexp_replace(url, r"^(https?://|ftp://)?[^/]+/", "/")
-    if part == "all":
-        return F.regexp_replace(F.regexp_replace(bare, r"^(https?://|ftp://)", ""), r"^[^/]+/", "/")
-    return F.lit(None).cast("string")
-
-
-def is_promo(text: Column, pattern: str = PROMO_PATTERN) -> Column:
+    """``url`` without its ``parameters``, ``protocol``, ``domain`` or ``all`` of them; NULL for any other name."""
+    if part not in fixed.URL_PARTS:
+        return F.lit(None).cast("string")
+    for pattern, left in fixed.URL_PARTS[part]:
+        url = F.regexp_replace(url, pattern, left)
+    return url
+
+
+def is_promo(text: Column, pattern: str = fixed.PROMO_PATTERN) -> Column:
     """True when the text names a promotion; NULL for NULL text."""
     return text.rlike(pattern)
