@@ -80,3 +80,9 @@ def test_recent_promotion_users_are_chosen_before_their_history_is_added_up(spar
     semi = text.index("LeftSemi")
     assert text.count("keys=[user_pseudo_id#", 0, semi) >= 2  # totals above the join
     assert "might_contain" in text[semi:]  # other users end at the scan of their history
+
+
+@pytest.mark.parametrize("name", ["attribution_time_decay", "attribution_time_decay_before"])
+def test_time_decay_reads_interactions_once_beside_stored_purchases(spark, folder, name):
+    text = plan(QUERIES[name](spark, folder))
+    assert len(re.findall(r"FileScan.*event_date", text)) == 1 and len(re.findall("FileScan", text)) == 2

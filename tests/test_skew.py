@@ -121,11 +121,13 @@ def random_session(seed: int, users: int, n: int) -> list[dict]:
 
 
 @pytest.mark.parametrize("only_before", [False, True])
-@pytest.mark.parametrize("half_life, few", [(24, 32), (5, 32), (24, 0), (5, 10), (24, 1000), (0.5, 0), (1, 0), (4, 0), (168, 0)])
-def test_time_decay_equals_all_pairs(spark, half_life, few, only_before):
+@pytest.mark.parametrize("half_life, fold, span_rows", [
+    (24, 32, 10**6), (24, 0, 10**6), (24, 10, 9), (24, 1000, 10**6), (0.5, 0, 10**6), (0.5, 0, 9), (0.5, 1000, 9), (168, 0, 40),
+])
+def test_time_decay_equals_all_pairs(spark, half_life, fold, span_rows, only_before):
     data = random_session(1, 3, 220)
     span = ("2018-01-01", "2024-12-31") if half_life < 24 else DAY
-    report = attribution_time_decay(events(spark, data), *span, half_life, only_before, few)
+    report = attribution_time_decay(events(spark, data), *span, half_life, only_before, fold, span_rows)
     got = {r["utm_source"]: r["total_attributed_value"] for r in report.collect()}
 
     def param(row, key, slot):
@@ -157,6 +159,21 @@ def test_time_decay_of_any_number_of_purchases(spark, purchases, half_life):
     assert [r["total_attributed_value"] for r in got] == ([pytest.approx(want, rel=1e-9)] if purchases else [])
 
 
+@pytest.mark.parametrize("fold", [0, 32])
+def test_time_decay_lists_no_interaction_without_purchase(spark, fold):
+    """Of interactions before only, those after the last purchase give no row, also within its hour."""
+    start = 1_733_000_400_000_000
+    data = [event("u", start + HOUR + 5, "purchase", 1, {"value": 8.0})] + [
+        view("u", start + t, "https://x.y/a", params={"utm_source": name})
+        for t, name in [(HOUR + 6, "after"), (HOUR + 5, "at"), (HOUR + 4, "hour"), (6, "day"), (4, "day"), (9 * HOUR, "late")]
+    ]
+    got = attribution_time_decay(events(spark, data), "2018-01-01", "2024-12-31", 1, True, fold).collect()
+    assert {r["utm_source"]: r["total_attributed_value"] for r in got} == {"at": 8.0, "hour": 8.0, "day": 12.0}
+    both = attribution_time_decay(events(spark, data), "2018-01-01", "2024-12-31", 1, False, fold).collect()
+    assert {r["utm_source"]: r["total_attributed_value"] for r in both} == {
+        "after": 8.0, "at": 8.0, "hour": 8.0, "day": 12.0, "late": 8.0 * 2**7}
+
+
 def test_page_revenue_equals_all_pairs(spark):
     data = random_session(2, 2, 260)
     got = {r["page_location"]: (r["views"], r["purchase_influence"], r["page_revenue"]) for r in page_revenue_attribution(events(spark, data), *DAY).collect()}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from webtally.functions import fixed
@@ -12,10 +10,11 @@ from webtally.functions.dates import HOUR_MICROS, floor_div, local_second
 from webtally.functions.numbers import money, ratio, share_of_total
 from webtally.functions.params import flatten, in_days, named
 from webtally.functions.urls import without_query
-from webtally.operators.skew import event_order, measured_span, running, with_span
+from webtally.operators.skew import SPAN_ROWS, event_order, measured_span, running
+from webtally.sources.writers import stored
 
-# Microseconds of one span of the in-hour offset: a hot user's running total is cut into 360 pieces.
-OFFSET_SPAN = 10_000_000
+# Levels of the groups of time decay that are no binary digit.
+SAME_HOUR, OUTSIDE = -2, -1
 
 UTM = ["utm_source", "utm_medium", "utm_campaign"]
 
@@ -75,42 +74,46 @@ def attribution_linear(events: DataFrame, start, end) -> DataFrame:
 
 
 def attribution_time_decay(
-    events: DataFrame, start, end, half_life_hours: float = 24, only_before: bool = False, few: int = 32,
+    events: DataFrame, start, end, half_life_hours: float = 24, only_before: bool = False, fold: int = 32,
+    span_rows: int = SPAN_ROWS,
 ) -> DataFrame:
     """Purchase value times 0.5 ^ (whole hours from interaction to purchase / half life), summed over every
     interaction and every purchase of a user, per UTM values. An interaction after the purchase counts too,
     with a weight above one, unless ``only_before`` is set; one at the same time counts in both cases.
 
-    No row is made for a pair. A buyer with at most ``few`` purchases carries them as one short array, which
-    each of the user's interactions folds into its credit; ``_frequent_buyers`` gives the same for more frequent
-    buyers from running totals (``few`` chooses the plan, never the result)."""
-    moment = ["event_micros", "sequence"]
+    No row is made for a pair. Purchases are stored and counted per buyer. A buyer with at most ``fold`` of them carries
+    them as one short array, which each of the user's interactions folds into its credit; for the others, if there are
+    any, ``_frequent_buyers`` gives the same from sums (``fold`` and ``span_rows`` choose the plan, never the result).
+    So events are read twice, or three times where there are such buyers."""
     known = flatten(events.filter(in_days(start, end))).filter(F.col("user_pseudo_id").isNotNull()).select(
         F.col("user_pseudo_id").alias("user"), F.struct(*UTM).alias("utm"), "event_name",
-        F.when(named("purchase"), F.col("summed_value").cast("double")).alias("amount"), *moment,
+        floor_div(F.col("event_micros"), HOUR_MICROS).alias("hour"),
+        F.pmod("event_micros", F.lit(HOUR_MICROS).cast("bigint")).alias("place"),
+        F.when(named("purchase"), F.col("summed_value").cast("double")).alias("amount"),
     )
-    bought = F.col("amount") > 0
-    touches = known.filter(named(*fixed.TOUCH_EVENTS)).select("user", "utm", "event_micros")
-    purchases = known.filter(named("purchase") & bought).select("user", "amount", *moment)
-    nth = F.row_number().over(W.partitionBy("user").orderBy(*moment))
-    buyers = purchases.withColumn("nth", nth).filter(F.col("nth") <= few + 1).groupBy("user").agg(
-        F.collect_list(F.struct("event_micros", "amount")).alias("purchases")
+    touches = known.filter(named(*fixed.TOUCH_EVENTS)).select("user", "utm", "hour", "place")
+    purchases = stored(known.filter(F.col("amount") > 0).select("user", "hour", "place", "amount"), "purchases")
+    buyers = purchases.groupBy("user").agg(
+        F.count("*").alias("n"), F.min("hour").alias("first_hour"), F.max("hour").alias("last_hour")
     )
-    frequent = F.size("purchases") > few
-    matched = touches.join(buyers, "user")
-    late = "WHEN p.event_micros < event_micros THEN total " if only_before else ""
+    frequent = buyers.filter(F.col("n") > fold).drop("n")
+    some = not frequent.isEmpty()
+    few = purchases.join(frequent, "user", "left_anti") if some else purchases
+    lists = few.groupBy("user").agg(F.collect_list(F.struct("hour", "place", "amount")).alias("purchases"))
+    later = "p.hour > hour OR p.hour = hour AND p.place >= place"
+    # Whole hours between, cut towards zero.
+    hours = f"p.hour - hour + CASE WHEN {later} THEN IF(p.place < place, -1, 0) ELSE IF(p.place > place, 1, 0) END"
     credit = F.expr(
-        f"aggregate(purchases, 0D, (total, p) -> CASE {late}WHEN true THEN total + p.amount * power(0.5D, "
-        f"((p.event_micros - event_micros) DIV {HOUR_MICROS}) / {float(half_life_hours)}D) END)"
-    )
-    # Both sides of frequent buyers.
-    theirs = matched.filter(frequent).select("user", "utm", F.lit(None).cast("double").alias("amount"), "event_micros")
-    spent = purchases.join(buyers.filter(frequent).select("user"), "user", "left_semi").select(
-        "user", F.lit(None).cast(touches.schema["utm"].dataType).alias("utm"), "amount", "event_micros"
-    )
-    parts = matched.filter(~frequent).select("utm", credit.alias("part")).unionByName(
-        _frequent_buyers(theirs.unionByName(spent), start, end, half_life_hours, only_before)
+        f"aggregate({f'filter(purchases, p -> {later})' if only_before else 'purchases'}, CAST(NULL AS DOUBLE), (total, p) -> "
+        f"coalesce(total, 0D) + p.amount * power(0.5D, ({hours}) / {float(half_life_hours)}D))"
     )
+    parts = touches.join(lists, "user").select("utm", credit.alias("part")).filter("part IS NOT NULL")
+    if some:
+        rows = touches.withColumn("amount", F.lit(None).cast("double")).unionByName(
+            purchases.withColumn("utm", F.lit(None).cast(touches.schema["utm"].dataType))
+        )
+        theirs = stored(rows.join(frequent, "user"), "frequent")
+        parts = parts.unionByName(_frequent_buyers(theirs, half_life_hours, only_before, span_rows))
     return (
         parts.groupBy(*[F.col(f"utm.{c}").alias(c) for c in UTM])
         .agg(F.sum("part").alias("total_attributed_value"))
@@ -118,78 +121,83 @@ def attribution_time_decay(
     )
 
 
-def _frequent_buyers(hits: DataFrame, start, end, half_life_hours: float, only_before: bool) -> DataFrame:
+def _frequent_buyers(theirs: DataFrame, half_life_hours: float, only_before: bool, span_rows: int) -> DataFrame:
     """Time-decay credit (``utm``, ``part``) of users with many purchases; rows with an ``amount`` are purchases.
 
-    With times written as hour and offset in the hour, the whole hours between purchase (a, p) and interaction
-    (b, q) are none if a = b, a - b if a > b, less one when p < q, and a - b if a < b, plus one when p > q.
-
-    Two hours differ first at one binary digit, which splits the pairs by that digit: among rows of a user with
-    equal higher digits, purchases with one value of the digit meet interactions with the other. All these pairs
-    together are a product of two sums, and those that the offsets correct are a running total. Both weigh times
-    from the edge between the two halves, so no weight is larger than one where purchases are the later ones, nor
-    larger than the weight of a true pair elsewhere. Rows are copied once per digit (14 for a year)."""
-    first = datetime.date.fromisoformat(str(start))
-    hours = 24 * ((datetime.date.fromisoformat(str(end)) - first).days + 1)
-    digits = max((hours - 1).bit_length(), 1)
-    origin = (first - datetime.date(1970, 1, 1)).days * 24
-    group = ["user", "level", "block", "later"]
-    bought = F.col("amount").isNotNull()
-
-    def decay(hours_between: Column) -> Column:
-        return F.pow(F.lit(0.5), hours_between / half_life_hours)
-
-    timed = hits.select(
-        "user", "utm", "amount", (floor_div(F.col("event_micros"), HOUR_MICROS) - origin).alias("hour"),
-        F.pmod("event_micros", F.lit(HOUR_MICROS).cast("bigint")).alias("offset"),
+    ``_meetings`` says in which groups a row takes part, so that each pair meets in one group, whose purchases all lie on
+    one side of its ``edge``. With purchase and interaction at hours a, b and places p, q in the hour, the hours between
+    them are
+
+    - a - b, less one if p < q, where the purchase is in a later hour;
+    - a - b + 1, less one if p <= q, where it is in an earlier one;
+    - none in the same hour, where the pair counts if p >= q or not ``only_before``.
+
+    So the credit of a group is a product of two sums, and for the condition on p and q a decayed running total. Purchases
+    are weighed from the edge on and interactions up to it: no weight exceeds one where purchases are later, nor the weight
+    of a true pair elsewhere, and sums are never subtracted, so the result is finite where the true terms are."""
+    def decay(hours: Column) -> Column:
+        return F.pow(F.lit(0.5), hours / half_life_hours)
+
+    group = ["user", "level", "edge", "later"]
+    met = theirs.withColumn("meeting", F.explode(_meetings())).select("user", "utm", "amount", "hour", "place", "meeting.*")
+    if only_before:
+        met = met.filter("later")
+    same = F.col("level") == SAME_HOUR
+    weighted = met.select(
+        *group, "utm", "hour",
+        (F.col("amount") * decay(F.col("hour") - F.col("edge") + F.when(F.col("later"), 0).otherwise(1))).alias("bought"),
+        F.when(F.col("amount").isNull(), decay(F.col("edge") - F.col("hour"))).alias("touched"),
+        # Purchases that the condition is true of have a smaller position than the interaction.
+        (F.when(same, -F.col("place")).otherwise(F.col("place"))
+         - F.when(F.col("amount").isNotNull() & (same | ~F.col("later")), 1).otherwise(0)).alias("position"),
     )
-    # ``digit`` is the binary digit of the hour at ``level``, ``block`` the digits above it, ``edge`` the first hour
-    # of the block's upper half, and ``later`` says whether the pairs have the purchase in that half.
-    size = F.pow(F.lit(2), F.col("level")).cast("bigint")
-    copies = timed.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(digits - 1)))).withColumn(
-        "digit", F.pmod(floor_by(F.col("hour"), size), F.lit(2).cast("bigint"))
+    spread = measured_span(weighted, group, ["position"], rows=span_rows).repartition(*group, "_span")
+    products = spread.filter(~same) if only_before else spread
+    sums = products.groupBy(*group, "utm").agg(F.sum("bought").alias("bought"), F.sum("touched").alias("touched"))
+    total = F.max("bought").over(W.partitionBy(*group))  # of the one row of purchases
+    product = sums.withColumn("bought", total).filter("utm IS NOT NULL AND bought IS NOT NULL").select(
+        "utm", (F.col("bought") * F.col("touched")).alias("part")
     )
-    later = bought == (F.col("digit") == 1)
-    spread = with_span(
-        copies.select(
-            "user", "level", floor_by(F.col("hour"), size * 2).alias("block"), later.alias("later"), "utm", "hour", "amount",
-            F.when(later, F.col("offset")).otherwise(HOUR_MICROS - F.col("offset")).alias("position"),
-        ).filter(F.col("later") if only_before else F.lit(True)),
-        "position", OFFSET_SPAN,
-    ).repartition(*group, "_span")
-    edge = F.col("block") * size * 2 + size
-    weighted = spread.withColumn("purchase_weight", F.col("amount") * decay(F.col("hour") - edge)).drop("amount")
-    touch_weight = F.when(F.col("purchase_weight").isNull(), decay(edge - F.col("hour")))
-    product = _product(weighted.withColumn("touch_weight", touch_weight), group)
-    touched = running(weighted, group, "position", {"purchase_weight": "earlier"}, span="_span").filter(
-        F.col("purchase_weight").isNull() & F.col("earlier").isNotNull()
+    ordered = spread if only_before else spread.filter(~same)
+    rest = running(ordered, group, "position", {"bought": "smaller"}, span="_span").filter(
+        "utm IS NOT NULL AND smaller IS NOT NULL"
     )
-    step = decay(F.when(F.col("later"), F.lit(-1)).otherwise(F.lit(1))) - 1
-    corrections = touched.select("utm", (F.col("earlier") * decay(edge - F.col("hour")) * step).alias("part"))
-    if only_before:
-        offset = with_span(timed, "offset", OFFSET_SPAN).repartition("user", "hour", "_span")
-        same = running(
-            offset, ["user", "hour"], "offset", {"amount": "left"}, strict=False, backwards=True, span="_span"
-        ).filter(~bought & F.col("left").isNotNull()).select("utm", F.col("left").alias("part"))
-    else:
-        alike = timed.select("user", "hour", "utm", F.col("amount").alias("purchase_weight"), F.when(~bought, 1.0).alias("touch_weight"))
-        same = _product(alike, ["user", "hour"])
-    return product.unionByName(corrections).unionByName(same)
-
-
-def _product(weighted: DataFrame, group: list[str]) -> DataFrame:
-    """Sum of ``touch_weight`` per UTM values times the sum of ``purchase_weight``, in each group."""
-    sums = weighted.groupBy(*group, "utm").agg(
-        F.sum("purchase_weight").alias("purchase_weight"), F.sum("touch_weight").alias("touch_weight")
+    hour_more = decay(F.col("edge") - F.col("hour") - 1) - F.col("touched")
+    return product.unionByName(
+        rest.select("utm", (F.col("smaller") * F.when(same, F.col("touched")).otherwise(hour_more)).alias("part"))
     )
-    total = F.max("purchase_weight").over(W.partitionBy(*group))
-    return sums.withColumn("purchase_weight", total).filter(
-        F.col("utm").isNotNull() & F.col("purchase_weight").isNotNull()
-    ).select("utm", (F.col("purchase_weight") * F.col("touch_weight")).alias("part"))
 
 
-def floor_by(number: Column, size: Column) -> Column:
-    return ((number - F.pmod(number, size)) / size).cast("bigint")
+def _meetings() -> Column:
+    """Groups (``level``, ``edge``, ``later``) in which a row of a buyer takes part: ``later`` ones have purchases from the
+    hour ``edge`` on and interactions before it, the others the reverse; at level ``SAME_HOUR`` both are in that hour.
+
+    Interactions before the buyer's first purchase hour or after the last one meet all purchases in one group, those
+    between them by the first binary digit in which two hours, counted from the first, differ: the digits above it and
+    its place give the group. So an interaction takes part once where it is outside, and inside once for each digit that
+    the buyer's own span has (none for a single purchase, 14 for a year of them); purchases are in two groups more."""
+    bought, hour = F.col("amount").isNotNull(), F.col("hour")
+    first, last = F.col("first_hour"), F.col("last_hour")
+
+    def meeting(level: Column, edge: Column, later: Column) -> Column:
+        return F.struct(level.cast("int").alias("level"), edge.alias("edge"), later.alias("later"))
+
+    def at(level: Column) -> Column:
+        half = F.pow(F.lit(2.0), level).cast("bigint")
+        above = F.pmod(hour - first, half * 2)
+        return meeting(level, hour - above + half, bought == (above >= half))
+
+    before = meeting(F.lit(OUTSIDE), first, F.lit(True))
+    after = meeting(F.lit(OUTSIDE), last + 1, F.lit(False))
+    digits = F.when(last > first, F.length(F.bin(last - first))).otherwise(0)
+    inside = F.concat(
+        F.array(meeting(F.lit(SAME_HOUR), hour, F.lit(True))),
+        F.transform(F.filter(F.sequence(F.lit(0), digits), lambda level: level < digits), at),
+    )
+    return (
+        F.when(bought, F.concat(inside, F.array(before, after)))
+        .when(hour < first, F.array(before)).when(hour > last, F.array(after)).otherwise(inside)
+    )
 
 
 def page_revenue_attribution(events: DataFrame, start, end) -> DataFrame:

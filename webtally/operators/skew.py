@@ -30,10 +30,6 @@ SPAN_ROWS = 1_000_000
 FAN = 64
 
 
-def with_span(df: DataFrame, order: str = "event_micros", size: int = HOUR_MICROS, name: str = "_span") -> DataFrame:
-    return df.withColumn(name, floor_div(F.col(order), size))
-
-
 def _digits(order: list[str], size: int) -> Iterator[Column]:
     """Places within a span, coarse to fine: of the first order column down to single values, then of the next one, whose
     range isn't known, from all longs on."""
