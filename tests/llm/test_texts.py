@@ -141,6 +141,34 @@ def test_plan_uses_every_piece_once():
     assert packing.plan(np.zeros(11, int), 10) == []
 
 
+@pytest.mark.parametrize("times", [1, 100])
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_program_meets_its_bound_within_a_percent(spark, folder, times):
+    """The fractions cover the histogram but for a rest, no price set is worth more than they take, and the plan is near."""
+    texts = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet")
+    counts = np.zeros(2049, int)
+    for r in packing.pieces(texts, JSON, 2048).groupBy("length").count().collect():
+        counts[r["length"]] = r["count"] * times
+    used, bound = packing.program(counts, 2048)
+    covered = np.zeros(2049)
+    for need, share in used.items():
+        assert sum(length * n for length, n in need) <= 2048
+        for length, n in need:
+            covered[length] += n * share
+    tokens = counts @ np.arange(2049)
+    assert (covered <= counts * (1 + 1e-9)).all() and (counts - covered) @ np.arange(2049) < 0.002 * tokens
+    assert bound >= tokens / 2048 * (1 - 1e-9) and sum(used.values()) <= 1.002 * bound
+    assert bound <= sum(n for _, n in packing.plan(counts, 2048)) <= 1.01 * bound + 1
+
+
+def test_bound_of_the_program_exceeds_the_sizes_where_pieces_do_not_share():
+    counts = np.zeros(101, int)
+    counts[60] = 50  # two don't fit together
+    used, bound = packing.program(counts, 100)
+    assert bound == pytest.approx(50) and sum(used.values()) == pytest.approx(50, rel=2e-3)
+    assert sum(n for _, n in packing.plan(counts, 100)) == 50
+
+
 # Quality classifier
 
 def test_op4_separates_held_out_rows(spark):

@@ -3,9 +3,11 @@
 Documents become pieces of at most ``capacity`` tokens. How many pieces of each length there are fits on the driver (at
 most ``capacity`` numbers), and a configuration says how many pieces of each length share a sequence. The linear program
 "as few configurations as cover the histogram" is solved by multiplicative weights: a length that lags behind the others
-in coverage becomes worth exponentially more than its size, and a knapsack by dynamic programming finds the configuration
-worth most. Its fractions are rounded down; the rest is packed best fit, largest first. Rows are then numbered within
-their length in parallel and looked up in the plan."""
+in coverage becomes worth exponentially more than its size, and a knapsack by dynamic programming prices configurations:
+its table gives, for every length, the best one with a piece of that length. All that are worth nearly as much as the best
+are used a little in each round, until all tokens but a stated share are covered; the prices also give a lower bound.
+The program's fractions are rounded down; what is left then is packed best fit, largest first. Rows are then numbered
+within their length in parallel and looked up in the plan."""
 
 from __future__ import annotations
 
@@ -52,8 +54,9 @@ def pieces(df: DataFrame, path: str, capacity: int, end_id: int = 0, with_ids: b
     return df.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def best_configuration(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:
-    """Indices into ``sizes`` (ascending), with repetition, of the items worth most that fit into ``capacity``."""
+def knapsack(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room up to ``capacity``: the most that items of ``sizes`` (ascending, each any number of times) in it can
+    be worth, and the last item put in (an index into ``sizes``; -1: none, as one token less is worth as much)."""
     best = np.zeros(capacity + 1)
     last = np.full(capacity + 1, -1)
     fit = np.searchsorted(sizes, np.arange(capacity + 1), "right")
@@ -64,47 +67,66 @@ def best_configuration(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> n
             k = int(value.argmax())
             if value[k] > best[c]:
                 best[c], last[c] = value[k], k
-    chosen, c = [], capacity
-    while c > 0:
-        if last[c] < 0:
-            c -= 1
-        else:
-            chosen.append(last[c])
-            c -= sizes[last[c]]
-    return np.array(chosen, dtype=np.int64)
+    return best, last
 
 
-def plan(counts: np.ndarray, capacity: int, rounds: int = 400, rate: float = 0.3) -> list[tuple[dict[int, int], int]]:
-    """Configurations (how many pieces of each length) and how often to use each, for ``counts`` pieces of each length
-    0 to ``capacity``: the rounded linear program, or best fit alone should that ever take fewer sequences. The number of
-    steps depends on the number of lengths, not on the number of pieces."""
-    tries = [rounded(counts, capacity, rounds, rate), rounded(counts, capacity, 0, rate)]
-    return min(tries, key=lambda t: sum(times for _, times in t))
-
+def program(
+    counts: np.ndarray, capacity: int, rounds: int = 250, rate: float = 0.1, step: float = 0.02, tolerance: float = 0.001,
+) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
+    """The linear program: configurations, as (length, number) pairs, with how often each is used, and a lower bound of
+    what any packing takes.
 
-def rounded(counts: np.ndarray, capacity: int, rounds: int, rate: float) -> list[tuple[dict[int, int], int]]:
+    In each round a configuration whose worth is within ``tolerance`` of the best covers at most ``step`` of the length
+    that it was priced for, and never more pieces than are left. It ends when pieces with at most ``tolerance`` of all
+    tokens are left, or after ``rounds``. So its size follows the number of lengths, not of pieces: at most 1 / ``step``
+    configurations for each, and some that end a length. The bound is the best of the rounds' dual solutions: prices
+    divided by what the best configuration is worth."""
+    every = np.arange(capacity + 1)
     left = counts.astype(np.float64)
     total = np.maximum(left, 1)
-    used: list[tuple[np.ndarray, np.ndarray, float]] = []
+    used: dict[tuple[tuple[int, int], ...], float] = {}
+    bound = 0.0
     for _ in range(rounds):
-        # A length takes part while a configuration full of it could still be used.
-        sizes = np.flatnonzero((left >= capacity // np.maximum(np.arange(capacity + 1), 1)) & (np.arange(capacity + 1) > 0))
-        if not len(sizes):
+        sizes = np.flatnonzero(left > 1e-9)
+        if left @ every <= tolerance * (counts @ every):
             break
         lag = (left / total)[sizes]
         worth = sizes / capacity * np.exp(rate * (lag - lag.max()))
-        chosen = sizes[best_configuration(sizes, worth, capacity)]
-        lengths, each = np.unique(chosen, return_counts=True)
-        times = (left[lengths] / each).min() / 2 if (left[lengths] > 4 * each).all() else (left[lengths] // each).min()
-        used.append((lengths, each, times))
-        left[lengths] -= each * times
+        best, last = knapsack(sizes, worth, capacity)
+        bound = max(bound, float(worth @ counts[sizes] / best[capacity]))
+        near = worth + best[capacity - sizes] >= (1 - tolerance) * best[capacity]
+        for i in np.argsort(-lag, kind="stable"):
+            if not near[i]:
+                continue
+            need = {int(sizes[i]): 1}
+            room = capacity - int(sizes[i])
+            while room > 0:
+                if last[room] < 0:
+                    room -= 1
+                    continue
+                length = int(sizes[last[room]])
+                need[length] = need.get(length, 0) + 1
+                room -= length
+            times = min(step * total[sizes[i]], *(left[length] / n for length, n in need.items()))
+            if times > 1e-9:
+                key = tuple(sorted(need.items()))
+                used[key] = used.get(key, 0) + times
+                for length, n in need.items():
+                    left[length] -= n * times
+    return used, bound
+
+
+def plan(counts: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Configurations (how many pieces of each length) and how often to use each, for ``counts`` pieces of each length
+    0 to ``capacity``: the program's rounded down, and best fit, largest first, for what they leave."""
     out: list[tuple[dict[int, int], int]] = []
     rest = counts.astype(np.int64).copy()
-    for lengths, each, times in used:  # rounding
-        if n := int(times):
-            out.append((dict(zip(lengths.tolist(), each.tolist(), strict=True)), n))
-            rest[lengths] -= each * n
-    while len(there := np.flatnonzero(rest)):  # best fit, largest first
+    for key, share in program(counts, capacity)[0].items():
+        if times := min(int(share + 1e-6), *(int(rest[length]) // n for length, n in key)):
+            out.append((dict(key), times))
+            for length, n in key:
+                rest[length] -= n * times
+    while len(there := np.flatnonzero(rest)):  # best fit
         need: dict[int, int] = {}
         room = capacity
         while (k := int(np.searchsorted(there, room, "right")) - 1) >= 0:
