@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -327,6 +328,20 @@ def test_op9_equals_brute_force(spark, folder, monkeypatch, split):
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-9)
 
 
+def test_katz_keeps_words_with_control_characters_apart(spark):
+    texts = ["a\0b x", "a\1b x", "a\0b", "\0", "\0\0", "", None, "a\1b a\0b"]
+    ids = [i for i in range(1, 100) if zlib.crc32(str(i).encode()) % 10][: len(texts)]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in katz.score(df).collect()}
+    words = [w for t in texts for w in (t or "").split(" ") if w]
+    count = lambda w: len(texts) if w is None else words.count(w)
+    total, distinct = len(words) + len(texts), len(set(words)) + 1
+    for i, text in zip(ids, texts, strict=True):
+        tokens = [*filter(None, (text or "").split(" ")), None]
+        assert got[i]["n_tokens"] == got[i]["n_known"] == len(tokens) and got[i]["train_tokens"] == total
+        assert got[i]["base_score"] == pytest.approx(sum(math.log10((count(w) + 0.1) / (total + 0.1 * (distinct + 1))) for w in tokens))
+
+
 def test_katz_of_odd_tables(spark):
     texts = [*ODD, "A b\0c", "a B", "a b"]
     df = documents(spark, texts).withColumnRenamed("lang", "score")

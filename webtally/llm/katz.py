@@ -68,8 +68,12 @@ def _unpack(data: bytes, ascending: bool = False) -> np.ndarray:
 def _tokens(blob: bytes, known: _Hashes) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts of a batch, each text followed by END, and how many tokens each text has."""
     hashes, sizes = [], []
-    for text in zstandard.decompress(blob).split(b"\0"):
-        words = text.lower().split()
+    data = zstandard.decompress(blob)
+    texts = int.from_bytes(data[:8], "little")
+    ends = np.cumsum(np.frombuffer(data, "<u8", texts, 8)).tolist()
+    body = memoryview(data)[8 + 8 * texts :]
+    for a, b in zip([0, *ends], ends, strict=False):
+        words = bytes(body[a:b]).lower().split()
         hashes.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
         hashes.append(np.array([END], np.uint64))
         sizes.append(len(words) + 1)
@@ -77,8 +81,8 @@ def _tokens(blob: bytes, known: _Hashes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def batches_of(documents: DataFrame) -> DataFrame:
-    """Batches of documents: batch, chars, ids and whether there is one, held, texts. A text's zero bytes become byte 1, which is as
-    much part of a word as they are, unless two words differ in just that; so they end no text."""
+    """Batches of documents: batch, chars, ids and whether there is one, held, texts (compressed: their number, their sizes
+    and the bytes of all of them, so that any byte may be part of a word)."""
     def run(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
         held: list[bool] = []
@@ -88,7 +92,7 @@ def batches_of(documents: DataFrame) -> DataFrame:
         def packed() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([
                 pa.array([int(xxhash.xxh3_64_intdigest(f"{part_of}-{count}") >> 1)]), pa.array([size], pa.int64()), pa.array([[i or 0 for i in ids]], pa.list_(pa.int64())), pa.array([[i is not None for i in ids]], pa.list_(pa.bool_())),
-                pa.array([list(held)], pa.list_(pa.bool_())), pa.array([zstandard.compress(b"\0".join(texts), 3)], pa.binary()),
+                pa.array([list(held)], pa.list_(pa.bool_())), pa.array([zstandard.compress(np.array([len(texts), *map(len, texts)], "<u8").tobytes() + b"".join(texts), 3)], pa.binary()),
             ], names=["batch", "chars", "ids", "named", "held", "texts"])
             ids.clear(), held.clear(), texts.clear()
             return out
@@ -97,7 +101,7 @@ def batches_of(documents: DataFrame) -> DataFrame:
         for frame, found in steps(frames, "text"):
             part_of = frame.column("part")[0].as_py()
             for doc, out, text in zip(frame.column("doc_id").to_pylist(), frame.column("held").to_pylist(), found, strict=True):
-                ids.append(doc), held.append(out), texts.append(text.encode("utf-8", "replace").replace(b"\0", b"\1"))
+                ids.append(doc), held.append(out), texts.append(text.encode("utf-8", "replace"))
                 size += len(texts[-1]) + 1
                 if size >= BATCH_CHARS:
                     yield packed()
