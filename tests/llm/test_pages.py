@@ -53,11 +53,40 @@ def test_warc_with_a_missing_file(spark):
     assert warc.read(spark, folder).count() == 20
 
 
-def test_borders_follow_sizes(spark):
+def sizes_of_shards(df, shard_bytes):
+    rows = warc.planned(df, shard_bytes).selectExpr("shard", "page_id", "digest", "url", "copies").collect()
+    assert min((r["copies"] for r in rows), default=1) > 0
+    return sorted(map(repr, rows)), {n: sum((400 + 100) * r["copies"] for r in rows if r["shard"] == n) for n in {r["shard"] for r in rows}}
+
+
+def test_shards_follow_sizes(spark):
     rows = [(i, "u", "x" * 100, "") for i in range(100)] + [(10**12 + i, "u", "x" * 100, "") for i in range(100)]
-    df = warc.planned(spark.createDataFrame(rows, SCHEMA))
-    cuts = warc.borders(df, 10_000)
-    assert len(cuts) == 9 and cuts == warc.borders(df.repartition(5), 10_000)
+    df = spark.createDataFrame(rows, SCHEMA)
+    found, sizes = sizes_of_shards(df, 10_000)
+    assert len(sizes) == 10 and set(sizes.values()) == {10_000} and found == sizes_of_shards(df.repartition(5), 10_000)[0]
+
+
+@pytest.mark.parametrize("same", [True, False])
+@pytest.mark.parametrize("hot", [7, None])
+def test_a_hot_or_missing_id_is_split(spark, hot, same):
+    rows = [(hot, "u", ("x" if same else f"{i:03}"[:3].ljust(100, "x"))[:100].ljust(100, "x"), "") for i in range(300)]
+    rows += [(i, "u", "y" * 100, "") for i in range(100, 400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found, sizes = sizes_of_shards(df, 10_000)
+    assert len(sizes) == 30 and set(sizes.values()) == {10_000} and found == sizes_of_shards(df.repartition(5), 10_000)[0]
+    folder = new_folder(spark, "warc")
+    warc.write(df, folder, shard_bytes=10_000)
+    want = sorted((str(i), hashlib.sha1(t.encode()).hexdigest()) for i, _, t, _ in rows)
+    assert sorted((str(r["page_id"]), r["payload_digest"]) for r in warc.read(spark, folder).collect()) == want
+
+
+def test_records_longer_than_shards(spark):
+    rows = [(1, "u", "x" * 5000, "")] * 3 + [(2, None, "y" * 9000, ""), (2, "", "y" * 9000, ""), (3, "u", None, "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sum(r["copies"] for r in warc.planned(df, 1000).collect()) == len(rows)
+    folder = new_folder(spark, "warc")
+    warc.write(df, folder, shard_bytes=1000, file_bytes=10)
+    assert sorted(r["payload_bytes"] for r in warc.read(spark, folder).collect()) == [0, 5000, 5000, 5000, 9000, 9000]
 
 
 def article(body: str, i: int = 0) -> str:

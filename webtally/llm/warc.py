@@ -1,7 +1,8 @@
 """Deterministic sharded WARC archives.
 
-Pages are range-sorted by page_id into shards whose borders follow from the data alone: a histogram of bytes over equal
-intervals of ids is refined where an interval outweighs a shard. Each shard's task writes gzip members, rolls files by
+Pages are range-sorted by page_id, payload digest and url into shards whose borders follow from the data alone: every
+record's shard is what the records before it weigh, a running total over sampled ranges of their keys without the
+payloads, divided by a shard's size. A task writes its shards as gzip members, rolls files by
 compressed size under temporary names, renames them and hands back their manifest. Bytes depend on the rows only (fixed
 gzip header, dates and record ids derived from the page), so a repeated or speculative task puts the same files in the
 same places. The manifest of all files is written last; a folder without it isn't an archive."""
@@ -17,67 +18,66 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from webtally.llm.common import stored, table
+from webtally.llm.common import numbered, stored, table
 from webtally.sources.writers import new_folder
 
 #: Smaller payloads are never revisits.
 REVISIT_BYTES = 1000
 #: Payload bytes of a shard and compressed bytes of a file, about.
 SHARD_BYTES, FILE_BYTES = 16 << 20, 4 << 20
-#: Intervals of a histogram that the driver receives at once.
-INTERVALS = 1024
 MANIFEST = "manifest.parquet"
 #: All records bear this date, as the pages have none.
 DATE = "2020-01-01T00:00:00Z"
 
 
-def planned(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """``pages`` (page_id, url, html) as records to write: page_id, url, payload (null html: empty), digest, refers_to.
+def placed(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
+    """Where distinct rows (page_id, url, payload) of ``pages`` go: key (of the row), page_id, digest, refers_to, n (equal
+    rows), size (about, of one), before (what all rows sorted before them weigh).
 
     Of records with equal payloads of at least ``revisit_bytes`` the one with the largest page_id is the response and the
     others refer to it. Rows that repeat a page_id and payload are all responses then, as they refer to nothing else; a
     null page_id refers to the largest other one and is referred to by none."""
-    payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
-    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    large = rows.where(F.length("payload") >= revisit_bytes)
-    last = large.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
-    last = stored(last, "repeated")  # where few payloads repeat, its size lets Spark join it without moving payloads
+    rows = keyed(pages).select("key", "page_id", "url", "digest", F.length("payload").alias("length"))
+    names = ["key", "page_id", "url", "digest", "length"]
+    rows = stored(rows.groupBy(*names).agg(F.count("*").alias("n")), "keys")
+    large = rows.where(F.col("length") >= revisit_bytes)
+    last = large.groupBy("digest").agg(F.max("page_id").alias("last"), F.sum("n").alias("times")).where("times > 1").drop("times")
+    last = stored(last, "repeated")  # so that adaptive execution can split a common payload in the join
     found = rows.join(last, "digest", "left")
     earlier = F.col("last").isNotNull() & F.coalesce(F.col("page_id") < F.col("last"), F.lit(True))
-    return found.withColumn("refers_to", F.when(earlier, F.col("last"))).drop("last")
-
-
-def borders(records: DataFrame, shard_bytes: int) -> list[int]:
-    """Ascending first ids of all shards but the first. Each refinement looks at all intervals that outweigh a shard in one
-    job and brings at most ``INTERVALS`` sums to the driver for each of them, until they are single ids."""
-    sizes = records.where("page_id IS NOT NULL").select("page_id", (F.length("payload") + 400).alias("bytes"))
-    low, high = sizes.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        return []
-    done: dict[int, int] = {}
-    todo = [(low, high)]
-    while todo:
-        width = max(1, -(-(max(b - a for a, b in todo) + 1) // INTERVALS))
-        inside = F.lit(False)
-        for a, b in todo[:INTERVALS]:
-            inside = inside | F.col("page_id").between(a, b)
-        start = F.col("page_id") - F.pmod(F.col("page_id") - low, F.lit(width))
-        found = sizes.where(inside).groupBy(start.alias("start")).agg(F.sum("bytes").alias("bytes")).collect()
-        todo = todo[INTERVALS:]
-        for row in found:
-            if row["bytes"] > shard_bytes and width > 1:
-                todo.append((row["start"], row["start"] + width - 1))
-            else:
-                done[row["start"]] = row["bytes"]
-    out, filled = [], 0
-    for start in sorted(done):
-        if filled and filled + done[start] > shard_bytes:
-            out.append(start)
-            filled = 0
-        filled += done[start]
-    return out
+    found = found.select(*names, "n", F.when(earlier, F.col("last")).alias("refers_to"), (F.col("length") + 400).alias("size"), F.lit(0).alias("all"))
+    ordered = numbered(found, "all", ["page_id", "digest", "url"], "before", "n * size")
+    return ordered.select("key", "page_id", "digest", "refers_to", "n", "size", "before")
+
+
+def keyed(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload (null html: empty), digest and a key that equal rows share."""
+    payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
+    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
+    text = F.concat("digest", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.lit(" "), F.coalesce(F.concat(F.lit("="), "url"), F.lit("-")))
+    return rows.withColumn("key", F.unhex(F.sha2(text, 256)))
+
+
+def planned(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """``pages`` (page_id, url, html) as records to write: shard, page_id, url, payload, digest, refers_to, copies (equal
+    rows of the shard, which are one row here).
+
+    A shard is ``shard_bytes`` of all records in their order, so an id, a null one too, may hold any share of them, and
+    equal rows are dealt out by arithmetic. Shard numbers follow from the rows alone; very long records leave gaps."""
+    places = stored(placed(pages), "places").drop("page_id", "digest")
+    step = F.lit(shard_bytes).cast("bigint")
+    spans = F.sequence(F.expr(f"before div {shard_bytes}"), F.expr(f"(before + (n - 1) * size) div {shard_bytes}"))
+    dealt = keyed(pages).dropDuplicates(["key"]).join(places, "key").withColumn("shard", F.explode(spans))
+
+    def first(shard: Column) -> Column:
+        """Number of the first of equal rows that begins in ``shard`` or later."""
+        return F.greatest(F.lit(0), F.least(F.col("n"), F.ceil((shard * step - F.col("before")) / F.col("size"))))
+
+    copies = first(F.col("shard") + 1) - first(F.col("shard"))
+    return dealt.withColumn("copies", copies).where("copies > 0").select(
+        F.col("shard").cast("int"), "page_id", "url", "payload", "digest", "refers_to", "copies")
 
 
 def _urn(page_id: int | None) -> str:
@@ -109,13 +109,10 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_by
     """Writes an archive of ``pages`` to ``folder``, a URI that all executors reach, and returns its manifest: file, shard,
     records, bytes, sha1.
 
-    Pages with a null id come in the first shard. An empty table gives an archive without files. Very long pages make a
-    file of their own at worst. Other columns are left out. For nulls and repeated rows see ``planned``."""
+    Pages with a null id come first. An empty table gives an archive without files. Very long pages make a file of their
+    own at worst. Other columns are left out. For nulls and repeated rows see ``placed``."""
     spark = pages.sparkSession
-    records = planned(pages)
-    first_ids = borders(records.select("page_id", "payload"), shard_bytes)
-    shards = len(first_ids) + 1
-    ranges = F.lit(0) if not first_ids else F.coalesce(F.size(F.filter(F.lit(first_ids), lambda x: x <= F.col("page_id"))), F.lit(0))
+    records = planned(pages, shard_bytes)
     target = folder if "://" in folder or folder.startswith("file:") else "file://" + folder
     target = target.replace("file:/", "file:///", 1) if target.startswith("file:/") and not target.startswith("file://") else target
 
@@ -141,19 +138,21 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_by
             return row
 
         for batch in batches:
-            for own_shard, *row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                if own_shard != shard or size >= file_bytes:
-                    if parts:
-                        yield rolled()
-                    roll = roll + 1 if own_shard == shard else 0
-                    shard, size = own_shard, 0
-                parts.append(record(*row))
-                size += len(parts[-1])
+            for own_shard, *row, copies in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                member = record(*row)
+                for _ in range(copies):
+                    if own_shard != shard or size >= file_bytes:
+                        if parts:
+                            yield rolled()
+                        roll = roll + 1 if own_shard == shard else 0
+                        shard, size = own_shard, 0
+                    parts.append(member)
+                    size += len(member)
         if parts:
             yield rolled()
 
-    dealt = records.withColumn("shard", ranges).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "url")
-    manifest = dealt.select("shard", "page_id", "url", "payload", "digest", "refers_to").mapInArrow(
+    dealt = records.repartitionByRange("shard").sortWithinPartitions("shard", "page_id", "digest", "url")
+    manifest = dealt.mapInArrow(
         run, "file string, shard int, records long, bytes long, sha1 string")
     manifest.write.parquet(f"{folder}/{MANIFEST}")  # committed when all shards are in place
     return spark.read.parquet(f"{folder}/{MANIFEST}")
