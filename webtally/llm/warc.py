@@ -61,15 +61,17 @@ def keyed(pages: DataFrame) -> DataFrame:
 
 
 def planned(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``pages`` (page_id, url, html) as records to write: shard, page_id, url, payload, digest, refers_to, copies (equal
-    rows of the shard, which are one row here).
+    """``pages`` (page_id, url, html) as records to write: shard, page_id, url, digest, refers_to, length (of the payload),
+    member (the response record; null for revisits), copies (equal rows of the shard, which are one row here).
 
     A shard is ``shard_bytes`` of all records in their order, so an id, a null one too, may hold any share of them, and
-    equal rows are dealt out by arithmetic. Shard numbers follow from the rows alone; very long records leave gaps."""
+    equal rows are dealt out by arithmetic. Shard numbers follow from the rows alone; very long records leave gaps. Records
+    are compressed before they are shuffled: by key to meet their places, and by shard."""
     places = stored(placed(pages), "places").drop("page_id", "digest")
     step = F.lit(shard_bytes).cast("bigint")
     spans = F.sequence(F.expr(f"before div {shard_bytes}"), F.expr(f"(before + (n - 1) * size) div {shard_bytes}"))
-    dealt = keyed(pages).dropDuplicates(["key"]).join(places, "key").withColumn("shard", F.explode(spans))
+    members = keyed(pages).mapInArrow(_members, "key binary, page_id long, url string, digest string, length long, member binary")
+    dealt = members.dropDuplicates(["key"]).join(places, "key").withColumn("shard", F.explode(spans))
 
     def first(shard: Column) -> Column:
         """Number of the first of equal rows that begins in ``shard`` or later."""
@@ -77,7 +79,20 @@ def planned(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
 
     copies = first(F.col("shard") + 1) - first(F.col("shard"))
     return dealt.withColumn("copies", copies).where("copies > 0").select(
-        F.col("shard").cast("int"), "page_id", "url", "payload", "digest", "refers_to", "copies")
+        F.col("shard").cast("int"), "page_id", "url", "digest", "refers_to", "length",
+        F.when(F.col("refers_to").isNull(), F.col("member")).alias("member"), "copies")
+
+
+def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        key, ids, urls, payloads, digests = (batch.column(c) for c in ("key", "page_id", "url", "payload", "digest"))
+        for a in range(0, batch.num_rows, 256):
+            own = [c.slice(a, 256) for c in (ids, urls, payloads, digests)]
+            values = [(i.as_py(), u.as_py(), p.as_py(), d.as_py()) for i, u, p, d in zip(*own, strict=True)]
+            yield pa.RecordBatch.from_arrays([
+                key.slice(a, 256).cast(pa.binary()), own[0].cast(pa.int64()), own[1].cast(pa.string()), own[3].cast(pa.string()), pa.array([len(p) for _, _, p, _ in values], pa.int64()),
+                pa.array([record(i, u, p, d, None, len(p)) for i, u, p, d in values], pa.binary())],
+                names=["key", "page_id", "url", "digest", "length", "member"])
 
 
 def _urn(page_id: int | None) -> str:
@@ -88,13 +103,12 @@ def _base32(digest: str) -> str:
     return "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
 
 
-def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
-    """One record as a gzip member. A revisit has no block; its headers give what it refers to and its payload's size."""
-    block = b"" if refers_to is not None else payload
+def record(page_id, url, block: bytes, digest: str, refers_to, length: int) -> bytes:
+    """One record as a gzip member. A revisit has no block; its headers give what it refers to and its payload's ``length``."""
     headers = {
         "WARC-Type": "response" if refers_to is None else "revisit", "WARC-Record-ID": _urn(page_id), "WARC-Date": DATE,
         "WARC-Target-URI": " ".join((url or "").split()), "WARC-Payload-Digest": _base32(digest),
-        "WARC-Block-Digest": _base32(hashlib.sha1(block).hexdigest()), "X-Payload-Length": len(payload),
+        "WARC-Block-Digest": _base32(hashlib.sha1(block).hexdigest()), "X-Payload-Length": length,
     }
     if refers_to is not None:
         headers["WARC-Refers-To"] = _urn(refers_to)
@@ -138,8 +152,9 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_by
             return row
 
         for batch in batches:
-            for own_shard, *row, copies in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                member = record(*row)
+            for own_shard, page_id, url, digest, refers_to, length, member, copies in zip(
+                    *(column.to_pylist() for column in batch.columns), strict=True):
+                member = member if refers_to is None else record(page_id, url, b"", digest, refers_to, length)
                 for _ in range(copies):
                     if own_shard != shard or size >= file_bytes:
                         if parts:
