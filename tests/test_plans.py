@@ -3,10 +3,12 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
 
 from webtally.operators import attribution, navigation, sessions
 from webtally.plans.registry import QUERIES, YEAR
-from webtally.sources import testdata
+from webtally.sources import testdata, writers
 
 
 def plan(df) -> str:
@@ -86,3 +88,27 @@ def test_recent_promotion_users_are_chosen_before_their_history_is_added_up(spar
 def test_time_decay_reads_interactions_once_beside_stored_purchases(spark, folder, name):
     text = plan(QUERIES[name](spark, folder))
     assert len(re.findall(r"FileScan.*event_date", text)) == 1 and len(re.findall("FileScan", text)) == 2
+
+
+def test_events_are_nested_after_their_shuffle_and_sort(spark, folder, monkeypatch):
+    monkeypatch.setattr(testdata, "_written", {})
+    frames, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *args: (frames.append(self._df), write(self, *args)))
+    testdata.stored_events(spark, folder)
+    written, = frames
+    text = plan(written)
+    assert len(re.findall("Exchange", text)) == 1 and len(re.findall(r"Sort \[", text)) == 1
+    # The plan is printed from the top: neither the shuffle and the sort nor what is below them knows the nested columns.
+    above, below = text.split("Sort [", 1)
+    assert "event_params" in above and "event_params" not in below and "items" not in below
+    # Spark keeps this order when it writes, as the date can't be null; else it would sort the nested rows.
+    assert written.schema["event_date"].nullable is False
+    assert "event_date" in written._jdf.queryExecution().optimizedPlan().outputOrdering().mkString()
+
+
+def test_widened_rows_without_a_date_stay(spark, tmp_path):
+    rows = spark.createDataFrame([("20240102", 1), (None, 2), ("20240101", 3)], "event_date string, n int")
+    path = str(tmp_path / "days")
+    writers.write_by_date(rows, path, widen=lambda df: df.select("event_date", "n", F.array("n", "n").alias("pair")))
+    back = spark.read.schema("n int, pair array<int>, event_date string").parquet(path).orderBy("n").collect()
+    assert [tuple(r) for r in back] == [(1, [1, 1], "20240102"), (2, [2, 2], None), (3, [3, 3], "20240101")]

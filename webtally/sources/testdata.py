@@ -55,11 +55,11 @@ def event_rows(spark: SparkSession, folder: str, stagger: bool = False) -> DataF
     return table(spark, folder, "events").selectExpr(
         "event_id AS e", "user_id AS uid", "value AS v", "event_type",
         f"unix_micros(CAST(ts AS TIMESTAMP)){moved} AS us", "CAST(get_json_object(props, '$.k') AS BIGINT) AS k",
-    )
+    ).selectExpr("*", f"date_format(date_from_unix_date(CAST(us DIV {DAY_MICROS} AS INT)), 'yyyyMMdd') AS event_date")
 
 
-def events(spark: SparkSession, folder: str, stagger: bool = False) -> DataFrame:
-    """Nested event table."""
+def nested(plain: DataFrame) -> DataFrame:
+    """Nested event table of plain rows (``event_rows``), each row by itself."""
     name = (
         "CASE event_type WHEN 'view' THEN 'page_view' WHEN 'purchase' THEN 'purchase' "
         f"WHEN 'click' THEN {_pick(['click', 'view_item', 'add_to_cart', 'page_view'], 'e % 4')} "
@@ -67,7 +67,7 @@ def events(spark: SparkSession, folder: str, stagger: bool = False) -> DataFrame
         f"WHEN 'signup' THEN {_pick(['signup', 'page_view'], 'e % 2')} END"
     )
     source, medium = (_pick([pair[i] for pair in CHANNELS], "e % 20") for i in (0, 1))
-    rows = event_rows(spark, folder, stagger).selectExpr(
+    rows = plain.selectExpr(
         "*", f"{name} AS event_name", f"{source} AS src", f"{medium} AS med",
         "CASE WHEN k % 10 <> 9 THEN concat('camp', k % 5) END AS camp",
         "CASE WHEN e % 11 = 0 THEN concat('g', e) END AS gclid",
@@ -121,7 +121,7 @@ def events(spark: SparkSession, folder: str, stagger: bool = False) -> DataFrame
         f"ELSE from_json('[]', '{EVENT_FIELDS['user_properties']}') END"
     )
     columns = {
-        "event_date": f"date_format(date_from_unix_date(CAST(us DIV {DAY_MICROS} AS INT)), 'yyyyMMdd')",
+        "event_date": "event_date",
         "event_timestamp": "us",
         "event_name": "event_name",
         "user_pseudo_id": "CASE WHEN e % 50 <> 0 THEN concat('u', uid) END",
@@ -165,11 +165,11 @@ _written: dict[tuple[str, str, bool], str] = {}
 
 def stored_events(spark: SparkSession, folder: str, stagger: bool = False) -> DataFrame:
     """The nested event table, written once per application as Parquet partitioned by day in the shared folder
-    and read back, as the reports meet it in practice."""
+    and read back, as the reports meet it in practice. Plain rows are shuffled, and nested in the task that writes them."""
     key = (spark.sparkContext.applicationId, folder, stagger)
     if key not in _written or not _exists(spark, _written[key]):
         path = new_folder(spark, "events")
-        write_by_date(events(spark, folder, stagger), path)
+        write_by_date(event_rows(spark, folder, stagger), path, widen=nested)
         _written[key] = path
     return read_events(spark, _written[key])
 

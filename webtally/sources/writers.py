@@ -8,6 +8,7 @@ import datetime
 import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -60,12 +61,23 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_by_date(df: DataFrame, path: str, date_column: str = "event_date") -> None:
+def write_by_date(
+    df: DataFrame, path: str, date_column: str = "event_date", widen: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
     """Overwrite ``path`` with one Parquet folder per date.
 
     The rebalance hint lets adaptive execution write whole files per date and split a date that is too big for
-    one task; the commit protocol publishes files only when the job has finished."""
-    df.hint("rebalance", F.col(date_column)).write.mode("overwrite").partitionBy(date_column).parquet(path)
+    one task; the commit protocol publishes files only when the job has finished.
+
+    ``widen`` makes the rows to write from those of ``df``, row by row and keeping the date. It is applied after rows have
+    been shuffled and sorted by date, so that neither moves or holds more than the columns of ``df``. A missing date is
+    empty text until then, which Spark writes like null: it would sort wide rows again by a text that may be null."""
+    if widen:
+        dated = df.withColumn(date_column, F.coalesce(F.col(date_column).cast("string"), F.lit("")))
+        rows = widen(dated.hint("rebalance", F.col(date_column)).sortWithinPartitions(date_column))
+    else:
+        rows = df.hint("rebalance", F.col(date_column))
+    rows.write.mode("overwrite").partitionBy(date_column).parquet(path)
 
 
 def month_names(as_of, months: int = 12) -> list[tuple[str, datetime.date, datetime.date]]:
