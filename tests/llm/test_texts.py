@@ -312,6 +312,27 @@ def test_line_dedup_is_native(spark, folder):
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "Cartesian", "NestedLoop"))
 
 
+def test_texts_are_hashed_once_and_words_counted_once(spark, folder, monkeypatch):
+    plans, store = {}, lines.stored
+    monkeypatch.setattr(lines, "stored", lambda df, kind: (
+        plans.setdefault(kind, df._jdf.queryExecution().optimizedPlan().toString()), store(df, kind))[1])
+    df = lines.dedup(spark.read.parquet(f"{folder}/documents.parquet"))
+    above, below = plans["lines"].split("Generate", 1)
+    assert "md5(cast(text" not in above and "md5(cast(text" in below
+    assert "regexp_extract_all" in plans["lines"]
+    assert "regexp_extract_all" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_texts_that_lose_lines_change(spark):
+    copied = "\n".join(f"line {i} of some words" for i in range(15))
+    texts = [copied, "own\n \n" + copied + "\n\nend \n", copied, "a\n\n b\t\n", "\n \n", "", None]
+    rows = {r["doc_id"]: r for r in lines.dedup(documents(spark, texts)).collect()}
+    got = [(rows[i]["text"], rows[i]["lines_removed"], rows[i]["lines_left"]) for i in range(len(texts))]
+    assert got == [
+        (copied, 0, 15), ("own\n \n\nend \n", 15, 2), ("", 15, 0), (texts[3], 0, 2), (texts[4], 0, 0), ("", 0, 0), (None, 0, 0),
+    ]
+
+
 # Language model
 
 @pytest.mark.parametrize("split", [katz.SPLIT, 3])

@@ -115,25 +115,26 @@ def dedup(documents: DataFrame, min_words: int = MIN_WORDS, column: str = "text"
     solid = F.filter(
         F.transform(parts, lambda x, i: F.struct(i.alias("number"), _words(x).alias("words"), F.unhex(F.md5(x.cast("binary"))).alias("line"))),
         lambda s: s["words"] > 0)
-    lines = documents.where(F.col(column).isNotNull()).select(
-        first.alias("first"), tid.alias("tid"), F.posexplode(solid).alias("place", "s")).select("first", "tid", "place", "s.*")
+    # A text is hashed below the explosion, once and not for each of its lines.
+    hashed = documents.where(F.col(column).isNotNull()).select(first.alias("first"), tid.alias("tid"), column)
+    lines = hashed.select("first", "tid", F.posexplode(solid).alias("place", "s")).select("first", "tid", "place", "s.*")
     lines = stored(lines.groupBy("tid", "place", "number", "line", "words").agg(F.min("first").alias("first")), "lines")
     spans = _merged(repeated_windows(lines, min_words))
-    texts = lines.groupBy("tid").agg(F.min("first").alias("_holder"), F.sum("words").alias("_words"))
+    texts = lines.groupBy("tid").agg(
+        F.min("first").alias("_holder"), F.sum("words").alias("_words"), F.count("*").cast("int").alias("_solid"))
     marks = stored(texts.join(spans, "tid", "left").withColumnRenamed("tid", "_tid"), "marks")  # as above, for common texts
     marked = documents.withColumn("_tid", tid).join(marks, "_tid", "left")
     whole = F.coalesce((first > F.col("_holder")) & (F.col("_words") >= min_words), F.lit(False))
-    left = F.filter(parts, lambda x, i: ~F.exists("_spans", lambda s: i.between(s["a"], s["b"])))
-    kept = F.when(whole, F.array().cast("array<string>")).when(F.col("_spans").isNull(), parts).otherwise(left)
-
-    def solid_lines(lines: Column) -> Column:
-        return F.coalesce(F.size(F.filter(lines, lambda x: _words(x) > 0)), F.lit(0))
-
-    text = F.when(F.col(column).isNotNull(), F.array_join("_kept", "\n"))
+    cut = F.col("_spans").isNotNull()
+    # Only texts that lose some of their lines are taken apart again.
+    kept = F.when(~whole & cut, F.filter(parts, lambda x, i: ~F.exists("_spans", lambda s: i.between(s["a"], s["b"]))))
+    text = F.when(whole, "").when(cut, F.array_join("_kept", "\n")).otherwise(F.col(column))
+    solid_left = F.size(F.filter("_kept", lambda x: x.rlike(r"\S")))
+    all_lines = F.coalesce("_solid", F.lit(0))
+    left = F.when(whole, 0).when(cut, solid_left).otherwise(all_lines)
     return marked.withColumn("_kept", kept).select(
         *[text.alias(column) if c == column else F.col(c) for c in documents.columns],
-        F.when(F.col(column).isNull(), 0).otherwise(solid_lines(parts) - solid_lines(F.col("_kept"))).alias("lines_removed"),
-        F.when(F.col(column).isNull(), 0).otherwise(solid_lines(F.col("_kept"))).alias("lines_left"))
+        (all_lines - left).alias("lines_removed"), left.alias("lines_left"))
 
 
 def _merged(windows: DataFrame) -> DataFrame:
