@@ -256,6 +256,21 @@ def test_near_copies_of_odd_tables(spark):
     assert left.columns == df.columns and left.count() == len(ODD) + 1
 
 
+def test_links_of_a_large_group_follow_its_texts_not_their_bands(spark, monkeypatch):
+    """Each text of a group gives one link, and few between the least texts of its bands."""
+    rng = np.random.default_rng(4)
+    texts = []
+    for k in range(300):
+        own = [f"w{i}" for i in range(200)]
+        own[rng.integers(200)] = f"x{k}"
+        texts.append(" ".join(own))
+    counted, spread = [], jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda links: (counted.append(links.count()), spread(links))[1])
+    rows = jaccard.classes(documents(spark, texts)).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in rows} == brute.near_copies(list(enumerate(texts)))
+    assert counted[0] < 2 * len(texts)
+
+
 def test_bands_reach_the_recall():
     b = jaccard.bands_for(0.8)
     assert 1 - (1 - 0.8**jaccard.BAND_ROWS) ** b >= jaccard.RECALL

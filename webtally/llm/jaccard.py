@@ -191,8 +191,11 @@ def classes(
     banded = texts.select("key", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("key").alias("b"), F.count("*").alias("n")).where("n > 1").select("band", "b")
     shared = stored(shared, "bands")  # so that adaptive execution can split a common band in the join
-    links = banded.join(shared, "band").select(F.col("key").alias("a"), "b").where("a != b").distinct()
-    groups = components(links).withColumnRenamed("a", "key")
+    # A text links the least it agrees with to the others and to itself: as connected as the text's link to each of them, but
+    # these are few texts, the least of some band, where a large group has many texts with many bands.
+    least = banded.join(shared, "band").groupBy("key").agg(F.collect_set("b").alias("found"))
+    least = least.select(F.array_min("found").alias("b"), F.explode(F.array_union("found", F.array("key"))).alias("a"))
+    groups = components(least.where("a != b").distinct()).withColumnRenamed("a", "key")
     kept = texts.join(groups, "key").select(
         "key", "weight", "label", "bands", "at.raw", F.coalesce("at.doc_id", F.lit(-1)).alias("id"))
     named = documents.select(F.coalesce("doc_id", F.lit(-1)).alias("id"), "text", raw_hash())
