@@ -85,3 +85,63 @@ def test_extreme_components(spark):
     assert listed(kdtree.top_k(whole, whole.where("vec_id = 0"), 5)) == {
         0: [(2, most), (4, 5 * 65536), (3, 0), (5, -512 * 256 - 256), (1, least)]}
     assert listed(kdtree.top_k(whole, whole.where("vec_id = 2"), 2)) == {2: [(0, most), (4, most)]}
+
+
+def below_broadcasts(plan):
+    children = plan.children()
+    under = [children.apply(i) for i in range(children.size())]
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        under = [plan.initialPlan()]
+    own = [plan.toString()] if plan.nodeName() == "BroadcastExchange" else []
+    return own + [text for child in under for text in below_broadcasts(child)]
+
+
+@pytest.mark.parametrize("operator, kind", [(kdtree.top_k, "bigint"), (onebit.neighbours, "double")])
+def test_packed_rows_are_never_broadcast(spark, monkeypatch, operator, kind):
+    """A block or an index is larger than Spark's estimate, and a block for each shard much larger: driver memory."""
+    monkeypatch.setattr(search, "SHARD_ROWS", 30)
+    monkeypatch.setattr(search, "BLOCK_ROWS", 4)
+    frames, write = [], search.stored
+    monkeypatch.setattr(search, "stored", lambda df, kind: (frames.append(df), write(df, kind))[1])
+    rows = [(i, [i % 7 + 1, i % 5 + 1]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id bigint, v array<int>").withColumn("v", F.col("v").cast(f"array<{kind}>"))
+    frames.append(operator(df, df.where("vec_id % 3 = 0"), 5))
+    found = [t for f in frames for t in below_broadcasts(f._jdf.queryExecution().executedPlan())]
+    assert not [t for t in found if "InPandas" in t or "built" in t]
+
+
+@pytest.mark.parametrize("size, cores", [(1, 1), (1000, 1), (1 << 24, 1), (1 << 24, 1000)])
+@pytest.mark.parametrize("operator, kind", [(kdtree.top_k, "bigint"), (onebit.neighbours, "double")])
+def test_groups_of_any_size(spark, monkeypatch, operator, kind, size, cores):
+    """Ids with two vectors are candidates with both, also where their scores are equal."""
+    monkeypatch.setattr(search, "SHARD_ROWS", 30)
+    monkeypatch.setattr(search, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(search, "GROUP_BYTES", size)
+    monkeypatch.setattr(search, "GROUPS_A_CORE", cores)
+    wide = [(1000 + i, [i % 5 + 1, 2, i % 3 + 1]) for i in range(60)]
+    plain = [(i, [i % 4 + 1] * 2) for i in range(0, 90, 3)]
+    twice = [(i, v) for i in range(1, 90, 3) for v in ([i % 7, 9 - i % 7], [9 - i % 7, i % 7])]
+    df = spark.createDataFrame(wide + plain + twice, "vec_id bigint, v array<int>")
+    df = df.withColumn("v", F.col("v").cast(f"array<{kind}>"))
+    got = listed(operator(df, df.where("vec_id % 3 = 0"), 7))
+    want = {}
+    for q, asked in (r for r in wide + plain if r[0] % 3 == 0):
+        scores = [(-sum(a * b for a, b in zip(asked, v)), i) for i, v in wide + plain + twice if i != q and len(v) == len(asked)]
+        want[q] = [(i, -s) for s, i in sorted(scores)[:7]]
+    assert got == want
+
+
+def test_the_tree_search_equals_brute_force():
+    random = np.random.default_rng(4)
+    for trial in range(60):
+        largest = [2, 1000, 2**30, 2**50, 2**63 - 1][trial % 5]
+        rows = random.integers(-largest, largest, (random.integers(1, 900), random.integers(1, 5)), endpoint=True)
+        rows[: len(rows) // 3] = rows[0]
+        queries, k = rows[random.integers(0, len(rows), 9)], int(random.integers(1, 20))
+        ids, own = random.permutation(len(rows)), random.integers(0, len(rows), 9)
+        exact = np.clip(queries.astype(object) @ rows.astype(object).T, kdtree.LEAST, kdtree.MOST)
+        want = [sorted((-s, i) for s, i in zip(line, ids.tolist()) if i != me)[:k] for line, me in zip(exact.tolist(), own)]
+        for least in (np.full(9, -np.inf), np.array([float(-w[-1][0]) if w else -np.inf for w in want])):
+            which, found, scores = kdtree.find(kdtree.build(rows, ids), queries, own, least, k)
+            assert list(zip(which.tolist(), (-scores.astype(object)).tolist(), found.tolist())) == [
+                (q, s, i) for q, line in enumerate(want) for s, i in line]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -59,7 +58,8 @@ def build(rows: np.ndarray, ids: np.ndarray) -> Tree:
 
 
 def find(tree: Tree, queries: np.ndarray, query_ids: np.ndarray, least: np.ndarray, k: int):
-    """Best-first: the node whose box allows the highest product comes next, until none reaches the k-th best so far."""
+    """Best-first: the leaf whose box allows the highest product comes next, until none reaches the k-th best so far. All
+    queries go on in rounds, each visiting its next one, two, four, ... leaves; those that visit a leaf are one product."""
     low, high = tree.low.astype(np.float64), tree.high.astype(np.float64)
     up, down = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
     bounds = up @ high.T + down @ low.T
@@ -69,31 +69,40 @@ def find(tree: Tree, queries: np.ndarray, query_ids: np.ndarray, least: np.ndarr
         bounds += size * 1e-12 + 2048
     kind = np.float64 if exact else np.int64 if size.max() < LONG else object  # object: whole numbers of any size
     rows, asked = tree.rows.astype(kind), queries.astype(kind)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for i, own in enumerate(query_ids.tolist()):
-        bound, asking = bounds[i], asked[i]
-        ids, scores, kth = np.zeros(0, np.int64), np.zeros(0, np.float64 if exact else np.int64), least[i]
-        heap = [(-bound[0], 0)]
-        while heap and -heap[0][0] >= kth:
-            _, node = heapq.heappop(heap)
-            if tree.left[node] >= 0:
-                for child in (tree.left[node], tree.right[node]):
-                    if bound[child] >= kth:
-                        heapq.heappush(heap, (-bound[child], child))
-                continue
-            part = slice(tree.start[node], tree.stop[node])
-            new = rows[part] @ asking
+    leaves = np.flatnonzero(np.array(tree.left) < 0)
+    bounds[bounds < least[:, None]] = np.nan  # neither reached nor any leaf below
+    for node, (left, right) in enumerate(zip(tree.left, tree.right)):
+        if left >= 0:
+            bounds[np.ix_(np.isnan(bounds[:, node]), [left, right])] = np.nan
+    bounds = bounds[:, leaves]
+    turn = np.argsort(-bounds, axis=1, kind="stable")
+    kth = least.astype(np.float64)
+    best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float64 if exact else np.int64)]
+    done, step = 0, 1
+    while done < len(leaves):
+        now = turn[:, done:done + step]
+        which, at = np.nonzero(np.take_along_axis(bounds, now, axis=1) >= kth[:, None])
+        if not len(which):
+            break
+        visited = now[which, at]
+        by_leaf = np.argsort(visited, kind="stable")
+        which, visited = which[by_leaf], visited[by_leaf]
+        starts = np.flatnonzero(np.diff(visited, prepend=-1))
+        found = [best]
+        for a, b in zip(starts, [*starts[1:], len(which)]):
+            leaf, those = leaves[visited[a]], which[a:b]
+            part = slice(tree.start[leaf], tree.stop[leaf])
+            new = asked[those] @ rows[part].T
             if kind is object:
                 new = np.clip(new, LEAST, MOST).astype(np.int64)
-            use = (new >= kth) & (tree.ids[part] != own)
-            if use.any():
-                ids, scores = np.concatenate([ids, tree.ids[part][use]]), np.concatenate([scores, new[use]])
-                keep = search.best(scores, ids, k)
-                ids, scores = ids[keep], scores[keep]
-                if len(ids) == k:
-                    kth = max(kth, float(scores[-1]))
-        out.append((np.full(len(ids), i), ids, scores.astype(np.int64)))
-    return tuple(np.concatenate([o[j] for o in out]) for j in range(3))
+            i, j = np.nonzero((new >= kth[those, None]) & (tree.ids[part] != query_ids[those, None]))
+            if len(i):
+                found.append([those[i], tree.ids[part][j], new[i, j]])
+        best = search.best_each(*map(np.concatenate, zip(*found)), k)
+        full = np.flatnonzero(best[3] == k - 1)
+        kth[best[0][full]] = np.maximum(kth[best[0][full]], best[2][full].astype(np.float64))
+        best, done, step = best[:3], done + step, 2 * step
+    return best[0], best[1], best[2].astype(np.int64)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
