@@ -102,7 +102,7 @@ def test_packed_rows_are_never_broadcast(spark, monkeypatch, operator, kind):
     monkeypatch.setattr(search, "SHARD_ROWS", 30)
     monkeypatch.setattr(search, "BLOCK_ROWS", 4)
     frames, write = [], search.stored
-    monkeypatch.setattr(search, "stored", lambda df, kind: (frames.append(df), write(df, kind))[1])
+    monkeypatch.setattr(search, "stored", lambda df, *how: (frames.append(df), write(df, *how))[1])
     rows = [(i, [i % 7 + 1, i % 5 + 1]) for i in range(120)]
     df = spark.createDataFrame(rows, "vec_id bigint, v array<int>").withColumn("v", F.col("v").cast(f"array<{kind}>"))
     frames.append(operator(df, df.where("vec_id % 3 = 0"), 5))
@@ -110,6 +110,22 @@ def test_packed_rows_are_never_broadcast(spark, monkeypatch, operator, kind):
     assert not [t for t in found if "InPandas" in t or "built" in t]
 
 
+def test_a_file_has_few_indexes(spark, monkeypatch):
+    """Spark's reader holds a batch of rows of a file, and an index is a row of some MB."""
+    monkeypatch.setattr(search, "SHARD_ROWS", 3)
+    paths, write = {}, search.stored
+
+    def kept(df, kind, *how):
+        paths[kind] = write(df, kind, *how)
+        return paths[kind]
+
+    monkeypatch.setattr(search, "stored", kept)
+    df = spark.createDataFrame([(i, [i % 7, 1]) for i in range(300)], "vec_id bigint, v array<bigint>")
+    kdtree.top_k(df, df.where("vec_id = 0"), 5)
+    index = paths["index"].groupBy(F.input_file_name()).count()
+    assert index.agg(F.max("count")).first()[0] <= 4
+
+
 @pytest.mark.parametrize("size, cores", [(1, 1), (1000, 1), (1 << 24, 1), (1 << 24, 1000)])
 @pytest.mark.parametrize("operator, kind", [(kdtree.top_k, "bigint"), (onebit.neighbours, "double")])
 def test_groups_of_any_size(spark, monkeypatch, operator, kind, size, cores):

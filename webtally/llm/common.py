@@ -17,11 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, kind: str) -> DataFrame:
+def stored(df: DataFrame, kind: str, rows_a_file: int = 0) -> DataFrame:
     """``df`` written to the shared folder and read back: what follows survives lost executors and reads the same rows
-    every time, also those that a recomputation would number or sample differently."""
+    every time, also those that a recomputation would number or sample differently. ``rows_a_file``, if not 0, keeps files
+    of large rows small: a reader holds up to 4096 rows of a file at a time, whatever their size."""
     path = new_folder(df.sparkSession, kind)
-    df.write.parquet(path)
+    write = df.write.option("maxRecordsPerFile", rows_a_file) if rows_a_file else df.write
+    write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

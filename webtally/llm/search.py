@@ -24,6 +24,8 @@ SHARD_ROWS, BLOCK_ROWS = 4096, 256
 GROUP_BYTES = 16 << 20
 #: Groups of shards for each core, as long as there are so many shards.
 GROUPS_A_CORE = 3
+#: Spark's reader holds all of a file's at a time.
+INDEXES_A_FILE = 4
 FOUND = ["query_id", "vec_id", "score"]
 
 #: (vectors, ids) of a shard to what is searched.
@@ -95,7 +97,7 @@ def nearest(
     result = f"query_id long, vec_id long, score {score_type}"
     shard = F.expr(f"cast(pmod(xxhash64(vec_id, v), {shards}) as int)").alias("shard")
     built = distinct.select("vec_id", F.col("v").cast(f"array<{vector_type}>"), "dim", shard)
-    built = stored(built.groupBy("dim", "shard").applyInPandas(index, "dim int, shard int, built binary"), "index")
+    built = stored(built.groupBy("dim", "shard").applyInPandas(index, "dim int, shard int, built binary"), "index", INDEXES_A_FILE)
     home = F.pmod(F.col("block"), F.lit(shards)).cast("int")
     first = in_blocks(asked.withColumn("least", F.lit(float("-inf")))).withColumn("shard", home)
     homes = built.where(F.col("shard") < blocks).hint("merge")
